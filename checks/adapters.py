@@ -17,6 +17,7 @@ from readtrail.operators.cleaning import clean_tables
 from readtrail.operators.cohorts import LearnerTables
 from readtrail.plans.nightly import run_nightly
 from readtrail.session import scratch_folder
+from readtrail.sources.events import event_log, union_sources
 from readtrail.sources.snapshots import load_latest_run
 
 PROFILE = AppProfile(
@@ -109,7 +110,7 @@ def _log_row(
     return log
 
 
-def game_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _game_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event log of the web game."""
     k, user = F.col("k"), F.col("user_id")
     kind = F.col("event_type")
@@ -155,7 +156,7 @@ def game_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def launch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _launch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event log of the container app; some learners occur in no game log."""
     k, user = F.col("k"), F.col("user_id")
     language = F.when(
@@ -185,7 +186,8 @@ def launch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _legacy_log(spark: SparkSession, sf_dir: str, source: int | None = None) -> DataFrame:
+def _legacy_log(spark: SparkSession, sf_dir: str, source: int) -> DataFrame:
+    """Event log of the legacy apps, one of the three sources it is collected from."""
     k, user, kind = F.col("k"), F.col("user_id"), F.col("event_type")
     level = F.when(user % 3 == 0, k % 30 + 1).otherwise(k % 4 + 1)
     action = (
@@ -199,9 +201,7 @@ def _legacy_log(spark: SparkSession, sf_dir: str, source: int | None = None) ->
         (plain & (k % 19 != 0), _param("screen", F.lit("main"))),
         (plain & (k % 19 != 0), _param("engagement_ms", number=k)),
     ])
-    ev = events(spark, sf_dir)
-    if source is not None:
-        ev = ev.where(user % 3 == source)
+    ev = events(spark, sf_dir).where(user % 3 == source)
     country = F.concat(F.lit("NATION_"), (user + F.when(k % 10 == 0, 1).otherwise(0)) % 25)
     return _log_row(
         ev,
@@ -220,23 +220,54 @@ def _legacy_log(spark: SparkSession, sf_dir: str, source: int | None = None) ->
     )
 
 
-def legacy_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _legacy_log(spark, sf_dir)
+_logs: dict[tuple[str, str], str] = {}
+
+
+def _log_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Write the logs as nested parquet by event_date, once per session and data folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _logs:
+        base = scratch_folder(spark, "event-logs")
+        logs = {"game": _game_log(spark, sf_dir), "launch": _launch_log(spark, sf_dir)}
+        logs |= {f"legacy/{n}": _legacy_log(spark, sf_dir, n) for n in range(3)}
+        for name, log in logs.items():
+            # rebalancing splits a day that holds most of the log and merges small ones
+            log.hint("rebalance", "event_date").write.partitionBy("event_date").parquet(
+                f"{base}/{name}"
+            )
+        _logs[key] = base
+    return _logs[key]
+
+
+def _log(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    log = event_log(spark, f"{_log_folder(spark, sf_dir)}/{name}")
+    return log.select(*schema.EVENT_LOG.fieldNames())
+
+
+def game_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _log(spark, sf_dir, "game")
+
+
+def launch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _log(spark, sf_dir, "launch")
 
 
 def legacy_sources(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """The legacy log as the three sources it is collected from."""
-    return [_legacy_log(spark, sf_dir, source) for source in range(3)]
+    return [_log(spark, sf_dir, f"legacy/{n}") for n in range(3)]
+
+
+def legacy_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return union_sources(legacy_sources(spark, sf_dir))
 
 
 def languages(spark: SparkSession) -> DataFrame:
     """Game length per language; English is listed twice."""
-    rows = [
-        ("english", 40, "English"), ("english", 40, "English (South Africa)"),
-        ("french", 38, "French"), ("swahili", 36, "Swahili"), ("zulu", 0, "Zulu"),
-        ("", 20, "Other"),
-    ]
-    return spark.createDataFrame(rows, schema.LANGUAGE_MAX_LEVEL)
+    return spark.sql("""
+        SELECT * FROM VALUES
+          ('english', 40L, 'English'), ('english', 40L, 'English (South Africa)'),
+          ('french', 38L, 'French'), ('swahili', 36L, 'Swahili'), ('zulu', 0L, 'Zulu'),
+          ('', 20L, 'Other')
+        AS t(app_language, max_level, display_language)""")
 
 
 def cohort_members(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -352,13 +352,17 @@ def keyed_update(spark, sf_dir):
 @query
 def cr_user_progress(spark, sf_dir):
     return learners.build_cr_user_progress(
-        A.game_log(spark, sf_dir), A.languages(spark), A.PROFILE, A.AS_OF
+        A.game_log(spark, sf_dir), A.languages(spark), A.PROFILE, A.AS_OF,
+        staging=scratch_folder(spark, "game-events"),
     )
 
 
 @query
 def unity_user_progress(spark, sf_dir):
-    return legacy.unity_user_progress(_legacy_events(spark, sf_dir), A.languages(spark))
+    return legacy.build_unity_user_progress(
+        A.legacy_log(spark, sf_dir), A.languages(spark), A.PROFILE, A.AS_OF,
+        staging=scratch_folder(spark, "legacy-events"),
+    )
 
 
 @query

@@ -10,8 +10,10 @@ from readtrail.config import AppProfile
 
 
 def _param(key: str, params: str) -> Column:
-    # get() yields NULL past the end of the array; [0] would raise in ANSI mode
-    return F.get(F.filter(params, lambda p: p["key"] == key), F.lit(0))["value"]
+    # Positions instead of filter(): a lambda can be neither compiled nor shared between
+    # lookups.  An absent key has position 0, and get() yields NULL at -1.
+    place = F.array_position(F.col(f"{params}.key"), key).cast("int") - 1
+    return F.get(params, place)["value"]
 
 
 def param_str(key: str, params: str = "event_params") -> Column:
@@ -31,7 +33,8 @@ def extract_or_null(text: Column, pattern: str, group: int = 1) -> Column:
 
 def url_param(url: Column, name: str) -> Column:
     """Lower-cased value of a URL query parameter."""
-    return F.lower(extract_or_null(url, rf"[?&]{name}=([^&]+)"))
+    # a match is never empty here, so '' can only mean that there was none
+    return F.lower(F.nullif(F.regexp_extract(url, rf"[?&]{name}=([^&]+)", 1), F.lit("")))
 
 
 def app_suffix(app_id: Column, marker: str) -> Column:

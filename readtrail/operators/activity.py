@@ -9,8 +9,8 @@ what is left per user is bounded by the length of the history, not by the number
 of events: five years of 121-second slices are 1.3 million rows.
 
 Where a result is wanted per event, slice results are joined back on
-(user, slice), a key that spreads a busy user over the whole cluster.
-Event times are epoch microseconds.
+(user, slice), a key that spreads a busy user over the whole cluster.  Events without
+a user id belong to one nameless user.  Event times are epoch microseconds.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from readtrail import config
 from readtrail.functions.dates import whole_seconds
+from readtrail.operators.matching import match_keys
 
 _TIE_SALTS = 256
 
@@ -75,9 +76,9 @@ def sessionize(
     Events at the same moment share a session.
     """
     sessions = session_slices(activity_slices(events, key, ts, gap), key, gap)
-    return events.withColumn("slice", _slice_start(ts, gap)).join(
-        sessions.select(key, "slice", "session_id"), [key, "slice"]
-    ).drop("slice")
+    sliced = events.withColumn("slice", _slice_start(ts, gap))
+    numbers = sessions.select(key, "slice", "session_id")
+    return match_keys(sliced, numbers, [key, "slice"], "inner").drop("slice")
 
 
 def event_deltas(
@@ -98,9 +99,8 @@ def event_deltas(
         F.min(tie).alias("first_tie")
     )
     in_slice = Window.partitionBy(key, "slice").orderBy(ts)
-    moments = moments.join(
-        slices.select(key, "slice", F.col("prev_us").alias("slice_prev_us")), [key, "slice"]
-    ).select(
+    before = slices.select(key, "slice", F.col("prev_us").alias("slice_prev_us"))
+    moments = match_keys(moments, before, [key, "slice"], "inner").select(
         key,
         ts,
         "first_tie",
@@ -108,7 +108,7 @@ def event_deltas(
     )
     prev = F.when(F.col(tie) == F.col("first_tie"), F.col("moment_prev_us")).otherwise(F.col(ts))
     return (
-        events.join(moments, [key, ts])
+        match_keys(events, moments, [key, ts], "inner")
         .withColumn("prev_us", prev)
         .withColumn("seconds_since_last", whole_seconds(F.col(ts), F.col("prev_us")))
         .drop("first_tie", "moment_prev_us")
@@ -147,7 +147,8 @@ def event_sequence(
         .orderBy(ts, "salt")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = groups.join(slices.select(key, "slice", "events_before"), [key, "slice"]).select(
+    before = slices.select(key, "slice", "events_before")
+    offsets = match_keys(groups, before, [key, "slice"], "inner").select(
         key,
         ts,
         "salt",
@@ -155,7 +156,7 @@ def event_sequence(
     )
     place = F.row_number().over(Window.partitionBy(key, ts, "salt").orderBy(tie))
     return (
-        salted.join(offsets, [key, ts, "salt"])
+        match_keys(salted, offsets, [key, ts, "salt"], "inner")
         .withColumn("rn", (F.col("offset") + place).cast("bigint"))
         .drop("slice", "salt", "offset")
     )

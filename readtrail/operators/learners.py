@@ -21,6 +21,7 @@ from readtrail.functions.params import (
     url_param,
 )
 from readtrail.operators.activity import session_stats_cr
+from readtrail.sources.snapshots import stage
 
 LEARNER = ["cr_user_id", "country", "app_language"]
 
@@ -242,10 +243,13 @@ CR_COLUMNS = [
 
 def build_cr_user_progress(
     raw: DataFrame, languages: DataFrame, profile: AppProfile, as_of: dt.date | None = None,
-    events: DataFrame | None = None,
+    staging: str | None = None,
 ) -> DataFrame:
-    """Progress table from the raw log, or from ``events`` already filtered and flat."""
-    if events is None:
-        events = filter_cr_events(raw, profile, as_of)
+    """Progress table from the raw log.
+
+    Roll-up and sessions both read the filtered events; see :func:`stage` for what
+    ``staging`` does about that.
+    """
+    events = stage(filter_cr_events(raw, profile, as_of), staging)
     table = cr_user_progress(events, languages)
     return table.withColumn("app", label_app(F.col("hostname"), profile)).select(*CR_COLUMNS)

@@ -14,6 +14,7 @@ from readtrail.functions import numbers as N
 from readtrail.functions.dates import in_reporting_window, micros_to_date, parse_day
 from readtrail.functions.params import app_suffix, level_from_action
 from readtrail.operators.activity import session_stats_unity
+from readtrail.sources.snapshots import stage
 
 _PLAIN_EVENTS = ["session_start", "user_engagement"]
 _PLAY_EVENT = "GamePlay"
@@ -178,3 +179,12 @@ def unity_user_progress(events: DataFrame, languages: DataFrame) -> DataFrame:
         # rows without a user id match no level check
         (F.col("has_gap") & F.col(key).isNotNull()).alias("skipped_level"),
     )
+
+
+def build_unity_user_progress(
+    raw: DataFrame, languages: DataFrame, profile: AppProfile, as_of: dt.date | None = None,
+    staging: str | None = None, dedupe_events: bool = False,
+) -> DataFrame:
+    """Legacy progress table from the raw log; ``staging`` as in :func:`stage`."""
+    events = stage(filter_unity_events(raw, profile, as_of, dedupe_events), staging)
+    return unity_user_progress(events, languages)

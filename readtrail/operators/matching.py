@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def match_keys(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
-    """Join on one equally named key, NULL equal to NULL; the left key is kept."""
-    renamed = right.withColumnRenamed(key, f"_right_{key}")
-    joined = left.join(renamed, F.col(key).eqNullSafe(F.col(f"_right_{key}")), how)
-    return joined if how in ("left_semi", "left_anti") else joined.drop(f"_right_{key}")
+def match_keys(left: DataFrame, right: DataFrame, keys: str | list[str], how: str) -> DataFrame:
+    """Join on equally named keys, NULL equal to NULL; the left keys are kept."""
+    keys = [keys] if isinstance(keys, str) else keys
+    renamed = {key: f"_right_{key}" for key in keys}
+    same = [F.col(mine).eqNullSafe(F.col(theirs)) for mine, theirs in renamed.items()]
+    joined = left.join(right.withColumnsRenamed(renamed), same, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*renamed.values())
 
 
 def semi_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -8,16 +8,11 @@ from pyspark.sql import DataFrame
 
 from readtrail.config import AppProfile
 from readtrail.operators.launches import app_launch
-from readtrail.operators.learners import build_cr_user_progress, filter_cr_events
-from readtrail.operators.legacy import filter_unity_events, union_sources, unity_user_progress
+from readtrail.operators.learners import build_cr_user_progress
+from readtrail.operators.legacy import build_unity_user_progress, union_sources
 from readtrail.sources.snapshots import export_run
 
 
-def _staged(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def build_tables(
     log: DataFrame,
     legacy_logs: list[DataFrame],
@@ -29,17 +24,16 @@ def build_tables(
 ) -> dict[str, DataFrame]:
     """The three learner tables, by name.
 
-    Roll-up and sessions both need the filtered events.  They are written once to
-    ``staging`` (a shared folder) as narrow flat rows, so the nested raw log is
-    scanned once and a lost executor costs a re-read, not a second scan.
+    Filtered events are written once to ``staging`` as narrow flat rows, so each
+    nested raw log is scanned once.
     """
-    events = _staged(filter_cr_events(log, profile, as_of), f"{staging}/game_events")
-    legacy = _staged(
-        filter_unity_events(union_sources(legacy_logs), profile, as_of), f"{staging}/legacy_events"
-    )
     return {
-        "cr_user_progress": build_cr_user_progress(log, languages, profile, events=events),
-        "unity_user_progress": unity_user_progress(legacy, languages),
+        "cr_user_progress": build_cr_user_progress(
+            log, languages, profile, as_of, f"{staging}/game_events"
+        ),
+        "unity_user_progress": build_unity_user_progress(
+            union_sources(legacy_logs), languages, profile, as_of, f"{staging}/legacy_events"
+        ),
         "cr_app_launch": app_launch(log, cohorts, profile, as_of),
     }
 

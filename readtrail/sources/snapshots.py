@@ -11,6 +11,19 @@ from pyspark.sql import functions as F
 from readtrail.functions.dates import export_day
 
 
+def stage(df: DataFrame, path: str | None) -> DataFrame:
+    """Write a table that several branches of a job read, and read it back.
+
+    The branches then scan a narrow file instead of each repeating the work up to
+    here, and a lost executor costs a re-read.  ``path`` belongs in a folder that all
+    executors share; without one the plan is returned as it is.
+    """
+    if path is None:
+        return df
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def export_run(df: DataFrame, base: str, run_date: dt.date | None = None) -> str:
     """Write a table to its run_date folder, replacing that day's files."""
     path = f"{base}/run_date={(run_date or export_day()).isoformat()}"
