@@ -16,9 +16,9 @@ from readtrail import AppProfile, schema
 from readtrail.operators.cleaning import clean_tables
 from readtrail.operators.cohorts import LearnerTables
 from readtrail.plans.nightly import run_nightly
-from readtrail.session import scratch_folder
+from readtrail.session import run_together, scratch_folder
 from readtrail.sources.events import event_log, union_sources
-from readtrail.sources.snapshots import load_latest_run
+from readtrail.sources.snapshots import load_latest_run, stage
 
 PROFILE = AppProfile(
     web_host="game.example.org",
@@ -230,11 +230,13 @@ def _log_folder(spark: SparkSession, sf_dir: str) -> str:
         base = scratch_folder(spark, "event-logs")
         logs = {"game": _game_log(spark, sf_dir), "launch": _launch_log(spark, sf_dir)}
         logs |= {f"legacy/{n}": _legacy_log(spark, sf_dir, n) for n in range(3)}
-        for name, log in logs.items():
+
+        def write(name: str, log: DataFrame) -> None:
             # rebalancing splits a day that holds most of the log and merges small ones
-            log.hint("rebalance", "event_date").write.partitionBy("event_date").parquet(
-                f"{base}/{name}"
-            )
+            log = log.hint("rebalance", "event_date")
+            log.write.partitionBy("event_date").parquet(f"{base}/{name}")
+
+        run_together(*[lambda name=name, log=log: write(name, log) for name, log in logs.items()])
         _logs[key] = base
     return _logs[key]
 
@@ -373,11 +375,12 @@ def built_tables(spark: SparkSession, sf_dir: str) -> tuple[LearnerTables, Learn
             load_latest_run(spark, f"{base}/{name}")
             for name in ("cr_user_progress", "unity_user_progress", "cr_app_launch")
         ])
-        clean = []
         cleaned = clean_tables(raw.progress, raw.legacy, raw.launches)
-        for name, df in zip(("progress", "legacy", "launches"), cleaned):
-            df.write.mode("overwrite").parquet(f"{base}/clean/{name}")
-            clean.append(spark.read.parquet(f"{base}/clean/{name}"))
+        names = ("progress", "legacy", "launches")
+        clean = run_together(*[
+            lambda name=name, df=df: stage(df, f"{base}/clean/{name}")
+            for name, df in zip(names, cleaned)
+        ])
         _built[key] = raw, LearnerTables(*clean)
     return _built[key]
 

@@ -10,45 +10,39 @@ from readtrail.config import AppProfile
 from readtrail.operators.launches import app_launch
 from readtrail.operators.learners import build_cr_user_progress
 from readtrail.operators.legacy import build_unity_user_progress, union_sources
+from readtrail.session import run_together
 from readtrail.sources.snapshots import export_run
 
 
-def build_tables(
+def run_nightly(
     log: DataFrame,
     legacy_logs: list[DataFrame],
     languages: DataFrame,
     cohorts: DataFrame,
     profile: AppProfile,
     staging: str,
+    base: str,
     as_of: dt.date | None = None,
-) -> dict[str, DataFrame]:
-    """The three learner tables, by name.
+    run_date: dt.date | None = None,
+) -> dict[str, str]:
+    """Build the three learner tables and write each to ``<base>/<name>/run_date=…``.
 
-    Filtered events are written once to ``staging`` as narrow flat rows, so each
-    nested raw log is scanned once.
+    Filtered events are written once to ``staging`` (a shared folder) as narrow flat
+    rows, so each nested raw log is scanned once for its progress table.  Gives the
+    paths by table name.
     """
-    return {
-        "cr_user_progress": build_cr_user_progress(
+    legacy = union_sources(legacy_logs)
+    builds = {
+        "cr_user_progress": lambda: build_cr_user_progress(
             log, languages, profile, as_of, f"{staging}/game_events"
         ),
-        "unity_user_progress": build_unity_user_progress(
-            union_sources(legacy_logs), languages, profile, as_of, f"{staging}/legacy_events"
+        "unity_user_progress": lambda: build_unity_user_progress(
+            legacy, languages, profile, as_of, f"{staging}/legacy_events"
         ),
-        "cr_app_launch": app_launch(log, cohorts, profile, as_of),
+        "cr_app_launch": lambda: app_launch(log, cohorts, profile, as_of),
     }
-
-
-def export_tables(
-    tables: dict[str, DataFrame], base: str, run_date: dt.date | None = None
-) -> dict[str, str]:
-    """Write each table to ``<base>/<name>/run_date=…``; paths by table name."""
-    return {name: export_run(df, f"{base}/{name}", run_date) for name, df in tables.items()}
-
-
-def run_nightly(
-    log: DataFrame, legacy_logs: list[DataFrame], languages: DataFrame,
-    cohorts: DataFrame, profile: AppProfile, staging: str, base: str,
-    as_of: dt.date | None = None, run_date: dt.date | None = None,
-) -> dict[str, str]:
-    tables = build_tables(log, legacy_logs, languages, cohorts, profile, staging, as_of)
-    return export_tables(tables, base, run_date)
+    paths = run_together(*[
+        lambda name=name, build=build: export_run(build(), f"{base}/{name}", run_date)
+        for name, build in builds.items()
+    ])
+    return dict(zip(builds, paths))

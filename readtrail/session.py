@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import SparkSession
 
+T = TypeVar("T")
+
 # settings the jobs rely on for skewed keys; a cluster keeps its own partition counts
 SKEW_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -32,3 +37,9 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="readtrail-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def run_together(*jobs: Callable[[], T]) -> list[T]:
+    """Submit independent Spark jobs at once, so one fills the gaps of another."""
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(job) for job in jobs]]
