@@ -41,7 +41,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pick(names: list[str | None], index: Column) -> Column:
+def pick(names: list[str | None], index: Column) -> Column:
     return F.get(F.array(*[F.lit(n).cast("string") for n in names]), index.cast("int"))
 
 
@@ -123,7 +123,7 @@ def _game_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "click", "puzzle_completed")
         .when(kind == "purchase", "level_completed")
     )
-    language = _pick(LANGUAGES, (user + F.when(k % 8 == 0, 1).otherwise(0)) % 4)
+    language = pick(LANGUAGES, (user + F.when(k % 8 == 0, 1).otherwise(0)) % 4)
     page = F.concat(
         F.when(k % 29 == 0, "http").otherwise("https"),
         F.lit(f"://{PROFILE.web_host}/index.html?x=1"),
@@ -160,8 +160,8 @@ def _launch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event log of the container app; some learners occur in no game log."""
     k, user = F.col("k"), F.col("user_id")
     language = F.when(
-        k < 20, _pick(["english", "french", "swahili", None], k % 4)
-    ).otherwise(_pick(LANGUAGES, user % 4))
+        k < 20, pick(["english", "french", "swahili", None], k % 4)
+    ).otherwise(pick(LANGUAGES, user % 4))
     url = F.concat(
         F.when(k % 27 == 0, "https://other.example.org").otherwise(f"https://{PROFILE.web_host}"),
         F.lit("/?s=1"),
@@ -213,7 +213,7 @@ def _legacy_log(spark: SparkSession, sf_dir: str, source: int) -> DataFrame:
         host=F.lit(None).cast("string"),
         app_id=F.when(user % 17 == 3, "org.example.other").otherwise(F.concat(
             F.lit("org.example.LegacyReader"),
-            _pick(["English", "French", "Swahili", ""], user % 4),
+            pick(["English", "French", "Swahili", ""], user % 4),
         )),
         version=F.concat(F.lit("1."), k % 5),
         country=country,
@@ -311,7 +311,7 @@ def _campaign_name() -> Column:
         F.when(c % 10 == 0, "Brand awareness")
         .when(c % 10 == 5, "Ads: general")
         .otherwise(F.concat(
-            F.lit("Ads: "), _pick(LANGUAGES, c % 4), F.lit(" - NATION_"), c % 25,
+            F.lit("Ads: "), pick(LANGUAGES, c % 4), F.lit(" - NATION_"), c % 25,
             F.when(c % 3 == 0, " Campaign").otherwise(""),
         ))
     )

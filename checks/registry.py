@@ -38,7 +38,7 @@ WIDE_GAP = 3600
 
 
 def query(fn: Query) -> Query:
-    _queries[fn.__name__] = fn
+    _queries[fn.__name__.rstrip("_")] = fn
     return fn
 
 
@@ -186,14 +186,11 @@ def action_level(spark, sf_dir):
 
 
 @query
-def funnel_stage_number(spark, sf_dir):
+def funnel_stage_(spark, sf_dir):
     log = A.game_log(spark, sf_dir).withColumn("stage", funnel_stage(F.col("event_name")))
     return log.select("event_timestamp", "stage", event_of_stage(F.col("stage")).alias("event"))
 
 
-_queries["funnel_stage"] = _queries.pop("funnel_stage_number")
-
-
 @query
 def milestone_flags(spark, sf_dir):
     progress = A.raw_tables(spark, sf_dir).progress.withColumn(
@@ -236,7 +233,7 @@ def active_span(spark, sf_dir):
 def language_alias(spark, sf_dir):
     names = ["ukranian", "malgache", "arabictest", "farsitest", "english", None]
     rows = A.events(spark, sf_dir).select(
-        "event_id", A._pick(names, F.col("k") % 6).alias("app_language")
+        "event_id", A.pick(names, F.col("k") % 6).alias("app_language")
     )
     return cleaning.clean_language(rows)
 

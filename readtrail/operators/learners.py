@@ -250,6 +250,7 @@ def build_cr_user_progress(
     Roll-up and sessions both read the filtered events; see :func:`stage` for what
     ``staging`` does about that.
     """
-    events = stage(filter_cr_events(raw, profile, as_of), staging)
+    events = filter_cr_events(raw, profile, as_of).drop("success_or_failure")
+    events = stage(events, staging)
     table = cr_user_progress(events, languages)
     return table.withColumn("app", label_app(F.col("hostname"), profile)).select(*CR_COLUMNS)

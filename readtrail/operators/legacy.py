@@ -186,5 +186,5 @@ def build_unity_user_progress(
     staging: str | None = None, dedupe_events: bool = False,
 ) -> DataFrame:
     """Legacy progress table from the raw log; ``staging`` as in :func:`stage`."""
-    events = stage(filter_unity_events(raw, profile, as_of, dedupe_events), staging)
-    return unity_user_progress(events, languages)
+    events = filter_unity_events(raw, profile, as_of, dedupe_events).drop("event_name")
+    return unity_user_progress(stage(events, staging), languages)
