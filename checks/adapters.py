@@ -242,8 +242,7 @@ def _log_folder(spark: SparkSession, sf_dir: str) -> str:
 
 
 def _log(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    log = event_log(spark, f"{_log_folder(spark, sf_dir)}/{name}")
-    return log.select(*schema.EVENT_LOG.fieldNames())
+    return event_log(spark, f"{_log_folder(spark, sf_dir)}/{name}")
 
 
 def game_log(spark: SparkSession, sf_dir: str) -> DataFrame:

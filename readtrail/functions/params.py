@@ -43,12 +43,14 @@ def app_suffix(app_id: Column, marker: str) -> Column:
 
 
 def is_standalone_host(hostname: Column, profile: AppProfile) -> Column:
-    return hostname.rlike(rf"^(.+)\Q{profile.standalone_suffix}\E$")
+    """Host of the form '<prefix><standalone suffix>', the prefix not empty."""
+    suffix = profile.standalone_suffix
+    return hostname.endswith(suffix) & (F.length(hostname) > len(suffix))
 
 
 def label_app(hostname: Column, profile: AppProfile) -> Column:
     """App label of a host: bundled build, '<prefix>-standalone', else 'CR'."""
-    prefix = F.regexp_extract(hostname, rf"^(.+)\Q{profile.standalone_suffix}\E$", 1)
+    prefix = F.left(hostname, F.length(hostname) - len(profile.standalone_suffix))
     return (
         F.when(hostname == profile.bundled_host, F.lit(profile.bundled_label))
         .when(is_standalone_host(hostname, profile), F.concat(prefix, F.lit("-standalone")))

@@ -7,6 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from readtrail import schema
+from readtrail.functions.params import param_str
 from readtrail.operators import launches
 from readtrail.plans.load_clean import load_clean
 from readtrail.plans.nightly import run_nightly
@@ -30,6 +31,23 @@ def test_event_log_prunes_days(spark, raw_events, tmp_path):
     assert event_log(spark, str(tmp_path / "log")).count() == 4
 
 
+def test_event_log_reads_only_declared_fields(spark, raw_events, tmp_path):
+    """A full log has more value types and columns; the scan leaves them alone."""
+    wide = raw_events({}).withColumn("extra", F.lit(1)).withColumn(
+        "event_params",
+        F.transform("event_params", lambda p: F.struct(
+            p["key"].alias("key"),
+            F.struct(F.lit(1.5).alias("double_value"), p["value"]["string_value"].alias("string_value"),
+                     p["value"]["int_value"].alias("int_value")).alias("value"),
+        )),
+    )
+    wide.write.partitionBy("event_date").parquet(str(tmp_path / "log"))
+    df = event_log(spark, str(tmp_path / "log"))
+    assert df.schema["event_params"].dataType == schema.EVENT_LOG["event_params"].dataType
+    assert "double_value" not in df._jdf.queryExecution().executedPlan().toString()
+    assert df.select(param_str("cr_user_id")).first()[0] == "u1"
+
+
 def test_latest_run(spark, tmp_path):
     base = str(tmp_path / "t")
     with pytest.raises(FileNotFoundError):
