@@ -13,12 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readtrail import AppProfile, schema
-from readtrail.operators.cleaning import clean_tables
 from readtrail.operators.cohorts import LearnerTables
+from readtrail.plans.load_clean import load_clean, load_raw
 from readtrail.plans.nightly import run_nightly
 from readtrail.session import run_together, scratch_folder
 from readtrail.sources.events import event_log, union_sources
-from readtrail.sources.snapshots import load_latest_run, stage
 
 PROFILE = AppProfile(
     web_host="game.example.org",
@@ -370,17 +369,7 @@ def built_tables(spark: SparkSession, sf_dir: str) -> tuple[LearnerTables, Learn
             log, legacy_sources(spark, sf_dir), languages(spark), cohort_members(spark, sf_dir),
             PROFILE, f"{base}/staging", base, AS_OF, RUN_DATE,
         )
-        raw = LearnerTables(*[
-            load_latest_run(spark, f"{base}/{name}")
-            for name in ("cr_user_progress", "unity_user_progress", "cr_app_launch")
-        ])
-        cleaned = clean_tables(raw.progress, raw.legacy, raw.launches)
-        names = ("progress", "legacy", "launches")
-        clean = run_together(*[
-            lambda name=name, df=df: stage(df, f"{base}/clean/{name}")
-            for name, df in zip(names, cleaned)
-        ])
-        _built[key] = raw, LearnerTables(*clean)
+        _built[key] = load_raw(spark, base), load_clean(spark, base, staging=f"{base}/clean")
     return _built[key]
 
 

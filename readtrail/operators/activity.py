@@ -134,7 +134,8 @@ def event_sequence(
 
     The number is the count of events before the slice, plus those earlier in the
     slice, plus the place among events of the same moment.  Equal moments are spread
-    over salts first, so the only per-event window runs within (user, moment, salt).
+    over salts first, so the only per-event window runs within (user, moment, salt); the
+    window within a slice sees each moment at most once per salt.
     """
     salted = events.withColumns({
         "slice": _slice_start(ts, gap),

@@ -130,10 +130,11 @@ def first_by_order(
     events: DataFrame, keys: list[str], values: list[str], day: str = "event_dt",
     ts: str = "event_timestamp",
 ) -> DataFrame:
-    """Values of the earliest event of each group (earliest day, then time, then value).
+    """Values of the earliest event of each group.
 
-    Grouped by the values as well first: few distinct ones remain, and that
-    aggregate keeps only numbers per group.
+    Grouped by the values as well first: few distinct ones remain, and that aggregate
+    keeps only numbers per group.  Order is the earliest day with these values, then the
+    earliest time with them, then the values.
     """
     distinct = events.groupBy(*keys, *values).agg(
         F.min(day).alias("_day"), F.min(ts).alias("_ts")

@@ -115,10 +115,22 @@ def _furthest_event(levels: Column, puzzles: Column, starts: Column) -> Column:
 
 
 _FLAGS = ["level_completed_flag", "puzzle_completed_flag", "session_start_flag"]
-_FIRSTS = ["first_open", "level_success_date", "reader_date"]
+_FIRSTS = ["first_open", "level_success_date", "reader_date", "first_event_date"]
 _TEXTS = ["country", "app_language", "app_version"]
 
 
+def _fold_numbers() -> list[Column]:
+    return (
+        [F.min(c).alias(c) for c in _FIRSTS]
+        + [F.sum(c).alias(c) for c in _FLAGS]
+        + [F.max("last_event_date").alias("last_event_date")]
+    )
+
+
+def _fold_texts() -> list[Column]:
+    return [F.max(c).alias(c) for c in [*_TEXTS, "max_game_level"]]
+
+
 def unity_user_progress(events: DataFrame, languages: DataFrame) -> DataFrame:
     """Legacy progress table, one row per user, from :func:`filter_unity_events`.
 
@@ -127,22 +139,16 @@ def unity_user_progress(events: DataFrame, languages: DataFrame) -> DataFrame:
     (user, level), which gives the distinct levels; per user.
     """
     key = "user_pseudo_id"
-    fold = lambda: (
-        [F.min(c).alias(c) for c in _FIRSTS]
-        + [F.sum(c).alias(c) for c in _FLAGS]
-        + [F.min("first_event_date").alias("first_event_date"),
-           F.max("last_event_date").alias("last_event_date")]
-    )
     by_text = events.withColumns({
         "first_event_date": F.col("event_dt"), "last_event_date": F.col("event_dt"),
-    }).groupBy(key, "user_level", *_TEXTS).agg(*fold())
+    }).groupBy(key, "user_level", *_TEXTS).agg(*_fold_numbers())
     by_level = join_dedup_dim(by_text, languages).groupBy(key, "user_level").agg(
-        *fold(), *[F.max(c).alias(c) for c in [*_TEXTS, "max_game_level"]]
+        *_fold_numbers(), *_fold_texts()
     )
     level = F.col("user_level")
     users = by_level.groupBy(key).agg(
-        *fold(),
-        *[F.max(c).alias(c) for c in [*_TEXTS, "max_game_level"]],
+        *_fold_numbers(),
+        *_fold_texts(),
         F.coalesce(F.max(level), F.lit(0)).alias("max_user_level"),
         F.coalesce(F.count_if(level >= 1) < F.max(level), F.lit(False)).alias("has_gap"),
     ).withColumn(

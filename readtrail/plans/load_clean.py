@@ -6,12 +6,31 @@ from pyspark.sql import SparkSession
 
 from readtrail.operators.cleaning import clean_tables
 from readtrail.operators.cohorts import LearnerTables
-from readtrail.sources.snapshots import load_latest_run, require_rows
+from readtrail.session import run_together
+from readtrail.sources.snapshots import load_latest_run, require_rows, stage
 
+TABLES = ["cr_user_progress", "unity_user_progress", "cr_app_launch"]
 
-def load_clean(spark: SparkSession, base: str, strict_match: bool = False) -> LearnerTables:
-    """Newest run of the three tables under ``base``, cleaned; raises if one is empty."""
-    names = ["cr_user_progress", "unity_user_progress", "cr_app_launch"]
-    raw = {name: load_latest_run(spark, f"{base}/{name}") for name in names}
+
+def load_raw(spark: SparkSession, base: str) -> LearnerTables:
+    """Newest run of the three tables under ``base``; raises if one is empty."""
+    raw = {name: load_latest_run(spark, f"{base}/{name}") for name in TABLES}
     require_rows(**raw)
-    return LearnerTables(*clean_tables(*raw.values(), strict_match=strict_match))
+    return LearnerTables(*raw.values())
+
+
+def load_clean(
+    spark: SparkSession, base: str, strict_match: bool = False, staging: str | None = None
+) -> LearnerTables:
+    """Newest run of the three tables under ``base``, cleaned.
+
+    Many reports read the same cleaned tables: with ``staging``, a shared folder, they
+    are written once and read from there, instead of being cleaned anew by each report.
+    """
+    raw = load_raw(spark, base)
+    cleaned = clean_tables(raw.progress, raw.legacy, raw.launches, strict_match)
+    if staging is None:
+        return LearnerTables(*cleaned)
+    return LearnerTables(*run_together(*[
+        lambda name=name, df=df: stage(df, f"{staging}/{name}") for name, df in zip(TABLES, cleaned)
+    ]))

@@ -31,4 +31,3 @@ EVENT_LOG = T.StructType([
 
 LANGUAGE_MAX_LEVEL = "app_language string, max_level bigint, display_language string"
 COHORTS = "cr_user_id string, cohort_name string"
-APP_VERSIONS = "app_version string"

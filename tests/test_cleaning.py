@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from conftest import rows
@@ -190,3 +191,69 @@ def test_dedupe_keeps_first(spark):
     df = spark.createDataFrame([("a", None), ("a", 2), ("a", 1)], "k string, v int")
     assert rows(matching.dedupe(df, "k", matching.ascending("v"))) == [("a", 1)]
     assert rows(matching.dedupe(df, "k", matching.descending(F.col("v")))) == [("a", 2)]
+
+
+def plain_launch_choice(rows_, best, strict):
+    """The launch row of each learner by plain loops: {user: (device, language, country, day)}."""
+    def first(items):
+        return min(items, key=lambda r: (
+            r["day"] is None, -(r["day"] or D(1970, 1, 1)).toordinal(), r["country"] is None, r["country"] or "",
+            r["language"] is None, r["language"] or "", r["device"] is None, r["device"] or "",
+        ))
+
+    repeated = {r["device"] for r in rows_ if sum(s["device"] == r["device"] for s in rows_) > 1}
+    out = {}
+    for user in {r["user"] for r in rows_}:
+        mine = [r for r in rows_ if r["user"] == user]
+        dup = [r for r in mine if r["device"] in repeated]
+        progress = best.get(user)
+        if not dup:
+            chosen = dict(first(mine))
+            if progress:
+                chosen["language"] = progress["language"]
+        else:
+            named = [r for r in dup if r["language"] is not None]
+            if strict:
+                named = [r for r in named if progress and r["language"] == progress["language"]
+                         and r["country"] == progress["country"]]
+            if named:
+                chosen = first(named)
+            elif progress is None:
+                chosen = first(dup)
+            else:
+                continue
+        out[user] = (chosen["device"], chosen["language"], chosen["country"], chosen["day"])
+    return out
+
+
+@pytest.mark.parametrize("strict", [False, True])
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_single_language_against_brute_force(spark, launch, users, seed, strict):
+    rng = random.Random(seed)
+    pick = rng.choice
+    log = [
+        {"user": f"u{rng.randrange(60)}", "device": pick([None, *[f"d{i}" for i in range(150)]]) if rng.random() < 0.9
+         else None, "language": pick([None, "english", "french", "zulu"]), "country": pick(["Kenya", "Ghana", None]),
+         "day": pick([None, D(2024, 1, 1), D(2024, 1, 2), D(2024, 1, 3)])}
+        for _ in range(140)
+    ]
+    log = [dict(t) for t in {tuple(r.items()) for r in log}]
+    progress = [
+        {"user": f"u{i}", "country": pick(["Kenya", "Ghana"]), "language": pick([None, "english", "french"]),
+         "app": pick(["CR", "x-standalone"]), "events": n}
+        for i in range(0, 60, 2) for n in range(rng.randrange(1, 3))
+    ]
+    best = {}
+    for r in progress:
+        if r["user"] not in best or r["events"] > best[r["user"]]["events"]:
+            best[r["user"]] = r
+    launches_df = launch(*[(r["user"], r["device"], r["language"], r["day"], r["country"]) for r in log])
+    users_df = users(*progress)
+    want = plain_launch_choice(log, best, strict)
+    out = cleaning.single_language_launch(launches_df, users_df, strict)
+    got = {r.cr_user_id: (r.user_pseudo_id, r.app_language, r.country, r.first_open) for r in out.collect()}
+    assert got == want
+    done = cleaning.single_language_users(launches_df, users_df, strict)
+    assert {r.cr_user_id: r.first_open for r in done.collect()} == {
+        u: (want[u][3] if u in want else None) if r["app"] == "CR" else D(2024, 2, 2) for u, r in best.items()
+    }
