@@ -60,24 +60,24 @@ def _present(params: list[tuple[Column | None, Column]]) -> Column:
     return F.filter(F.array(*kept), lambda p: p.isNotNull())
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Driver events with k, microseconds, day number, learner and nation name."""
+def plain_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Driver events with k, microseconds, day and learner."""
     base = _table(spark, sf_dir, "events").withColumns({
         "k": F.get_json_object("props", "$.k").cast("bigint"),
         "us": F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"),
         "day": F.to_date("ts"),
     })
     base = base.withColumn("period", F.floor(F.unix_date("day") / 2))
+    return base.withColumn("learner", F.concat_ws("-", "user_id", "period"))
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain events with the name of the user's nation."""
     nation = _table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").cast("bigint").alias("nation_no"), "n_name"
     )
-    return (
-        base.withColumns({
-            "learner": F.concat_ws("-", "user_id", "period"),
-            "nation_no": F.col("user_id") % 25,
-        })
-        .join(nation, "nation_no", "left")
-    )
+    base = plain_events(spark, sf_dir).withColumn("nation_no", F.col("user_id") % 25)
+    return base.join(nation, "nation_no", "left")
 
 
 def _first_touch(days: Column) -> Column:
@@ -200,7 +200,7 @@ def _legacy_log(spark: SparkSession, sf_dir: str, source: int) -> DataFrame:
         (plain & (k % 19 != 0), _param("screen", F.lit("main"))),
         (plain & (k % 19 != 0), _param("engagement_ms", number=k)),
     ])
-    ev = events(spark, sf_dir).where(user % 3 == source)
+    ev = plain_events(spark, sf_dir).where(user % 3 == source)
     country = F.concat(F.lit("NATION_"), (user + F.when(k % 10 == 0, 1).otherwise(0)) % 25)
     return _log_row(
         ev,
@@ -219,29 +219,32 @@ def _legacy_log(spark: SparkSession, sf_dir: str, source: int) -> DataFrame:
     )
 
 
-_logs: dict[tuple[str, str], str] = {}
+_LOGS = {
+    "game": _game_log,
+    "launch": _launch_log,
+    **{f"legacy-{n}": lambda spark, sf_dir, n=n: _legacy_log(spark, sf_dir, n) for n in range(3)},
+}
+_log_folders: dict[tuple[str, str, str], str] = {}
 
 
-def _log_folder(spark: SparkSession, sf_dir: str) -> str:
-    """Write the logs as nested parquet by event_date, once per session and data folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _logs:
-        base = scratch_folder(spark, "event-logs")
-        logs = {"game": _game_log(spark, sf_dir), "launch": _launch_log(spark, sf_dir)}
-        logs |= {f"legacy/{n}": _legacy_log(spark, sf_dir, n) for n in range(3)}
-
-        def write(name: str, log: DataFrame) -> None:
-            # rebalancing splits a day that holds most of the log and merges small ones
-            log = log.hint("rebalance", "event_date")
-            log.write.partitionBy("event_date").parquet(f"{base}/{name}")
+def _log(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A log read back as nested parquet by event_date.
 
-        run_together(*[lambda name=name, log=log: write(name, log) for name, log in logs.items()])
-        _logs[key] = base
-    return _logs[key]
+    It is written once per session and data folder, by whichever query needs it first.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _log_folders:
+        folder = scratch_folder(spark, f"{name}-log")
+        # rebalancing splits a day that holds most of the log and merges small ones
+        log = _LOGS[name](spark, sf_dir).hint("rebalance", "event_date")
+        log.write.partitionBy("event_date").parquet(folder)
+        _log_folders[key] = folder
+    return event_log(spark, _log_folders[key])
 
 
-def _log(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return event_log(spark, f"{_log_folder(spark, sf_dir)}/{name}")
+def build_logs(spark: SparkSession, sf_dir: str) -> None:
+    """Write all logs, side by side."""
+    run_together(*[lambda name=name: _log(spark, sf_dir, name) for name in _LOGS])
 
 
 def game_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +256,7 @@ def launch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def legacy_sources(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    return [_log(spark, sf_dir, f"legacy/{n}") for n in range(3)]
+    return [_log(spark, sf_dir, f"legacy-{n}") for n in range(3)]
 
 
 def legacy_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,7 +275,7 @@ def languages(spark: SparkSession) -> DataFrame:
 
 def cohort_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cohorts of learners: the customer's segment, and a pilot; some are in both."""
-    learners = events(spark, sf_dir).select("user_id", "learner").distinct()
+    learners = plain_events(spark, sf_dir).select("user_id", "learner").distinct()
     customer = _table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("cohort_name")
     )
@@ -290,7 +293,7 @@ def display_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def app_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     version = F.concat(F.lit("v1.0."), F.col("k"))
-    return events(spark, sf_dir).select(version.alias("app_version")).distinct()
+    return plain_events(spark, sf_dir).select(version.alias("app_version")).distinct()
 
 
 # --- advertising ---------------------------------------------------------------
@@ -364,6 +367,7 @@ def built_tables(spark: SparkSession, sf_dir: str) -> tuple[LearnerTables, Learn
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
         base = scratch_folder(spark, "learner-tables")
+        build_logs(spark, sf_dir)
         log = game_log(spark, sf_dir).unionByName(launch_log(spark, sf_dir))
         run_nightly(
             log, legacy_sources(spark, sf_dir), languages(spark), cohort_members(spark, sf_dir),

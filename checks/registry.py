@@ -66,7 +66,7 @@ def _legacy_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bare event stream: event_id, user_id, event_timestamp."""
-    return A.events(spark, sf_dir).select(
+    return A.plain_events(spark, sf_dir).select(
         "event_id", "user_id", F.col("us").alias("event_timestamp")
     )
 
@@ -232,7 +232,7 @@ def active_span(spark, sf_dir):
 @query
 def language_alias(spark, sf_dir):
     names = ["ukranian", "malgache", "arabictest", "farsitest", "english", None]
-    rows = A.events(spark, sf_dir).select(
+    rows = A.plain_events(spark, sf_dir).select(
         "event_id", A.pick(names, F.col("k") % 6).alias("app_language")
     )
     return cleaning.clean_language(rows)
@@ -243,7 +243,7 @@ def date_coerce(spark, sf_dir):
     k = F.col("k")
     month, day = F.lpad((k % 14).cast("string"), 2, "0"), F.lpad((k % 35).cast("string"), 2, "0")
     text = F.when(k % 10 == 9, "no date").otherwise(F.concat_ws("-", F.lit("2024"), month, day))
-    rows = A.events(spark, sf_dir).select("event_id", text.alias("first_open"))
+    rows = A.plain_events(spark, sf_dir).select("event_id", text.alias("first_open"))
     return fix_dates(rows, ["first_open", "last_event_date"])
 
 

@@ -15,14 +15,29 @@ a user id belong to one nameless user.  Event times are epoch microseconds.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from readtrail import config
 from readtrail.functions.dates import whole_seconds
-from readtrail.operators.matching import match_keys
 
 _TIE_SALTS = 256
+_USER = ["_user", "_nameless"]
+
+
+def _keys(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else key
+
+
+def _named(events: DataFrame, key: str) -> DataFrame:
+    """Add a never-NULL form of the user id.
+
+    Plain equality on it serves grouping, windows and joins alike, so one shuffle can
+    serve several of them; NULL-safe join keys would each need a shuffle of their own.
+    """
+    return events.withColumns({
+        "_user": F.coalesce(F.col(key).cast("string"), F.lit("")), "_nameless": F.col(key).isNull(),
+    })
 
 
 def _slice_start(ts: str, gap: int) -> Column:
@@ -32,13 +47,13 @@ def _slice_start(ts: str, gap: int) -> Column:
 
 def activity_slices(
     events: DataFrame,
-    key: str,
+    key: str | list[str],
     ts: str = "event_timestamp",
     gap: int = config.SESSION_GAP_SECONDS,
     extra: list[Column] | None = None,
 ) -> DataFrame:
     """One row per (user, slice): first_us, last_us, n_events and ``extra`` aggregates."""
-    return events.groupBy(key, _slice_start(ts, gap).alias("slice")).agg(
+    return events.groupBy(*_keys(key), _slice_start(ts, gap).alias("slice")).agg(
         F.min(ts).alias("first_us"),
         F.max(ts).alias("last_us"),
         F.count(F.lit(1)).alias("n_events"),
@@ -46,19 +61,18 @@ def activity_slices(
     )
 
 
-def session_slices(slices: DataFrame, key: str, gap: int = config.SESSION_GAP_SECONDS) -> DataFrame:
+def session_slices(
+    slices: DataFrame, key: str | list[str], gap: int = config.SESSION_GAP_SECONDS
+) -> DataFrame:
     """Add seconds_since_last, is_new_session and session_id to slices.
 
     A session starts at a user's first slice and wherever more than ``gap`` whole
-    seconds passed since the event before.  ``events_before`` and ``prev_us`` are the
-    count of earlier events and the time of the latest of them.
+    seconds passed since ``prev_us``, the time of the event before.
     """
-    in_order = Window.partitionBy(key).orderBy("slice")
-    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    marked = slices.withColumns({
-        "prev_us": F.lag("last_us").over(in_order),
-        "events_before": F.coalesce(F.sum("n_events").over(earlier), F.lit(0)),
-    }).withColumn("seconds_since_last", whole_seconds(F.col("first_us"), F.col("prev_us")))
+    in_order = Window.partitionBy(*_keys(key)).orderBy("slice")
+    marked = slices.withColumn("prev_us", F.lag("last_us").over(in_order)).withColumn(
+        "seconds_since_last", whole_seconds(F.col("first_us"), F.col("prev_us"))
+    )
     starts = F.col("seconds_since_last").isNull() | (F.col("seconds_since_last") > gap)
     return marked.withColumn("is_new_session", F.when(starts, 1).otherwise(0)).withColumn(
         "session_id", F.sum("is_new_session").over(in_order)
@@ -75,10 +89,10 @@ def sessionize(
 
     Events at the same moment share a session.
     """
-    sessions = session_slices(activity_slices(events, key, ts, gap), key, gap)
-    sliced = events.withColumn("slice", _slice_start(ts, gap))
-    numbers = sessions.select(key, "slice", "session_id")
-    return match_keys(sliced, numbers, [key, "slice"], "inner").drop("slice")
+    sliced = _named(events, key).withColumn("slice", _slice_start(ts, gap))
+    sessions = session_slices(activity_slices(sliced, _USER, ts, gap), _USER, gap)
+    numbers = sessions.select(*_USER, "slice", "session_id")
+    return sliced.join(numbers, [*_USER, "slice"], "left").select(*events.columns, "session_id")
 
 
 def event_deltas(
@@ -94,24 +108,23 @@ def event_deltas(
     ``tie`` is a unique column that orders events at the same moment.  Moments, not
     events, are what the window orders, so a pile of equal times costs one row.
     """
-    slices = session_slices(activity_slices(events, key, ts, gap), key, gap)
-    moments = events.groupBy(key, _slice_start(ts, gap).alias("slice"), ts).agg(
-        F.min(tie).alias("first_tie")
-    )
-    in_slice = Window.partitionBy(key, "slice").orderBy(ts)
-    before = slices.select(key, "slice", F.col("prev_us").alias("slice_prev_us"))
-    moments = match_keys(moments, before, [key, "slice"], "inner").select(
-        key,
+    sliced = _named(events, key).withColumn("slice", _slice_start(ts, gap))
+    slices = session_slices(activity_slices(sliced, _USER, ts, gap), _USER, gap)
+    before = slices.select(*_USER, "slice", F.col("prev_us").alias("slice_prev_us"))
+    moments = sliced.groupBy(*_USER, "slice", ts).agg(F.min(tie).alias("first_tie"))
+    in_slice = Window.partitionBy(*_USER, "slice").orderBy(ts)
+    moments = moments.join(before, [*_USER, "slice"]).select(
+        *_USER,
         ts,
         "first_tie",
         F.coalesce(F.lag(ts).over(in_slice), F.col("slice_prev_us")).alias("moment_prev_us"),
     )
     prev = F.when(F.col(tie) == F.col("first_tie"), F.col("moment_prev_us")).otherwise(F.col(ts))
     return (
-        match_keys(events, moments, [key, ts], "inner")
+        sliced.join(moments, [*_USER, ts], "left")
         .withColumn("prev_us", prev)
         .withColumn("seconds_since_last", whole_seconds(F.col(ts), F.col("prev_us")))
-        .drop("first_tie", "moment_prev_us")
+        .select(*events.columns, "prev_us", "seconds_since_last")
     )
 
 
@@ -123,6 +136,12 @@ def mark_sessions(deltas: DataFrame, gap: int = config.SESSION_GAP_SECONDS) -> D
     )
 
 
+def _sum_before(column: str, window: WindowSpec) -> Column:
+    """Sum over the rows before the current one, 0 for the first."""
+    earlier = F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1))
+    return F.coalesce(earlier, F.lit(0))
+
+
 def event_sequence(
     events: DataFrame,
     key: str,
@@ -137,29 +156,25 @@ def event_sequence(
     over salts first, so the only per-event window runs within (user, moment, salt); the
     window within a slice sees each moment at most once per salt.
     """
-    salted = events.withColumns({
+    salted = _named(events, key).withColumns({
         "slice": _slice_start(ts, gap),
         "salt": F.pmod(F.xxhash64(tie), F.lit(_TIE_SALTS)),
     })
-    groups = salted.groupBy(key, "slice", ts, "salt").agg(F.count(F.lit(1)).alias("n"))
-    slices = session_slices(activity_slices(events, key, ts, gap), key, gap)
-    earlier = (
-        Window.partitionBy(key, "slice")
-        .orderBy(ts, "salt")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    groups = salted.groupBy(*_USER, "slice", ts, "salt").agg(F.count(F.lit(1)).alias("n"))
+    # both levels count the same groups, so their shuffle is made once
+    in_order = Window.partitionBy(*_USER).orderBy("slice")
+    before = groups.groupBy(*_USER, "slice").agg(F.sum("n").alias("n_events")).select(
+        *_USER, "slice", _sum_before("n_events", in_order).alias("events_before")
     )
-    before = slices.select(key, "slice", "events_before")
-    offsets = match_keys(groups, before, [key, "slice"], "inner").select(
-        key,
-        ts,
-        "salt",
-        (F.col("events_before") + F.coalesce(F.sum("n").over(earlier), F.lit(0))).alias("offset"),
+    in_slice = Window.partitionBy(*_USER, "slice").orderBy(ts, "salt")
+    offsets = groups.join(before, [*_USER, "slice"]).select(
+        *_USER, ts, "salt", (F.col("events_before") + _sum_before("n", in_slice)).alias("offset")
     )
-    place = F.row_number().over(Window.partitionBy(key, ts, "salt").orderBy(tie))
+    place = F.row_number().over(Window.partitionBy(*_USER, ts, "salt").orderBy(tie))
     return (
-        match_keys(salted, offsets, [key, ts, "salt"], "inner")
+        salted.join(offsets, [*_USER, ts, "salt"], "left")
         .withColumn("rn", (F.col("offset") + place).cast("bigint"))
-        .drop("slice", "salt", "offset")
+        .select(*events.columns, "rn")
     )
 
 

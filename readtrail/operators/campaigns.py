@@ -26,10 +26,13 @@ def all_campaigns(google: DataFrame, facebook: DataFrame) -> DataFrame:
     return add_country_and_language(google.unionByName(facebook, allowMissingColumns=True))
 
 
-def _newest(column: str, tie: Column) -> Column:
+def _newest(column: str) -> Column:
     """Value of the newest day that has one."""
-    day = F.coalesce(F.unix_date("segment_date"), F.lit(-(2**31)))
-    key = F.struct(day.alias("day"), tie.alias("tie"), F.col(column).alias("value"))
+    key = F.struct(
+        F.coalesce(F.unix_date("segment_date"), F.lit(-(2**31))).alias("day"),
+        F.coalesce(F.col("campaign_name"), F.lit("")).alias("name"),
+        F.col(column).alias("value"),
+    )
     return F.max_by(column, F.when(F.col(column).isNotNull(), key)).alias(column)
 
 
@@ -44,17 +47,22 @@ def rollup_campaigns(df: DataFrame) -> DataFrame:
         c for c in ("campaign_name", "campaign_start_date", "campaign_end_date", "source",
                     "country", "app_language") if c in df.columns
     ]
-    tie = F.coalesce(F.col("campaign_name"), F.lit(""))
+    # a campaign's attributes rarely change: fold equal ones first, with numbers and
+    # dates only in the aggregate, then pick among the few variants
+    variants = df.groupBy("campaign_id", *attributes).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum("cost").alias("cost"),
+        F.max("segment_date").alias("segment_date"),
+    )
     n = F.col("n_rows")
     return (
-        df.groupBy("campaign_id")
-        .agg(
-            F.count(F.lit(1)).alias("n_rows"),
-            F.sum("cost").alias("cost"),
-            *[_newest(c, tie) for c in attributes],
-        )
+        variants.groupBy("campaign_id")
+        .agg(F.sum("n_rows").alias("n_rows"), F.sum("cost").alias("cost"), *map(_newest, attributes))
         .where(F.col("campaign_id").isNotNull() | (n == 1))
-        .withColumn("cost", F.when(n > 1, F.coalesce(F.col("cost"), F.lit(0.0))).otherwise(F.col("cost")))
+        .withColumn(
+            "cost",
+            F.when(n > 1, F.coalesce(F.col("cost"), F.lit(0.0))).otherwise(F.col("cost")),
+        )
         .drop("n_rows")
     )
 
