@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from readtrail.llm import mixing, pieces, shards
+from readtrail.llm import fingerprints, mixing, pieces, quality, shards, token_files, topk
+from readtrail.session import scratch_folder
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
@@ -21,19 +22,41 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoding_digests(_table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_folder(spark, "token-files")
+    token_files.write_token_files(_table(spark, sf_dir, "documents"), path, WORD_MODEL)
+    return token_files.read_token_files(spark, path)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.copies(_table(spark, sf_dir, "documents"))
     return taken.selectExpr("doc_id", "size", "source_size", "target", "size * n_copies AS taken")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    return quality.score_documents(docs, model).select(
+        "doc_id", (quality.fold() == 0).alias("held_out"), "score", "predicted"
+    )
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = shards.assign_shards(_table(spark, sf_dir, "documents"))
     return sharded.select("doc_id", "n_bytes", "shard", "depth", "shard_bytes")
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edits(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.ORACLE_SQL, "op9_sharding": shards.oracle_sql()}
+    return {"op3_topk": topk.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL, "op9_sharding": shards.oracle_sql()}
