@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from readtrail.llm import fingerprints, mixing, pieces, quality, repeats, shards, token_files, topk
+from readtrail.llm import fingerprints, mixing, neardup, pieces, quality, repeats, shards, token_files, topk
 from readtrail.session import scratch_folder
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -45,6 +45,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_groups(_table(spark, sf_dir, "documents"))
+
+
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents"), digest=True)
 
