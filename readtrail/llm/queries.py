@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from readtrail.llm import fingerprints, mixing, neardup, pieces, quality, repeats, shards, token_files, topk
+from readtrail.llm import fingerprints, mixing, neardup, pieces, quality, repeats, shards, templates, token_files, topk
 from readtrail.session import scratch_folder
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -22,6 +22,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoding_digests(_table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op2_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"))
 
