@@ -5,20 +5,45 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from readtrail.llm import pieces
+from readtrail.llm import mixing, neardup, pieces, quality, repeats
 from readtrail.llm.queries import PIECE_MODEL
 from readtrail.session import scratch_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fit on the labels of the rows that are there, does not reject."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.good_documents(docs, model)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (shingles of five words, likeness 0.8)."""
+    ids = neardup.near_groups(docs, shingle=5).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+
+
+def fresh(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings of 100 bytes that an earlier document, or place, has too."""
+    return repeats.without_repeats(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of the sources takes it."""
+    return mixing.mix(docs)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode every document that is left; its ids and the text decoded from them."""
-    return pieces.encode_documents(docs, PIECE_MODEL, tuple(docs.columns))
+    """The ids of every document that is left, and the text decoded from them."""
+    return pieces.encode_documents(docs, PIECE_MODEL, tuple(c for c in docs.columns if c != "text"))
 
 
-STAGES: list[tuple[str, Stage]] = [("sentencepiece", tokens)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", good), ("near-dedup", distinct), ("repeats", fresh), ("mixing", mixed), ("sentencepiece", tokens),
+]
 ORACLE_SQL = None  # learned weights, signatures and byte matches have no SQL twin; see tests/llm
 
 

@@ -37,12 +37,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def map_rows(df: DataFrame, rows: Callable[[Rows], Iterable[tuple]], schema: str, flush: int = 2048) -> DataFrame:
     """mapInArrow for a function from record batches to tuples.
 
     Batches are bounded by bytes, so a run of very long texts does not fill a worker.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     kind = StructType.fromDDL(schema)
     arrow = to_arrow_schema(kind)
 
@@ -58,7 +62,7 @@ def map_rows(df: DataFrame, rows: Callable[[Rows], Iterable[tuple]], schema: str
         if held:
             yield _batch(held, arrow)
 
-    return df.mapInArrow(run, kind)
+    return bounded_batches(df).mapInArrow(run, kind)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -109,7 +113,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def with_positions(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Adds `position` (from 0) in the total order of `order`.
+    """Adds `_position` (from 0) in the total order of `order`.
 
     Rows are range-partitioned and staged with their partition; only one count per
     partition meets in one task.
@@ -124,6 +128,6 @@ def with_positions(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return (
         parts.withColumn("_rank", rank).join(before, "_part")
-        .withColumn("position", F.col("_before") + F.col("_rank") - 1)
+        .withColumn("_position", F.col("_before") + F.col("_rank") - 1)
         .drop("_part", "_rank", "_before")
     )

@@ -34,7 +34,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     spark = sized.sparkSession
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     ranked = with_positions(totals, [F.col("source").asc_nulls_last()], "mix-sources")
-    turn = (F.col("position") % len(weights)).cast("int")
+    turn = (F.col("_position") % len(weights)).cast("int")
     weight = F.element_at(F.array(*map(F.lit, weights)), turn + 1)
     sources = staged(
         ranked.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most), "mix-weights"
@@ -55,36 +55,43 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return sources.withColumn("target", target).select("source", "source_size", "target").withColumn("rate", rate)
 
 
-def copies(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
-    """Every row of `docs` with `size`, `source_size`, `target` and `n_copies`.
-
-    Null texts have the size 0.  Rows that share a doc_id share their draw, null ids too, so
-    reruns agree; only the columns doc_id, text and source are read, others pass through
-    (a column that carries one of the new names is replaced).
-    """
-    sized = docs.drop("size", "source_size", "target", "n_copies").withColumn("size", text_size())
-    targets = source_targets(sized.select("source", "size"), **options)
+def _rated(docs: DataFrame, seed: str, **options) -> DataFrame:
+    """Every row with `_size`, `_source_size`, `_target` and `_copies`."""
+    sized = docs.withColumn("_size", text_size())
+    targets = source_targets(sized.select("source", F.col("_size").alias("size")), **options)
     # equality on never-null columns: a null source joins like any other
     keyed = targets.select(
         F.coalesce("source", F.lit("")).alias("_source"), F.isnull("source").alias("_none"),
-        "source_size", "target", "rate",
+        F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"),
     )
     joined = (
         sized.withColumn("_source", F.coalesce("source", F.lit(""))).withColumn("_none", F.isnull("source"))
-        .join(keyed, ["_source", "_none"], "left").drop("_source", "_none")
+        .join(keyed, ["_source", "_none"], "left")
     )
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
     draw = F.conv(F.substring(digest, 1, HEX_DIGITS), 16, 10).cast("double") / float(16**HEX_DIGITS)
-    whole = F.floor("rate")
-    return joined.withColumn("n_copies", whole + (draw < F.col("rate") - whole).cast("long")).drop("rate")
+    whole = F.floor("_rate")
+    return joined.withColumn("_copies", whole + (draw < F.col("_rate") - whole).cast("long"))
+
+
+def copies(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
+    """Every row of `docs` with `size`, `source_size`, `target` and `n_copies`.
+
+    Null texts have the size 0.  Rows that share a doc_id share their draw, null ids too, so
+    reruns agree; only doc_id, text and source are read, other columns pass through (one
+    that carries a new column's name is replaced).
+    """
+    new = {"size": "_size", "source_size": "_source_size", "target": "_target", "n_copies": "_copies"}
+    return _rated(docs, seed, **options).select(
+        *(f"`{c}`" for c in docs.columns if c not in new), *(F.col(v).alias(k) for k, v in new.items())
+    )
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     """The documents of the mix: each row as often as it is taken, with the columns of `docs`."""
-    taken = copies(docs, **options)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("n_copies")))).where(
-        F.col("_copy") > 0
-    ).select(*docs.columns)
+    taken = _rated(docs, seed, **options).where(F.col("_copies") > 0)
+    repeated = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return repeated.select(*(f"`{c}`" for c in docs.columns))
 
 
 ORACLE_SQL = rf"""

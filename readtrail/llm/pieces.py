@@ -18,6 +18,7 @@ import ahocorasick
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from readtrail.llm.common import Memo, map_rows, per_worker, whole_text
 
@@ -204,10 +205,13 @@ def map_encoded(
     """The kept columns and what `emit(ids with commas, decoded text)` gives for each document.
 
     A null or empty text has no ids and decodes to the empty text.  Every row is encoded on
-    its own: repeated rows, null ids and further columns make no difference.  Nothing is
+    its own: repeated rows, null ids and further columns make no difference; a kept column
+    that carries a new column's name is replaced.  Nothing is
     shuffled; the words of a worker's texts are memorised up to CHUNKS_KEPT.
     """
-    kept = docs.select(*keep, whole_text(text).alias("_text"))
+    new = {f.name for f in StructType.fromDDL(schema)}
+    keep = tuple(c for c in keep if c not in new)
+    kept = docs.select(*(f"`{c}`" for c in keep), whole_text(text).alias("_text"))
     types = dict(docs.dtypes)
 
     def rows(batches) -> Iterator[tuple]:

@@ -16,11 +16,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readtrail.llm.common import WORD, Memo, map_rows, mix64, per_worker, whole_text
+from readtrail.llm.common import WORD, Memo, bounded_batches, map_rows, mix64, per_worker, whole_text
 
 SPACE_BITS = 18
 SHAPE_ORDERS, WORD_ORDERS = 3, 2
@@ -204,21 +205,33 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit_model(*training_rows(docs, labels))
 
 
-def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, `score` and `predicted` of every whole text.
+def score_documents(docs: DataFrame, model: Model) -> DataFrame:
+    """`doc_id`, `score` and `predicted` of every whole text.
 
     Null and empty texts get the score of a text without indicators.  Labels, language,
     source and id are not looked at; equal texts get equal scores.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two arrays of fixed size
-    kept = docs.select(*keep, whole_text().alias("_text"))
-    types = dict(docs.dtypes)
 
     def rows(batches) -> Iterator[tuple]:
         for batch in batches:
-            *others, texts = (c.to_pylist() for c in batch.columns)
-            for i, text in enumerate(texts):
+            for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
                 score = sent.value.score(text)
-                yield (*(o[i] for o in others), score, int(score >= THRESHOLD))
+                yield doc, score, int(score >= THRESHOLD)
 
-    return map_rows(kept, rows, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", score double, predicted int")
+    kind = dict(docs.dtypes)["doc_id"]
+    source = docs.select("doc_id", whole_text().alias("text"))
+    return map_rows(source, rows, f"doc_id {kind}, score double, predicted int")
+
+
+def good_documents(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows, with all their columns, whose score reaches THRESHOLD."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def kept(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [sent.value.score(t or "") >= THRESHOLD for t in batch.column(place).to_pylist()]
+            yield batch.filter(pa.array(marks, pa.bool_()))
+
+    return bounded_batches(docs).mapInArrow(kept, docs.schema)

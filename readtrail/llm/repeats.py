@@ -20,13 +20,14 @@ anchors only (`anchors.py`): equal windows have equal anchors.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from readtrail.llm import anchors as A
 from readtrail.llm.common import map_rows, shuffle_partitions, staged, whole_text, with_positions
@@ -267,8 +268,8 @@ def _hot_cuts(contexts: DataFrame) -> DataFrame:
     )
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """Documents with `_row`, a unique number in the order of doc_id, and whether it is the id itself.
+def numbered(docs: DataFrame) -> DataFrame:
+    """Documents with `_row`, a unique number in the order of doc_id.
 
     Where ids are null or repeat, documents are numbered by (id, null last; hash of the
     text), so rows that share an id count as documents one after the other.
@@ -276,9 +277,9 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
     odd = ids.where(F.col("doc_id").isNull() | (F.col("n") > 1)).limit(1)
     if odd.isEmpty():
-        return docs.withColumn("_row", F.col("doc_id").cast("long")), True
+        return docs.withColumn("_row", F.col("doc_id").cast("long"))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc(), F.col("text").asc_nulls_first()]
-    return with_positions(docs.drop("_row", "position"), order, "repeat-ids").withColumnRenamed("position", "_row"), False
+    return with_positions(docs, order, "repeat-ids").withColumnRenamed("_position", "_row")
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
@@ -326,16 +327,15 @@ def _cut(text: str, spans: list | None) -> tuple[list[tuple[int, int]], bytes]:
     return list(zip(low.tolist(), high.tolist())), b"".join([*kept, data[at:]])
 
 
-def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), digest: bool = False) -> DataFrame:
-    """The kept columns, `n_bytes`, `n_removed`, `n_spans` and `kept`, the remaining bytes.
-
-    With `digest` the last is `kept_sha256` instead.  Null and empty texts have no bytes;
-    texts of under 100 bytes keep all of theirs.
-    """
-    source = docs.withColumn("text", whole_text())
-    rows, _ = numbered(source.select(*dict.fromkeys([*keep, "doc_id", "text"])))
+def map_cut(
+    docs: DataFrame, keep: tuple[str, ...], emit: Callable[[str, bytes, list[tuple[int, int]]], tuple], schema: str
+) -> DataFrame:
+    """The kept columns and what `emit(text, remaining bytes, removed spans)` gives for each document."""
+    new = {f.name for f in StructType.fromDDL(schema)}
+    keep = tuple(c for c in keep if c not in new)
+    rows = numbered(docs.withColumn("text", whole_text()).select(*dict.fromkeys([*keep, "doc_id", "text"])))
     spans = repeated_spans(rows).groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("_spans"))
-    joined = rows.join(spans, F.col("_row") == F.col("row"), "left")
+    joined = rows.join(spans.withColumnRenamed("row", "_span_row"), F.col("_row") == F.col("_span_row"), "left")
     types = dict(rows.dtypes)
 
     def out(batches) -> Iterator[tuple]:
@@ -343,14 +343,44 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), digest:
             *others, texts, found = (c.to_pylist() for c in batch.columns)
             for i, text in enumerate(texts):
                 cut, rest = _cut(text, found[i])
-                size = len(text.encode())
-                yield (
-                    *(o[i] for o in others), size, size - len(rest), len(cut),
-                    hashlib.sha256(rest).hexdigest() if digest else rest,
-                )
-
-    named = ", ".join(f"`{c}` {types[c]}" for c in keep)
-    last = "kept_sha256 string" if digest else "kept binary"
-    return map_rows(
-        joined.select(*keep, "text", "_spans"), out, f"{named}, n_bytes long, n_removed long, n_spans long, {last}"
-    )
+                yield (*(o[i] for o in others), *emit(text, rest, cut))
+
+    columns = [F.col(f"`{c}`") for c in keep]
+    kept = "".join(f"`{c}` {types[c]}, " for c in keep)
+    return map_rows(joined.select(*columns, F.col("text").alias("_text"), "_spans"), out, kept + schema)
+
+
+def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns, the removed `spans` (low, high; in bytes) and `kept`, the remaining bytes.
+
+    Null and empty texts have no bytes; texts of under 100 bytes keep all of theirs.
+    """
+
+    def emit(text: str, rest: bytes, cut: list[tuple[int, int]]) -> tuple:
+        return [{"low": a, "high": b} for a, b in cut], rest
+
+    return map_cut(docs, keep, emit, "spans array<struct<low: long, high: long>>, kept binary")
+
+
+def removal_digests(docs: DataFrame) -> DataFrame:
+    def emit(text: str, rest: bytes, cut: list[tuple[int, int]]) -> tuple:
+        size = len(text.encode())
+        return size, size - len(rest), len(cut), hashlib.sha256(rest).hexdigest()
+
+    return map_cut(docs, ("doc_id",), emit, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """Documents with their remaining texts (and `n_chars`, if there is such a column).
+
+    A cut may fall within a character; bytes left of one are dropped.  Documents of which
+    nothing is left go, those that were empty before stay.
+    """
+    counted = "n_chars" in docs.columns
+
+    def emit(text: str, rest: bytes, cut: list[tuple[int, int]]) -> tuple:
+        left = rest.decode(errors="ignore") if cut else text
+        return (left, not cut or bool(left.strip())) + ((len(left),) if counted else ())
+
+    schema = "text string, _stays boolean" + (", n_chars long" if counted else "")
+    return map_cut(docs, tuple(docs.columns), emit, schema).where("_stays").select(*(f"`{c}`" for c in docs.columns))

@@ -90,10 +90,10 @@ def assign_shards(docs: DataFrame, limit: int = LIMIT_BYTES, key: tuple[str, ...
 def _alike(rows: DataFrame, limit: int, columns: list[str]) -> DataFrame:
     """Rows whose full hashes agree, or single documents over the limit."""
     numbered = with_positions(rows, [F.col("_hash"), F.col("n_bytes")], "shard-alike")
-    groups = numbered.groupBy("_hash").agg(F.min("position").alias("_first"), F.max("n_bytes").alias("_most"))
+    groups = numbered.groupBy("_hash").agg(F.min("_position").alias("_first"), F.max("n_bytes").alias("_most"))
     each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("_most"), F.lit(1)))).cast("long")
     split = numbered.join(groups, "_hash").withColumn(
-        "_n", F.floor((F.col("position") - F.col("_first")) / each).cast("long")
+        "_n", F.floor((F.col("_position") - F.col("_first")) / each).cast("long")
     )
     sums = split.groupBy("_hash", "_n").agg(F.sum("n_bytes").alias("shard_bytes"))
     return split.join(sums, ["_hash", "_n"]).select(
