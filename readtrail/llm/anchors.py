@@ -18,7 +18,7 @@ from readtrail.llm.common import mix64
 WINDOW = 100
 GRAM = 32
 REACH = WINDOW - GRAM  # bytes that a window can stretch before its anchor, or past its gram
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 OVERLAP = 2 * WINDOW
 _PLACE = np.uint64((1 << 24) - 1)  # low bits of a sort value hold the place in a chunk
 _BASE = 0x9E3779B97F4A7C15
@@ -107,5 +107,5 @@ def anchors(numbers: list[int], offsets: list[int], parts: list[bytes]) -> Found
     shift = np.array(offsets, np.int64)[segment] - starts[segment]
     return Found(
         gram[at], mix64(around ^ mix64(sides)), np.array(numbers, np.int64)[segment],
-        at + shift, low + shift, high + shift, at, data,
+        *((x + shift).astype(np.int32) for x in (at, low, high)), at.astype(np.int32), data,
     )

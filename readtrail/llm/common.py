@@ -16,7 +16,7 @@ from readtrail.session import scratch_folder
 
 # a word: a run of anything but the space, tab, line feed, vertical tab, form feed, return
 WORD = r"[^\x20\x09-\x0D]+"
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 LONGEST_KEY = 64
 
 Rows = Iterator[pa.RecordBatch]

@@ -34,7 +34,7 @@ from readtrail.llm.common import map_rows, shuffle_partitions, staged, whole_tex
 from readtrail.llm.suffix_sort import SYMBOL, deep_shallow_sort
 
 BUCKET_BYTES = 128 << 20  # of text whose anchors meet in a task
-FLUSH_ANCHORS = 1 << 20
+FLUSH_ANCHORS = 1 << 19
 HOT_CONTEXTS = 20_000  # contexts of one gram beyond which its windows are compared instead
 CUT, ASK, CONTEXT = 0, 1, 2  # kinds of rows
 MARKS = "kind int, row long, low int, high int, place int, gram long, data binary"
@@ -78,8 +78,8 @@ def _scan(buckets: int):
         gram, context, row, place, low, high = (
             np.concatenate([getattr(f, k) for f in found]) for k in ("gram", "context", "row", "place", "low", "high")
         )
-        which = np.repeat(np.arange(len(found)), [len(f.gram) for f in found])
-        within = np.concatenate([np.arange(len(f.gram)) for f in found])
+        which = np.repeat(np.arange(len(found), dtype=np.int32), [len(f.gram) for f in found])
+        within = np.concatenate([np.arange(len(f.gram), dtype=np.int32) for f in found])
         order = np.lexsort((place, row, context, gram))
         gram, context, row, place, low, high = (x[order] for x in (gram, context, row, place, low, high))
         new_gram = _runs(gram)
