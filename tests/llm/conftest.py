@@ -1,0 +1,43 @@
+import os
+
+import pytest
+from pyspark.sql import types as T
+
+SF_DIR = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
+
+DOCUMENTS = T.StructType([
+    T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
+    T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
+    T.StructField("n_chars", T.LongType()),
+])
+
+
+@pytest.fixture(scope="session")
+def documents(spark):
+    """Documents from (doc_id, text[, source]) rows, in several partitions."""
+
+    def build(*rows, partitions=3):
+        full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "a", None if r[1] is None else len(r[1])) for r in rows]
+        return spark.createDataFrame(full, DOCUMENTS).repartition(partitions)
+
+    return build
+
+
+@pytest.fixture(scope="session")
+def sf_dir():
+    if not os.path.isdir(SF_DIR):
+        pytest.skip("driver tables not present")
+    return SF_DIR
+
+
+#: null, empty, blank, short, long, repeated and tied rows
+ODD_ROWS = [
+    (1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "word " * 3000), (6, "Same text here, four words"),
+    (7, "Same text here, four words"), (7, "Same text here, four words"), (None, "no id"), (None, None),
+    (8, "é\0▁ 中 😀\r\nline"), (6, "another text under an id that is there already"),
+]
+
+
+@pytest.fixture(scope="session")
+def odd(documents):
+    return documents(*ODD_ROWS)
