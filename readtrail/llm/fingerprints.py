@@ -87,7 +87,11 @@ class Fingerprinter:
 
 def packed(bins: np.ndarray | None) -> str:
     """Two bins a byte, in hex; an empty text has the empty fingerprint."""
-    return "" if bins is None else (bins[0::2] << 4 | bins[1::2]).tobytes().hex()
+    return "" if bins is None else _bytes(bins).hex()
+
+
+def _bytes(bins: np.ndarray | None) -> bytes:
+    return b"" if bins is None else (bins[0::2] << 4 | bins[1::2]).tobytes()
 
 
 def likeness(a: np.ndarray | None, b: np.ndarray | None) -> float:
@@ -119,15 +123,16 @@ def _compared(doc: int | None, text: str, own: np.ndarray | None, following: str
     changed = edited(text, following)
     bins = _maker().bins(changed)
     return (
-        doc, len(text), hashlib.sha256(changed.encode()).hexdigest(), packed(own), packed(bins),
+        doc, len(text), hashlib.sha256(changed.encode()).digest(), _bytes(own), _bytes(bins),
         likeness(own, bins), likeness(own, after),
     )
 
 
 RESULT = (
-    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+    "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, "
     "near_edited double, near_next double"
 )
+IN_HEX = ("edited_sha256", "fingerprint", "edited_fingerprint")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -187,4 +192,5 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
                 yield _compared(doc, text, _maker().bins(text), following, _maker().bins(following))
 
     inner = parts.where("_kind = 'inner'").drop("_part", "_kind", "_text")
-    return inner.unionByName(map_rows(edges, edge_rows, RESULT))
+    out = inner.unionByName(map_rows(edges, edge_rows, RESULT))
+    return out.withColumns({c: F.lower(F.hex(c)) for c in IN_HEX})

@@ -183,7 +183,7 @@ class PieceTokenizer:
     def decode(self, ids: list[int]) -> str:
         """The text of the ids, without the space that encoding puts in front."""
         text = self._text(ids)
-        first = ids[0] if ids else self.unknown
+        first = next((i for i in ids if i not in self.silent), self.unknown)
         return text[1:] if first not in self.bytes and self.pieces[first].startswith(SPACE) else text
 
 
