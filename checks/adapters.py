@@ -371,7 +371,7 @@ def built_tables(spark: SparkSession, sf_dir: str) -> tuple[LearnerTables, Learn
         log = game_log(spark, sf_dir).unionByName(launch_log(spark, sf_dir))
         run_nightly(
             log, legacy_sources(spark, sf_dir), languages(spark), cohort_members(spark, sf_dir),
-            PROFILE, f"{base}/staging", base, AS_OF, RUN_DATE,
+            PROFILE, None, base, AS_OF, RUN_DATE,
         )
         _built[key] = load_raw(spark, base), load_clean(spark, base, staging=f"{base}/clean")
     return _built[key]

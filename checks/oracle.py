@@ -607,6 +607,12 @@ _QUERIES: dict[str, str] = {
     "event_sequence": f"""
       SELECT event_id, user_id, us AS event_timestamp,
              row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS rn FROM ({_STREAM})""",
+    "event_sequence_ties": f"""
+      SELECT event_id, user_id, us AS event_timestamp, row_number() OVER w AS rn, lag(us) OVER w AS prev_us
+      FROM (SELECT event_id, user_id,
+                   CASE WHEN event_id % 17 <> 0 THEN epoch_us(date_trunc('day', make_timestamp(us))) END AS us
+            FROM ({_STREAM}))
+      WINDOW w AS (PARTITION BY user_id ORDER BY us NULLS FIRST, event_id)""",
     "event_deltas": f"""
       SELECT event_id, user_id, us AS event_timestamp, prev AS prev_us, secs AS seconds_since_last
       FROM ({_sessions(120)})""",

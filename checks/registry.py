@@ -406,12 +406,30 @@ def level_skips(spark, sf_dir):
 
 @query
 def event_sequence(spark, sf_dir):
-    return activity.event_sequence(_stream(spark, sf_dir), "user_id", "event_id")
+    return activity.event_sequence(
+        _stream(spark, sf_dir), "user_id", "event_id", scratch_folder(spark, "event-order")
+    )
+
+
+def _tied_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream with times cut to the day, and some events without any."""
+    day = F.col("event_timestamp") - F.pmod("event_timestamp", F.lit(86_400_000_000))
+    known = F.col("event_id") % 17 != 0
+    return _stream(spark, sf_dir).withColumn("event_timestamp", F.when(known, day))
+
+
+@query
+def event_sequence_ties(spark, sf_dir):
+    return activity.event_order(
+        _tied_stream(spark, sf_dir), "user_id", "event_id", scratch_folder(spark, "event-order")
+    )
 
 
 @query
 def event_deltas(spark, sf_dir):
-    return activity.event_deltas(_stream(spark, sf_dir), "user_id", "event_id")
+    return activity.event_deltas(
+        _stream(spark, sf_dir), "user_id", "event_id", scratch_folder(spark, "event-order")
+    )
 
 
 @query
@@ -426,7 +444,9 @@ def sessionize_3600(spark, sf_dir):
 
 @query
 def mark_sessions(spark, sf_dir):
-    deltas = activity.event_deltas(_stream(spark, sf_dir), "user_id", "event_id", gap=WIDE_GAP)
+    deltas = activity.event_deltas(
+        _stream(spark, sf_dir), "user_id", "event_id", scratch_folder(spark, "event-order")
+    )
     return activity.mark_sessions(deltas, WIDE_GAP)
 
 

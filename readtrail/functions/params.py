@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ def extract_or_null(text: Column, pattern: str, group: int = 1) -> Column:
 def url_param(url: Column, name: str) -> Column:
     """Lower-cased value of a URL query parameter."""
     # a match is never empty here, so '' can only mean that there was none
-    return F.lower(F.nullif(F.regexp_extract(url, rf"[?&]{name}=([^&]+)", 1), F.lit("")))
+    return F.lower(F.nullif(F.regexp_extract(url, rf"[?&]{re.escape(name)}=([^&]+)", 1), F.lit("")))
 
 
 def app_suffix(app_id: Column, marker: str) -> Column:

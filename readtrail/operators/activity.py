@@ -8,9 +8,12 @@ an ordinary aggregate (combined before the shuffle, keyed by user and slice), an
 what is left per user is bounded by the length of the history, not by the number
 of events: five years of 121-second slices are 1.3 million rows.
 
-Where a result is wanted per event, slice results are joined back on
-(user, slice), a key that spreads a busy user over the whole cluster.  Events without
-a user id belong to one nameless user.  Event times are epoch microseconds.
+The bound is for the usual gap; it grows as the gap shrinks.
+
+Where sessions are wanted per event, slice results are joined back on (user, slice), a key
+that spreads a busy user over the whole cluster.  Where the order of events itself is
+wanted, they are range-partitioned in that order.  Events without a user id belong to one
+nameless user.  Event times are epoch microseconds.
 """
 
 from __future__ import annotations
@@ -20,8 +23,9 @@ from pyspark.sql import functions as F
 
 from readtrail import config
 from readtrail.functions.dates import whole_seconds
+from readtrail.sources.snapshots import stage
 
-_TIE_SALTS = 256
+_NO_TIME = -(1 << 62)  # slice of events without a time, before all others
 _USER = ["_user", "_nameless"]
 
 
@@ -42,7 +46,7 @@ def _named(events: DataFrame, key: str) -> DataFrame:
 
 def _slice_start(ts: str, gap: int) -> Column:
     width = (gap + 1) * 1_000_000
-    return F.col(ts) - F.pmod(F.col(ts), F.lit(width))
+    return F.coalesce(F.col(ts) - F.pmod(F.col(ts), F.lit(width)), F.lit(_NO_TIME))
 
 
 def activity_slices(
@@ -87,7 +91,7 @@ def sessionize(
 ) -> DataFrame:
     """Every event with the number of the session it belongs to (1, 2, … per user).
 
-    Events at the same moment share a session.
+    Events at the same moment share a session; events without a time make up one, the first.
     """
     sliced = _named(events, key).withColumn("slice", _slice_start(ts, gap))
     sessions = session_slices(activity_slices(sliced, _USER, ts, gap), _USER, gap)
@@ -95,39 +99,6 @@ def sessionize(
     return sliced.join(numbers, [*_USER, "slice"], "left").select(*events.columns, "session_id")
 
 
-def event_deltas(
-    events: DataFrame,
-    key: str,
-    tie: str,
-    ts: str = "event_timestamp",
-    gap: int = config.SESSION_GAP_SECONDS,
-) -> DataFrame:
-    """Every event with prev_us, the time of the user's event before it, and
-    seconds_since_last, the whole seconds in between (NULL for the first event).
-
-    ``tie`` is a unique column that orders events at the same moment.  Moments, not
-    events, are what the window orders, so a pile of equal times costs one row.
-    """
-    sliced = _named(events, key).withColumn("slice", _slice_start(ts, gap))
-    slices = session_slices(activity_slices(sliced, _USER, ts, gap), _USER, gap)
-    before = slices.select(*_USER, "slice", F.col("prev_us").alias("slice_prev_us"))
-    moments = sliced.groupBy(*_USER, "slice", ts).agg(F.min(tie).alias("first_tie"))
-    in_slice = Window.partitionBy(*_USER, "slice").orderBy(ts)
-    moments = moments.join(before, [*_USER, "slice"]).select(
-        *_USER,
-        ts,
-        "first_tie",
-        F.coalesce(F.lag(ts).over(in_slice), F.col("slice_prev_us")).alias("moment_prev_us"),
-    )
-    prev = F.when(F.col(tie) == F.col("first_tie"), F.col("moment_prev_us")).otherwise(F.col(ts))
-    return (
-        sliced.join(moments, [*_USER, ts], "left")
-        .withColumn("prev_us", prev)
-        .withColumn("seconds_since_last", whole_seconds(F.col(ts), F.col("prev_us")))
-        .select(*events.columns, "prev_us", "seconds_since_last")
-    )
-
-
 def mark_sessions(deltas: DataFrame, gap: int = config.SESSION_GAP_SECONDS) -> DataFrame:
     """Flag the events that open a session, given :func:`event_deltas`."""
     since = F.col("seconds_since_last")
@@ -142,42 +113,51 @@ def _sum_before(column: str, window: WindowSpec) -> Column:
     return F.coalesce(earlier, F.lit(0))
 
 
-def event_sequence(
-    events: DataFrame,
-    key: str,
-    tie: str,
-    ts: str = "event_timestamp",
-    gap: int = config.SESSION_GAP_SECONDS,
+def event_order(
+    events: DataFrame, key: str, tie: str, staging: str, ts: str = "event_timestamp"
 ) -> DataFrame:
-    """Number the events of each user 1, 2, … by time.
-
-    The number is the count of events before the slice, plus those earlier in the
-    slice, plus the place among events of the same moment.  Equal moments are spread
-    over salts first, so the only per-event window runs within (user, moment, salt); the
-    window within a slice sees each moment at most once per salt.
+    """Every event with rn, its number 1, 2, … among its user's events, and prev_us, the time
+    of the one before it (NULL for the first).
+
+    Events are ordered by time, those without a time first, and by the unique column
+    ``tie`` within a moment.  They are range-partitioned in that order, so a busy user and
+    a pile of equal times spread over many partitions, and written to ``staging``, a
+    shared folder, with the number of their partition.  A window runs over the events of
+    one user in one partition; one row per (user, partition) carries counts onward.
     """
-    salted = _named(events, key).withColumns({
-        "slice": _slice_start(ts, gap),
-        "salt": F.pmod(F.xxhash64(tie), F.lit(_TIE_SALTS)),
-    })
-    groups = salted.groupBy(*_USER, "slice", ts, "salt").agg(F.count(F.lit(1)).alias("n"))
-    # both levels count the same groups, so their shuffle is made once
-    in_order = Window.partitionBy(*_USER).orderBy("slice")
-    before = groups.groupBy(*_USER, "slice").agg(F.sum("n").alias("n_events")).select(
-        *_USER, "slice", _sum_before("n_events", in_order).alias("events_before")
+    order = [F.col(ts).asc_nulls_first(), F.col(tie)]
+    ranged = _named(events, key).repartitionByRange(*_USER, *order)
+    staged = stage(ranged.withColumn("_part", F.spark_partition_id()), staging)
+    parts = staged.groupBy(*_USER, "_part").agg(F.count(F.lit(1)).alias("_n"), F.max(ts).alias("_last"))
+    by_part = Window.partitionBy(*_USER).orderBy("_part")
+    before = parts.select(
+        *_USER, "_part", _sum_before("_n", by_part).alias("_before"), F.lag("_last").over(by_part).alias("_prev")
     )
-    in_slice = Window.partitionBy(*_USER, "slice").orderBy(ts, "salt")
-    offsets = groups.join(before, [*_USER, "slice"]).select(
-        *_USER, ts, "salt", (F.col("events_before") + _sum_before("n", in_slice)).alias("offset")
-    )
-    place = F.row_number().over(Window.partitionBy(*_USER, ts, "salt").orderBy(tie))
-    return (
-        salted.join(offsets, [*_USER, ts, "salt"], "left")
-        .withColumn("rn", (F.col("offset") + place).cast("bigint"))
-        .select(*events.columns, "rn")
+    in_part = Window.partitionBy(*_USER, "_part").orderBy(*order)
+    place = F.row_number().over(in_part)
+    return staged.join(before, [*_USER, "_part"]).select(
+        *events.columns,
+        (F.col("_before") + place).cast("bigint").alias("rn"),
+        F.when(place == 1, F.col("_prev")).otherwise(F.lag(ts).over(in_part)).alias("prev_us"),
     )
 
 
+def event_sequence(
+    events: DataFrame, key: str, tie: str, staging: str, ts: str = "event_timestamp"
+) -> DataFrame:
+    """Number the events of each user 1, 2, … by time, then ``tie``; see :func:`event_order`."""
+    return event_order(events, key, tie, staging, ts).drop("prev_us")
+
+
+def event_deltas(
+    events: DataFrame, key: str, tie: str, staging: str, ts: str = "event_timestamp"
+) -> DataFrame:
+    """Every event with prev_us, the time of the user's event before it in the order of
+    :func:`event_order`, and seconds_since_last, the whole seconds in between."""
+    ordered = event_order(events, key, tie, staging, ts).drop("rn")
+    return ordered.withColumn("seconds_since_last", whole_seconds(F.col(ts), F.col("prev_us")))
+
+
 def session_durations(
     events: DataFrame,
     key: str,

@@ -50,16 +50,44 @@ def _one_of(column: str, values: list[str | None] | str | None) -> Column | None
     return test | F.col(column).isNull() if None in wanted else test
 
 
+@dataclass(frozen=True)
+class AppKind:
+    """What sets a kind of app apart: its learner table, whether rows name the app, its funnel's size."""
+
+    table: str
+    by_app: bool
+    funnel: str
+
+
+# a choice of several apps is of the first of these kinds that it holds
+APP_KINDS = {
+    "legacy": AppKind("legacy", by_app=False, funnel="compact"),
+    "standalone": AppKind("progress", by_app=True, funnel="compact"),
+    "all": AppKind("progress", by_app=False, funnel="compact"),
+    "web": AppKind("progress", by_app=False, funnel="large"),
+}
+_KIND_OF_NAME = {"Unity": "legacy", "All": "all"}
+WEB_APP = "CR"
+
+
+def app_kind(app: list[str] | str | None) -> AppKind:
+    """Kind of an app, or of a choice of apps; standalone builds are known by their name's end."""
+    kinds = {
+        _KIND_OF_NAME.get(name, "standalone" if name.lower().endswith("standalone") else "web")
+        for name in filter(None, as_list(app))
+    }
+    if kinds == {"all", "standalone"}:
+        kinds = {"all"}  # all builds: nothing to tell apart
+    return APP_KINDS[next((k for k in APP_KINDS if k in kinds), "web")]
+
+
 def select_users(tables: LearnerTables, app: list[str] | str, stat: str | None = None) -> DataFrame:
-    """Learner table of an app: legacy, standalone builds, launches (CR, LR) or progress."""
-    apps = as_list(app)
-    if "Unity" in apps:
-        return tables.legacy
-    if any(a.endswith("-standalone") for a in apps):
-        if "All" in apps:
-            return tables.progress
-        return tables.progress.where(F.col("app").isin(apps))
-    return tables.launches if apps == ["CR"] and stat == "LR" else tables.progress
+    """Learner table that a figure of an app is read from; learners reached by the web app are launches."""
+    if stat == "LR" and as_list(app) == [WEB_APP]:
+        return tables.launches
+    kind = app_kind(app)
+    users = getattr(tables, kind.table)
+    return users.where(F.col("app").isin(as_list(app))) if kind.by_app else users
 
 
 def cohort(
@@ -81,7 +109,7 @@ def filtered_cohort(
 ) -> tuple[DataFrame, DataFrame | None]:
     """Progress cohort of an app and, for CR alone, its launch cohort."""
     users = cohort(select_users(tables, app), filters, app)
-    if as_list(app) != ["CR"]:
+    if as_list(app) != [WEB_APP]:
         return users, None
     return users, cohort(select_users(tables, app, "LR"), filters, app)
 

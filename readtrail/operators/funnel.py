@@ -24,7 +24,6 @@ from readtrail.operators.cohorts import (
 )
 
 _STEP_STAGE = {"DC": 1, "TS": 2, "SL": 3, "PC": 4}
-DERIVED = ["GPP", "GCA"]
 
 
 def step_condition(step: str) -> Column:
@@ -148,15 +147,18 @@ def funnel_by_group(
     return groups.select(*columns)
 
 
+# columns that order a table by share; LR and the derived metrics are ordered by their value
+_SHARES = {step: f"{step}_pct" for step in config.STEP_TITLES if step != "LR"}
+_ORDERS = {"total": {}, "percent": _SHARES}
+
+
 def sort_column(funnel: DataFrame, stat: str, sort_by: str = "Total") -> str:
     """Column a funnel table is ordered by; raises for a metric it does not have."""
-    stat = stat.upper().strip()
-    column = stat
-    if sort_by.lower() == "percent" and stat not in (*DERIVED, "LR"):
-        column = f"{stat}_pct"
-    if column not in funnel.columns:
-        raise KeyError(f"no metric {column!r}; the table has {funnel.columns}")
-    return column
+    metric = stat.strip().upper()
+    column = _ORDERS[sort_by.lower()].get(metric, metric)
+    if column in funnel.columns:
+        return column
+    raise KeyError(f"no metric {column!r}; the table has {funnel.columns}")
 
 
 def sorted_funnel(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readtrail import config
@@ -15,31 +15,43 @@ from readtrail.functions.params import param_str, url_param
 LAUNCH = ["cr_user_id", "user_pseudo_id", "country", "app_language", "first_open"]
 
 
+def is_launch_event(profile: AppProfile) -> Column:
+    return (F.col("event_name") == "app_launch") & (F.col("app_info.id") == profile.container_app_id)
+
+
+def launched_url() -> Column:
+    return param_str("web_app_url")
+
+
+def is_known_launch(profile: AppProfile, as_of: dt.date | None = None) -> Column:
+    """Of flat launches: a URL of the web game, a user id (may be empty, not NULL), a first touch in the window."""
+    return (
+        F.col("url").startswith(f"https://{profile.web_host}")
+        & F.col("cr_user_id").isNotNull()
+        & in_reporting_window(F.col("first_open"), as_of)
+    )
+
+
+def with_language(launches: DataFrame) -> DataFrame:
+    language = url_param(F.col("url"), config.URL_LANGUAGE_PARAM)
+    return launches.withColumn("app_language", language).select(*LAUNCH, "event_timestamp")
+
+
 def filter_launches(raw: DataFrame, profile: AppProfile, as_of: dt.date | None = None) -> DataFrame:
     """Launches of the web game from the container app.
 
     The user id may be an empty text here, but not NULL; a launch without a first
     touch is dropped.
     """
-    named = raw.where(
-        (F.col("event_name") == "app_launch")
-        & (F.col("app_info.id") == profile.container_app_id)
-    )
-    url = param_str("web_app_url")
-    flat = named.select(
+    flat = raw.where(is_launch_event(profile)).select(
         param_str("cr_user_id").alias("cr_user_id"),
         "user_pseudo_id",
         F.col("geo.country").alias("country"),
-        url.alias("url"),
-        url_param(url, config.URL_LANGUAGE_PARAM).alias("app_language"),
+        launched_url().alias("url"),
         micros_to_date(F.col("user_first_touch_timestamp")).alias("first_open"),
         "event_timestamp",
     )
-    return flat.where(
-        F.col("url").startswith(f"https://{profile.web_host}")
-        & F.col("cr_user_id").isNotNull()
-        & in_reporting_window(F.col("first_open"), as_of)
-    ).drop("url")
+    return with_language(flat.where(is_known_launch(profile, as_of)))
 
 
 def first_launches(launches: DataFrame) -> DataFrame:
@@ -55,12 +67,17 @@ def join_cohorts(launches: DataFrame, cohorts: DataFrame) -> DataFrame:
     return launches.join(cohorts.select("cr_user_id", "cohort_name"), "cr_user_id", "left")
 
 
+def launch_table(launches: DataFrame, cohorts: DataFrame) -> DataFrame:
+    """Launch table, as it is exported, from filtered launches."""
+    table = join_cohorts(first_launches(launches), cohorts)
+    return table.select(*LAUNCH[:4], "first_open", "first_launch_ts", "cohort_name")
+
+
 def app_launch(
     raw: DataFrame, cohorts: DataFrame, profile: AppProfile, as_of: dt.date | None = None
 ) -> DataFrame:
     """Launch table, grain (user, device, country, language, first-open day, cohort)."""
-    table = join_cohorts(first_launches(filter_launches(raw, profile, as_of)), cohorts)
-    return table.select(*LAUNCH[:4], "first_open", "first_launch_ts", "cohort_name")
+    return launch_table(filter_launches(raw, profile, as_of), cohorts)
 
 
 def active_countries(unity: DataFrame, cr: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from readtrail.sources.snapshots import stage
 LEARNER = ["cr_user_id", "country", "app_language"]
 
 
-def game_events(raw: DataFrame) -> DataFrame:
+def game_events(raw: DataFrame, *more: Column) -> DataFrame:
     """Flatten the event log to the columns the learner roll-up uses."""
     page = param_str("page_location")
     return raw.select(
@@ -45,24 +45,30 @@ def game_events(raw: DataFrame) -> DataFrame:
         parse_day(F.col("event_date")).alias("event_dt"),
         F.col("device.web_info.hostname").alias("hostname"),
         "event_timestamp",
+        *more,
     )
 
 
-def filter_cr_events(raw: DataFrame, profile: AppProfile, as_of: dt.date | None = None) -> DataFrame:
-    """Funnel events of known hosts, with a user id, first seen in the reporting window."""
+def is_game_event() -> Column:
+    """Funnel events; the event name is a plain column of the log, so this reaches the scan."""
+    return F.col("event_name").isin(list(config.STAGE_NUMBERS))
+
+
+def is_known_game_event(profile: AppProfile, as_of: dt.date | None = None) -> Column:
+    """Of :func:`game_events`: known host, a user id, first seen in the reporting window."""
     host = F.col("hostname")
     web = host.startswith(profile.web_host) & F.col("page_location").contains(
         f"https://{profile.web_host}"
     )
     known_host = web | is_standalone_host(host, profile) | (host == profile.bundled_host)
     first_seen = F.coalesce(F.col("first_open"), F.col("event_dt"))
-    # the event name is a plain column of the log, so this part reaches the scan
-    named = raw.where(F.col("event_name").isin(list(config.STAGE_NUMBERS)))
-    return (
-        game_events(named)
-        .where(known_host & (F.col("cr_user_id") != "") & in_reporting_window(first_seen, as_of))
-        .drop("page_location")
-    )
+    return known_host & (F.col("cr_user_id") != "") & in_reporting_window(first_seen, as_of)
+
+
+def filter_cr_events(raw: DataFrame, profile: AppProfile, as_of: dt.date | None = None) -> DataFrame:
+    """Funnel events of known hosts, with a user id, first seen in the reporting window."""
+    events = game_events(raw.where(is_game_event()))
+    return events.where(is_known_game_event(profile, as_of)).drop("page_location")
 
 
 def join_max_level(events: DataFrame, languages: DataFrame) -> DataFrame:
@@ -252,6 +258,10 @@ def build_cr_user_progress(
     ``staging`` does about that.
     """
     events = filter_cr_events(raw, profile, as_of).drop("success_or_failure")
-    events = stage(events, staging)
+    return progress_table(stage(events, staging), languages, profile)
+
+
+def progress_table(events: DataFrame, languages: DataFrame, profile: AppProfile) -> DataFrame:
+    """Progress table, as it is exported, from filtered events."""
     table = cr_user_progress(events, languages)
     return table.withColumn("app", label_app(F.col("hostname"), profile)).select(*CR_COLUMNS)

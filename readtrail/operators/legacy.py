@@ -36,11 +36,13 @@ def explode_params(events: DataFrame) -> DataFrame:
 
 def filter_unity_events(
     raw: DataFrame, profile: AppProfile, as_of: dt.date | None = None, dedupe_events: bool = False,
+    lenient: bool = False,
 ) -> DataFrame:
     """Level and segment successes, session starts and engagement of the legacy apps.
 
     A session start counts once per parameter it carries.  ``dedupe_events=True``
-    keeps each such event once, and keeps those without any parameter.
+    keeps each such event once, and keeps those without any parameter.  A level that is no
+    number ends the job, or is NULL with ``lenient``.
     """
     first_open = micros_to_date(F.col("user_first_touch_timestamp"))
     plain = F.col("event_name").isin(_PLAIN_EVENTS)
@@ -75,7 +77,7 @@ def filter_unity_events(
         day.alias("event_dt"),
         "event_timestamp",
         F.when(level_done, day).alias("level_success_date"),
-        F.when(level_done, level_from_action(text)).alias("user_level"),
+        F.when(level_done, level_from_action(text, lenient)).alias("user_level"),
         F.when(text == F.lit(f"LevelSuccess_{config.READER_LEVEL}"), F.when(play, day)).alias(
             "reader_date"
         ),
@@ -189,8 +191,8 @@ def unity_user_progress(events: DataFrame, languages: DataFrame) -> DataFrame:
 
 def build_unity_user_progress(
     raw: DataFrame, languages: DataFrame, profile: AppProfile, as_of: dt.date | None = None,
-    staging: str | None = None, dedupe_events: bool = False,
+    staging: str | None = None, dedupe_events: bool = False, lenient: bool = False,
 ) -> DataFrame:
     """Legacy progress table from the raw log; ``staging`` as in :func:`stage`."""
-    events = filter_unity_events(raw, profile, as_of, dedupe_events).drop("event_name")
+    events = filter_unity_events(raw, profile, as_of, dedupe_events, lenient).drop("event_name")
     return unity_user_progress(stage(events, staging), languages)

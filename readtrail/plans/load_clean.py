@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 from readtrail.operators.cleaning import clean_tables
 from readtrail.operators.cohorts import LearnerTables
-from readtrail.session import run_together
+from readtrail.session import apply_settings, run_together
 from readtrail.sources.snapshots import load_latest_run, require_rows, stage
 
 TABLES = ["cr_user_progress", "unity_user_progress", "cr_app_launch"]
@@ -27,7 +27,7 @@ def load_clean(
     Many reports read the same cleaned tables: with ``staging``, a shared folder, they
     are written once and read from there, instead of being cleaned anew by each report.
     """
-    raw = load_raw(spark, base)
+    raw = load_raw(apply_settings(spark), base)
     cleaned = clean_tables(raw.progress, raw.legacy, raw.launches, strict_match)
     if staging is None:
         return LearnerTables(*cleaned)

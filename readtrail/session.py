@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -31,12 +32,23 @@ def apply_settings(spark: SparkSession) -> SparkSession:
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """New folder path for intermediate tables, in the cluster's shared folder.
 
-    That is what spark.checkpoint.dir names.  Only a session without it (a test on
-    one machine) gets a local temporary folder.
+    That is what spark.checkpoint.dir names.  A session without it gets a local temporary
+    folder if it runs on one machine, and an error if it does not: executors would not see
+    each other's files.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="readtrail-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.conf.get("spark.master", "")
+        if re.fullmatch(r"local(\[.*\])?", master) is None:
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder (master {master!r})")
+        base = tempfile.mkdtemp(prefix="readtrail-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate tables, on whatever file system it is."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def run_together(*jobs: Callable[[], T]) -> list[T]:

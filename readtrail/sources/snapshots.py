@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from readtrail.functions.dates import export_day
 
+_RUN = re.compile(r"run_date=\d{4}-\d{2}-\d{2}")
+
 
 def stage(df: DataFrame, path: str | None) -> DataFrame:
     """Write a table that several branches of a job read, and read it back.
@@ -32,18 +33,19 @@ def export_run(df: DataFrame, base: str, run_date: dt.date | None = None) -> str
 
 
 def latest_run(spark: SparkSession, base: str) -> str:
-    """Path of the newest run_date folder that holds parquet files."""
-    # listing only: neither file content nor footers are read, and a run whose
-    # files hold no rows still counts as the newest
-    folder = F.regexp_extract("path", r"/run_date=(\d{4}-\d{2}-\d{2})/", 1)
-    try:
-        files = spark.read.format("binaryFile").load(f"{base}/run_date=*/*.parquet")
-    except AnalysisException as e:
-        raise FileNotFoundError(f"no parquet files in run_date folders under {base}") from e
-    newest = files.agg(F.max(folder)).first()[0]
-    if not newest:
-        raise FileNotFoundError(f"no run_date=YYYY-MM-DD folder under {base}")
-    return f"{base}/run_date={newest}"
+    """Path of the newest run_date folder that holds parquet files.
+
+    Lists folder names, and then the files of the newest folders only, up to the first
+    that holds any; a run whose files hold no rows still counts as the newest.
+    """
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    runs = sorted((f.getPath().getName() for f in files.listStatus(folder)), reverse=True) if files.exists(folder) else []
+    for run in filter(_RUN.fullmatch, runs):
+        inside = files.listStatus(folder.suffix(f"/{run}"))
+        if any(f.getPath().getName().endswith(".parquet") for f in inside):
+            return f"{base}/{run}"
+    raise FileNotFoundError(f"no parquet files in run_date=YYYY-MM-DD folders under {base}")
 
 
 def load_latest_run(spark: SparkSession, base: str) -> DataFrame:

@@ -53,10 +53,10 @@ def test_sessions_against_brute_force(spark, mixed_times, gap):
 
 
 @pytest.mark.parametrize("gap", [120, 500])
-def test_deltas_against_brute_force(spark, mixed_times, gap):
+def test_deltas_against_brute_force(spark, mixed_times, gap, tmp_path):
     want = brute_force(mixed_times, gap)
     df = activity.mark_sessions(
-        activity.event_deltas(stream(spark, mixed_times), "user", "event_id", gap=gap), gap
+        activity.event_deltas(stream(spark, mixed_times), "user", "event_id", str(tmp_path / "order")), gap
     )
     got = {r.event_id: (r.prev_us, r.seconds_since_last) for r in df.collect()}
     assert got == {i: w[1:3] for i, w in want.items()}
@@ -66,17 +66,27 @@ def test_deltas_against_brute_force(spark, mixed_times, gap):
     assert {r[0]: r[1] for r in sessions} == last
 
 
-def test_sequence_against_brute_force(spark, mixed_times):
-    got = {
-        r.event_id: r.rn
-        for r in activity.event_sequence(stream(spark, mixed_times), "user", "event_id").collect()
-    }
-    for user in {u for u, _ in mixed_times}:
-        mine = [i for i, (u, _) in enumerate(mixed_times) if u == user]
-        # each number once, and never against the order of time
-        assert sorted(got[i] for i in mine) == list(range(1, len(mine) + 1))
-        in_order = sorted(mine, key=lambda i: got[i])
-        assert [mixed_times[i][1] for i in in_order] == sorted(mixed_times[i][1] for i in mine)
+def test_sequence_against_brute_force(spark, mixed_times, tmp_path):
+    want = brute_force(mixed_times, 120)
+    ordered = activity.event_sequence(stream(spark, mixed_times), "user", "event_id", str(tmp_path / "order"))
+    assert {r.event_id: r.rn for r in ordered.collect()} == {i: w[0] for i, w in want.items()}
+
+
+def test_equal_times_are_numbered_by_the_tie(spark, tmp_path):
+    times = [("a", 5)] * 8 + [("b", 5), ("a", 4)]
+    ordered = activity.event_sequence(stream(spark, times), "user", "event_id", str(tmp_path / "order"))
+    got = {r.event_id: r.rn for r in ordered.collect()}
+    assert [got[i] for i in range(10)] == [2, 3, 4, 5, 6, 7, 8, 9, 1, 1]
+
+
+def test_events_without_a_time_come_first(spark, tmp_path):
+    times = [("a", 10_000_000), ("a", None), ("a", 500_000_000), ("a", None), (None, None), (None, 7)]
+    df = stream(spark, times)
+    ordered = activity.event_order(df, "user", "event_id", str(tmp_path / "order"))
+    got = {r.event_id: (r.rn, r.prev_us) for r in ordered.collect()}
+    assert got == {1: (1, None), 3: (2, None), 0: (3, None), 2: (4, 10_000_000), 4: (1, None), 5: (2, None)}
+    sessions = {r.event_id: r.session_id for r in activity.sessionize(df, "user").collect()}
+    assert sessions == {1: 1, 3: 1, 0: 2, 2: 3, 4: 1, 5: 2}
 
 
 def test_gap_is_counted_in_whole_seconds(spark):

@@ -244,9 +244,16 @@ def test_funnel_steps(progress):
     assert rows(reports.funnel_steps(df, None, "CR", "no such size"), "step")[0] == ("DC",)
 
 
-def test_is_compact():
-    assert reports.is_compact("Unity") and reports.is_compact(["x-Standalone"]) and reports.is_compact(["All"])
-    assert not reports.is_compact("CR")
+def test_funnel_size():
+    assert [reports.funnel_size(a) for a in ("Unity", ["x-Standalone"], ["All"], "CR", None)] == [
+        "compact", "compact", "compact", "large", "large"]
+
+
+def test_unknown_date_range_raises():
+    for option in ("Select week", "Last few days", ""):
+        with pytest.raises(ValueError):
+            date_range(option, None, D(2024, 3, 10))
+    assert date_range("Select month", (12, 2023), D(2024, 3, 10)) == (D(2023, 12, 1), D(2023, 12, 31))
 
 
 def test_date_ranges():

@@ -95,7 +95,10 @@ def test_scratch_folder_is_the_shared_one(spark):
 
     shared = session(**{"spark.checkpoint.dir": "hdfs://shared/dir/"})
     assert scratch_folder(shared, "x").startswith("hdfs://shared/dir/x-")
-    assert "readtrail-" in scratch_folder(session(), "x")
+    assert "readtrail-" in scratch_folder(session(**{"spark.master": "local[4]"}), "x")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", ""):
+        with pytest.raises(RuntimeError):
+            scratch_folder(session(**{"spark.master": master}), "x")
     assert scratch_folder(spark, "x") != scratch_folder(spark, "x")
 
 
