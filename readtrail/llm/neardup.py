@@ -6,10 +6,11 @@ smallest rank.  Ranks of one element are correlated, which lowers the variance,
 every place has a rank of some level no later level can win, so the walk stops early.
 
 Texts with the same words are one class.  Classes that agree in a band meet in a bucket.
-Within a bucket only the smallest class is compared with the others (no pairs of all with
+Within a bucket only the smallest class is paired with the others (no pairs of all with
 all); signatures far below the threshold are dropped, the rest is confirmed on full sets.
-Buckets that still hold several components afterwards are finished: small ones pair by
-pair across components, large ones by further bands within the bucket, again and again.
+Buckets that still hold several components afterwards are finished: signatures are
+compared across components, within a bounded bucket; larger ones are split by further
+bands first, again and again.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readtrail.llm.common import Memo, map_rows, mix64, per_worker, staged, whole_text
+from readtrail.llm.common import Memo, map_rows, mix64, per_worker, shuffle_partitions, staged, whole_text
 from readtrail.llm.components import components
 
 PLACES = 128
@@ -30,8 +32,9 @@ ROWS = PLACES // BANDS
 SHINGLE = 4
 PERCENT = 80
 FINER = 16  # further bands of a large bucket, each of ROWS places
-SMALL = 48  # classes in a bucket that is finished pair by pair
-DEPTHS = 6  # times a bucket is split before it is finished pair by pair whatever its size
+LARGE = 4096  # classes in a bucket beyond which it is split before its signatures are compared
+DEPTHS = 6  # times a bucket is split before it is compared whatever its size
+GROUP_ITEMS = 200_000  # items of buckets that are compared in one task
 LEAST_AGREEMENT = 0.6  # of signature places; 5.6 standard deviations below likeness 0.8
 WORDS_KEPT = 500_000
 LEVEL = np.uint64(56)  # bits of a rank below its level
@@ -147,6 +150,45 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _across(marked: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, a_doc, b_doc) of one bucket, but of two components, that may be linked.
+
+    Buckets are bounded, so a task compares the signatures of whole buckets in memory and
+    gives out the few pairs that agree well enough.
+    """
+    described = classes.select("key", "n_shingles", "signature", "doc_id")
+    groups = max(shuffle_partitions(marked.sparkSession), -(-marked.count() // GROUP_ITEMS))
+    items = marked.select("key", "bucket", "own").join(described, "key").withColumn("part", F.pmod("bucket", F.lit(groups)))
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("bucket")
+        bucket, size = table["bucket"].to_numpy(), table["n_shingles"].to_numpy()
+        keys, docs = table["key"].to_pylist(), table["doc_id"].to_pylist()
+        own = np.unique(np.array(table["own"].to_pylist(), dtype=object), return_inverse=True)[1]
+        signature = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(len(keys), -1)
+        found: set[tuple[int, int]] = set()
+        starts = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] - 1))
+        for lo, hi in zip(starts.tolist(), np.append(starts[1:], len(bucket)).tolist()):
+            for i in range(lo, hi - 1):
+                rest = slice(i + 1, hi)
+                fit = (own[rest] != own[i]) & (
+                    100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i])
+                )
+                at = np.flatnonzero(fit) + i + 1
+                if len(at):
+                    agree = (signature[at] == signature[i]).sum(axis=1) >= LEAST_AGREEMENT * signature.shape[1]
+                    found.update((i, int(j)) for j in at[agree])
+        pairs = {tuple(sorted((keys[i], keys[j]))): (i, j) for i, j in found}
+        doc = {k: d for k, d in zip(keys, docs)}
+        return pa.table({
+            "a": pa.array([a for a, _ in pairs], pa.binary()), "b": pa.array([b for _, b in pairs], pa.binary()),
+            "a_doc": pa.array([doc[a] for a, _ in pairs], pa.int64()), "b_doc": pa.array([doc[b] for _, b in pairs], pa.int64()),
+        })
+
+    compared = items.groupBy("part").applyInArrow(compare, "a binary, b binary, a_doc long, b_doc long")
+    return compared.dropDuplicates(["a", "b"])
+
+
 def _links(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b, a_doc, b_doc) whose full sets reach the threshold."""
     needed = pairs.select(F.col("a_doc").alias("doc_id")).union(pairs.select("b_doc")).distinct()
@@ -199,12 +241,11 @@ def _finer(items: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
 
 def _found_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links (a, b) between classes, enough to connect every group."""
-    empty = classes.select(F.col("key").alias("a"), F.col("key").alias("b")).where("false")
-    links = tried = empty
+    links = tried = classes.select(F.col("key").alias("a"), F.col("key").alias("b")).where("false")
 
-    def try_pairs(pairs: DataFrame) -> None:
+    def confirm(pairs: DataFrame) -> None:
         nonlocal links, tried
-        fresh = staged(_agreeing(pairs.join(tried, ["a", "b"], "left_anti"), classes, percent), "near-pairs")
+        fresh = staged(pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         if not fresh.isEmpty():
             links = staged(links.unionByName(_links(fresh, docs, shingle, percent)), "near-links")
             tried = tried.unionByName(fresh.select("a", "b"))
@@ -213,7 +254,7 @@ def _found_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int
     for depth in range(DEPTHS + 1):
         centers = items.groupBy("bucket").agg(F.min("key").alias("a"), F.count("*").alias("size")).where("size > 1")
         met = items.join(centers, "bucket").where(F.col("key") != F.col("a"))
-        try_pairs(met.select("a", F.col("key").alias("b")).distinct())
+        confirm(_agreeing(met.select("a", F.col("key").alias("b")).distinct(), classes, percent))
         labels = components(links).withColumnsRenamed({"node": "key", "label": "own"})
         marked = items.join(labels, "key", "left").withColumn("own", F.coalesce("own", "key"))
         still_open = (
@@ -222,13 +263,8 @@ def _found_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int
         )
         marked = staged(marked.join(still_open, "bucket"), "near-open")
         last = depth == DEPTHS
-        few = marked if last else marked.where(F.col("size") <= SMALL)
-        others = few.select("bucket", F.col("key").alias("b"), F.col("own").alias("b_own"))
-        try_pairs(
-            few.select("bucket", F.col("key").alias("a"), "own").join(others, "bucket")
-            .where((F.col("a") < F.col("b")) & (F.col("own") != F.col("b_own"))).select("a", "b").distinct()
-        )
-        large = marked.where(F.col("size") > SMALL)
+        confirm(_across(marked if last else marked.where(F.col("size") <= LARGE), classes, percent))
+        large = marked.where(F.col("size") > LARGE)
         if last or large.isEmpty():
             return links
         items = staged(_finer(large, classes, depth), "near-finer")

@@ -70,7 +70,7 @@ def test_against_brute_force(documents, rows):
 
 
 def test_large_buckets_are_split_and_lose_nothing(documents, rows, monkeypatch):
-    monkeypatch.setattr(neardup, "SMALL", 3)
+    monkeypatch.setattr(neardup, "LARGE", 3)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_groups(documents(*rows)).collect()}
     assert got == brute(rows)
 
