@@ -171,11 +171,11 @@ def _launch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 37 != 0, _param("cr_user_id", F.when(k % 31 == 0, "").otherwise(learner))),
         (None, _param("web_app_url", url)),
     ])
-    ev = events(spark, sf_dir).where(F.col("event_type").isin("signup", "view"))
+    starts = F.col("event_type").isin("signup", "view") & (k % 13 != 0)
     return _log_row(
-        ev,
+        events(spark, sf_dir),
         pseudo=F.concat(F.lit("p"), learner),
-        name=F.when(k % 13 == 0, "app_open").otherwise("app_launch"),
+        name=F.when(starts, "app_launch").otherwise("app_open"),
         touch=_first_touch(F.col("period") * 2 - user % 3 - 1),
         params=params,
         host=F.lit(None).cast("string"),

@@ -659,6 +659,12 @@ _QUERIES: dict[str, str] = {
              CAST(sum(active_span) AS BIGINT) FROM old_progress
       UNION ALL
       SELECT 'launches', count(*), count(first_open), NULL, NULL FROM clean_launch""",
+    "clean_progress": "SELECT * REPLACE (CASE WHEN active_span < 0 THEN 0 ELSE active_span END AS active_span) FROM clean_users",
+    "clean_legacy": "SELECT * FROM old_progress",
+    "clean_launches": "SELECT * FROM clean_launch",
+    "export_read_back": "SELECT * FROM launch",
+    "table_read_back": "SELECT * FROM old_progress",
+    "csv_read_back": "SELECT * EXCLUDE (la_gpc) REPLACE (CASE WHEN active_span < 0 THEN 0 ELSE active_span END AS active_span) FROM co",
     "cohort_totals": f"SELECT count(*) AS LR, {_counts(_LONG)} FROM co",
     "funnel_by_group": _CR_FUNNEL,
     "funnel_by_language": _funnel("co", "app_language", _SHORT, "cr_user_id", "co_lr"),
@@ -681,6 +687,22 @@ _QUERIES: dict[str, str] = {
         f"SELECT {', '.join(f'sum({s}) AS {s}' for s in ['LR', *_LONG])} FROM ({_CR_LANGUAGE})",
         ["LR", *_LONG],
     ),
+    "report_top_lr": """
+      SELECT country, count(DISTINCT cr_user_id) AS LR, 100.0::DOUBLE AS LR_pct
+      FROM co_lr GROUP BY 1 ORDER BY LR DESC, country NULLS LAST LIMIT 10""",
+    "report_top_language_percent": f"SELECT * FROM ({_funnel('co', 'app_language', _SHORT, 'cr_user_id', 'co_lr')}) ORDER BY LA_pct DESC NULLS LAST, app_language NULLS LAST LIMIT 10",
+    "single_app_tiles": """
+      SELECT 'CR' AS app, (SELECT count(*) FROM co_lr) AS LR,
+             count(*) FILTER (WHERE max_user_level >= 1) AS LA,
+             count(*) FILTER (WHERE max_user_level >= 25) AS RA,
+             count(*) FILTER (WHERE max_user_level >= 1 AND gpc >= 90) AS GC FROM co""",
+    "single_app_steps": _steps(
+        f"SELECT {', '.join(f'sum({s}) AS {s}' for s in ['LR', *_LONG])} FROM ({_CR_LANGUAGE})",
+        ["LR", *_LONG],
+    ),
+    "funnel_steps_medium": _steps(
+        f"SELECT {', '.join(f'sum({s}) AS {s}' for s in _LONG)} FROM ({_CR_LANGUAGE})", _LONG,
+    ),
     "funnel_steps_all_apps": _steps(
         f"SELECT {', '.join(f'sum({s}) AS {s}' for s in ['LR', *_SHORT])} FROM ({_TWO_APPS})",
         ["LR", *_SHORT],

@@ -27,7 +27,7 @@ from readtrail.operators.cohorts import CohortFilter
 from readtrail.plans import reports
 from readtrail.sources import lists, spend
 from readtrail.sources.events import scan_events
-from readtrail.sources.snapshots import export_run, load_latest_run
+from readtrail.sources.snapshots import export_csv, export_run, load_latest_run, save_table
 from readtrail.session import scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -530,6 +530,21 @@ def load_clean(spark, sf_dir):
     return cohorts.concat_tagged(parts, "source")
 
 
+@query
+def clean_progress(spark, sf_dir):
+    return A.tables(spark, sf_dir).progress
+
+
+@query
+def clean_legacy(spark, sf_dir):
+    return A.tables(spark, sf_dir).legacy
+
+
+@query
+def clean_launches(spark, sf_dir):
+    return _plain_launches(A.tables(spark, sf_dir).launches)
+
+
 # --- cohorts and funnels -------------------------------------------------------------------
 
 
@@ -631,6 +646,33 @@ def funnel_steps(spark, sf_dir):
     return reports.funnel_steps(users, reached, "CR", "large")
 
 
+@query
+def report_top_lr(spark, sf_dir):
+    return reports.report_top(A.tables(spark, sf_dir), "CR", FILTER, "LR")
+
+
+@query
+def report_top_language_percent(spark, sf_dir):
+    table = reports.report_top(A.tables(spark, sf_dir), "CR", FILTER, "LA", "app_language", percent=True)
+    return _rounded(table, "GPP", "GPP_pct")
+
+
+@query
+def single_app_tiles(spark, sf_dir):
+    return reports.single_app_tiles(A.tables(spark, sf_dir), "CR", FILTER)
+
+
+@query
+def single_app_steps(spark, sf_dir):
+    return reports.single_app_steps(A.tables(spark, sf_dir), "CR", FILTER)
+
+
+@query
+def funnel_steps_medium(spark, sf_dir):
+    users, reached = _cr(spark, sf_dir)
+    return reports.funnel_steps(users, reached, "CR", "medium")
+
+
 @query
 def funnel_steps_all_apps(spark, sf_dir):
     return reports.funnel_steps_all_apps(A.tables(spark, sf_dir), FILTER)
@@ -659,6 +701,31 @@ def combined_cohorts(spark, sf_dir):
     return users.unionByName(reached, allowMissingColumns=True)
 
 
+# --- sinks, read back ------------------------------------------------------------------------
+
+
+@query
+def export_read_back(spark, sf_dir):
+    base = scratch_folder(spark, "exported")
+    export_run(A.raw_tables(spark, sf_dir).launches, base, A.RUN_DATE)
+    return _plain_launches(load_latest_run(spark, base))
+
+
+@query
+def table_read_back(spark, sf_dir):
+    path = scratch_folder(spark, "rebuilt")
+    for table in (A.raw_tables(spark, sf_dir).legacy.limit(0), A.raw_tables(spark, sf_dir).legacy):
+        save_table(table, path=path)
+    return spark.read.parquet(path)
+
+
+@query
+def csv_read_back(spark, sf_dir):
+    path, users = scratch_folder(spark, "csv"), _cr(spark, sf_dir)[0]
+    export_csv(users, path)
+    return spark.read.schema(users.schema).csv(path, header=True)
+
+
 # --- campaigns -----------------------------------------------------------------------------
 
 

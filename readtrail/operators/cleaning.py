@@ -9,13 +9,16 @@ from readtrail import config
 from readtrail.functions.dates import fix_dates
 from readtrail.functions.numbers import clip_low
 from readtrail.operators.matching import (
+    KEY,
     ascending,
     best_row,
     descending,
+    first_rows,
+    keyed,
     mark_duplicates,
-    match_keys,
     row_in_order,
 )
+from readtrail.sources.snapshots import stage
 
 
 def clean_language(df: DataFrame, column: str = "app_language") -> DataFrame:
@@ -31,7 +34,12 @@ def best_row_unity(users: DataFrame) -> DataFrame:
 
 
 def best_row_cr(users: DataFrame) -> DataFrame:
-    """Furthest row of each learner over its countries and languages.
+    """Furthest row of each learner over its countries and languages."""
+    return _furthest_rows(users).select("first.*")
+
+
+def _furthest_rows(users: DataFrame) -> DataFrame:
+    """KEY and, as ``first``, the furthest row of each learner.
 
     Finished a level first, then highest level, then furthest stage.  Ties go to the
     row with most events, the order the table is reported in, then by country and
@@ -54,29 +62,16 @@ def best_row_cr(users: DataFrame) -> DataFrame:
         + ascending("country")
         + ascending("app_language")
     )
-    return best_row(named, "cr_user_id", order)
+    return first_rows(named, "cr_user_id", order)
 
 
 def _launch_choices(launches: DataFrame, best: DataFrame, strict_match: bool) -> DataFrame:
-    """Per learner: has_dup, and the first row of all, of the repeated devices' rows,
-    and of those with a language.
+    """Per learner (KEY): has_dup, and one launch row, ``pick``, with ``fits``.
 
-    "First" is the newest first_open, then the earliest launch, country, language
-    and device.
+    Rows of repeated devices that have a language (and agree with progress, if the match
+    is strict) come first, then other rows of repeated devices, then the rest; within each
+    the newest first_open, then the earliest launch, country, language and device.
     """
-    marked = mark_duplicates(launches, "user_pseudo_id", "dup")
-    fits = F.col("app_language").isNotNull()
-    if strict_match:
-        wanted = best.select(
-            "cr_user_id", F.col("app_language").alias("best_language"),
-            F.col("country").alias("best_country"),
-        )
-        marked = match_keys(marked, wanted, "cr_user_id", "left")
-        fits = (
-            fits
-            & (F.col("app_language") == F.col("best_language"))
-            & F.col("country").eqNullSafe(F.col("best_country"))
-        )
     order = (
         descending(F.unix_date("first_open"))
         + ascending("first_launch_ts")
@@ -85,83 +80,85 @@ def _launch_choices(launches: DataFrame, best: DataFrame, strict_match: bool) ->
         + ascending("user_pseudo_id")
     )
     row = row_in_order(launches, order)
-    return marked.groupBy("cr_user_id").agg(
+    marked = keyed(mark_duplicates(launches, "user_pseudo_id", "dup"), "cr_user_id")
+    fits = F.col("dup") & F.col("app_language").isNotNull()
+    if strict_match:
+        marked = marked.join(best.select(
+            *KEY, F.col("first.app_language").alias("_language"), F.col("first.country").alias("_country"),
+        ), KEY, "left")
+        same = (F.col("app_language") == F.col("_language")) & F.col("country").eqNullSafe(F.col("_country"))
+        fits = fits & F.coalesce(same, F.lit(False))
+    return marked.groupBy(*KEY).agg(
         F.max("dup").alias("has_dup"),
-        F.min(row).alias("any"),
-        F.min(F.when(F.col("dup"), row)).alias("dup_any"),
-        F.min(F.when(F.col("dup") & fits, row)).alias("dup_language"),
-    ).select(
-        "cr_user_id",
-        "has_dup",
-        *[F.col(f"{c}.row").alias(c) for c in ("any", "dup_any", "dup_language")],
-    )
+        F.min(F.struct((~F.col("dup")).alias("single"), (~fits).alias("unfit"), row.alias("kept"))).alias("choice"),
+    ).select(*KEY, "has_dup", (~F.col("choice.unfit")).alias("fits"), F.col("choice.kept.row").alias("pick"))
 
 
-def single_language_users(
-    launches: DataFrame, users: DataFrame, strict_match: bool = False
+def learner_pairs(
+    launches: DataFrame, users: DataFrame, strict_match: bool = False, staging: str | None = None
 ) -> DataFrame:
+    """Per learner its furthest progress row, ``first``, and its launch choice; either may be NULL.
+
+    Both cleaned tables are read off this; ``staging`` as in :func:`stage`.
+    """
+    best = _furthest_rows(users)
+    return stage(best.join(_launch_choices(launches, best, strict_match), KEY, "full"), staging)
+
+
+def users_of(pairs: DataFrame, columns: list[str]) -> DataFrame:
     """Progress table with one row per learner.
 
     For app CR, first_open becomes that of the learner's launch row, NULL without one.
     """
-    best = best_row_cr(users)
-    choices = _launch_choices(launches, best, strict_match)
-    # a learner with progress gets no fallback row, so this is its final launch row
-    launch_day = F.when(F.col("has_dup"), F.col("dup_language.first_open")).otherwise(
-        F.col("any.first_open")
-    )
-    days = choices.select("cr_user_id", launch_day.alias("launch_first_open"))
-    first_open = F.when(F.col("app") == "CR", F.col("launch_first_open")).otherwise(
-        F.col("first_open")
-    )
-    return match_keys(best, days, "cr_user_id", "left").withColumn("first_open", first_open).select(
-        *best.columns
-    )
+    # a learner with progress gets no fallback row
+    launch_day = F.when(F.col("fits") | ~F.col("has_dup"), F.col("pick.first_open"))
+    first_open = F.when(F.col("first.app") == "CR", launch_day).otherwise(F.col("first.first_open"))
+    known = pairs.where(F.col("first").isNotNull())
+    return known.withColumn("_first_open", first_open).select("first.*", "_first_open").withColumn(
+        "first_open", F.col("_first_open")
+    ).select(*columns)
 
 
-def single_language_launch(
-    launches: DataFrame, users: DataFrame, strict_match: bool = False
-) -> DataFrame:
+def launches_of(pairs: DataFrame, columns: list[str]) -> DataFrame:
     """Launch table with one row per learner.
 
     A learner none of whose devices repeats keeps its first row, in the language of
     its progress row if it has one.  Otherwise its first repeated-device row with a
     language is taken as it is; failing that, a learner without progress gets its
-    first such row, and a learner with progress gets none.  ``strict_match`` asks that
-    the row agree with the progress row in language and country.
+    first such row, and a learner with progress gets none.
     """
-    best = best_row_cr(users)
-    choices = _launch_choices(launches, best, strict_match)
-    progress = best.select(
-        "cr_user_id", F.col("app_language").alias("best_language"), F.lit(True).alias("in_progress")
-    )
-    joined = match_keys(choices, progress, "cr_user_id", "left")
-    known = F.col("in_progress").isNotNull()
-    pick = (
-        F.when(~F.col("has_dup"), F.col("any"))
-        .when(F.col("dup_language").isNotNull(), F.col("dup_language"))
-        .when(~known, F.col("dup_any"))
-    )
-    language = F.when(~F.col("has_dup") & known, F.col("best_language")).otherwise(
-        F.col("pick.app_language")
-    )
-    return (
-        joined.withColumn("pick", pick)
-        .where(F.col("pick").isNotNull())
-        .withColumn("language", language)
-        .select("pick.*", "language")
-        .withColumn("app_language", F.col("language"))
-        .drop("language")
-    )
+    known, dup = F.col("first").isNotNull(), F.col("has_dup")
+    language = F.when(~dup & known, F.col("first.app_language")).otherwise(F.col("pick.app_language"))
+    chosen = pairs.where(F.col("pick").isNotNull() & (~dup | F.col("fits") | ~known))
+    return chosen.withColumn("_language", language).select("pick.*", "_language").withColumn(
+        "app_language", F.col("_language")
+    ).select(*columns)
+
+
+def single_language_users(
+    launches: DataFrame, users: DataFrame, strict_match: bool = False
+) -> DataFrame:
+    """See :func:`users_of`."""
+    return users_of(learner_pairs(launches, users, strict_match), users.columns)
+
+
+def single_language_launch(
+    launches: DataFrame, users: DataFrame, strict_match: bool = False
+) -> DataFrame:
+    """See :func:`launches_of`; ``strict_match`` asks that a repeated device's row agree with
+    the progress row in language and country."""
+    return launches_of(learner_pairs(launches, users, strict_match), launches.columns)
 
 
 def clean_tables(
-    progress: DataFrame, legacy: DataFrame, launches: DataFrame, strict_match: bool = False
+    progress: DataFrame, legacy: DataFrame, launches: DataFrame, strict_match: bool = False,
+    staging: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Clean the three learner tables: (progress, legacy, launches)."""
     progress = clean_language(fix_dates(progress, ["first_open", "last_event_date"]))
     launches = clean_language(fix_dates(launches, ["first_open"]))
     legacy = best_row_unity(fix_dates(legacy, ["first_open", "la_date", "last_event_date"]))
-    users = single_language_users(launches, progress, strict_match)
+    pairs = learner_pairs(launches, progress, strict_match, staging)
+    users = users_of(pairs, progress.columns)
     users = users.withColumn("active_span", clip_low(F.col("active_span"), 0))
-    return users, legacy, single_language_launch(launches, progress, strict_match)
+    return users, legacy, launches_of(pairs, launches.columns)

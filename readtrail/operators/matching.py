@@ -12,23 +12,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def match_keys(left: DataFrame, right: DataFrame, keys: str | list[str], how: str) -> DataFrame:
-    """Join on equally named keys, NULL equal to NULL; the left keys are kept."""
-    keys = [keys] if isinstance(keys, str) else keys
-    renamed = {key: f"_right_{key}" for key in keys}
-    same = [F.col(mine).eqNullSafe(F.col(theirs)) for mine, theirs in renamed.items()]
-    joined = left.join(right.withColumnsRenamed(renamed), same, how)
-    return joined if how in ("left_semi", "left_anti") else joined.drop(*renamed.values())
+# a key that is never NULL: its text, and whether it was NULL
+KEY = ["_key", "_no_key"]
+
+
+def keyed(df: DataFrame, key: str) -> DataFrame:
+    """Add the columns KEY for ``key``.
+
+    Plain equality on them is NULL-safe, and grouping by them leaves the rows where a join
+    on them wants them, which NULL-safe equality on the key itself would not.
+    """
+    return df.withColumns({
+        KEY[0]: F.coalesce(F.col(key).cast("string"), F.lit("")), KEY[1]: F.col(key).isNull(),
+    })
+
+
+def match_keys(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
+    """Join on an equally named key, NULL equal to NULL; the left key is kept."""
+    joined = keyed(left, key).join(keyed(right, key).drop(key), KEY, how)
+    return joined.drop(*KEY)
+
+
+def _keys_of(df: DataFrame, key: str) -> DataFrame:
+    return keyed(df.select(key), key).select(*KEY).distinct()
 
 
 def semi_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Rows of left whose key occurs in right."""
-    return match_keys(left, right.select(key).distinct(), key, "left_semi")
+    return keyed(left, key).join(_keys_of(right, key), KEY, "left_semi").drop(*KEY)
 
 
 def anti_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Rows of left whose key does not occur in right."""
-    return match_keys(left, right.select(key).distinct(), key, "left_anti")
+    return keyed(left, key).join(_keys_of(right, key), KEY, "left_anti").drop(*KEY)
 
 
 def keyed_update(
@@ -51,9 +67,10 @@ def keyed_update(
 
 def mark_duplicates(df: DataFrame, key: str, name: str = "is_duplicate") -> DataFrame:
     """Flag every row whose key occurs more than once (NULL counts as a key)."""
-    repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    flagged = match_keys(df, repeated.select(key, F.lit(True).alias(name)), key, "left")
-    return flagged.withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+    rows = keyed(df, key)
+    repeated = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    flagged = rows.join(repeated, KEY, "left").withColumn(name, F.col("_n").isNotNull())
+    return flagged.drop(*KEY, "_n")
 
 
 def ascending(column: str) -> list[Column]:
@@ -78,13 +95,15 @@ def row_in_order(df: DataFrame, order: list[Column]) -> Column:
     return F.struct(_as_struct(order, "k").alias("order"), F.struct(*df.columns).alias("row"))
 
 
+def first_rows(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """KEY and, as the struct ``first``, the first row per key in the given order."""
+    first = F.min(row_in_order(df, order))
+    return keyed(df, key).groupBy(*KEY).agg(first.alias("_first")).select(*KEY, F.col("_first.row").alias("first"))
+
+
 def best_row(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """First row per key in the given order."""
-    return (
-        df.groupBy(key)
-        .agg(F.min(row_in_order(df, order)).alias("_first"))
-        .select("_first.row.*")
-    )
+    return first_rows(df, key, order).select("first.*")
 
 
 def dedupe(df: DataFrame, key: str, order: list[Column]) -> DataFrame:

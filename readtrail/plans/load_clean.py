@@ -28,7 +28,9 @@ def load_clean(
     are written once and read from there, instead of being cleaned anew by each report.
     """
     raw = load_raw(apply_settings(spark), base)
-    cleaned = clean_tables(raw.progress, raw.legacy, raw.launches, strict_match)
+    cleaned = clean_tables(
+        raw.progress, raw.legacy, raw.launches, strict_match, staging and f"{staging}/learner_pairs"
+    )
     if staging is None:
         return LearnerTables(*cleaned)
     return LearnerTables(*run_together(*[
