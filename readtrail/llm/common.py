@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Hashable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import Any
 
 import numpy as np
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from readtrail.session import scratch_folder
+from readtrail.session import remove_folder, scratch_folder
 
 # a word: a run of anything but the space, tab, line feed, vertical tab, form feed, return
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,9 +32,33 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_tables: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables staged inside are removed at the end, but for what goes through the given function."""
+    own: list[str] = []
+    token = _tables.set(own)
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        out = staged(df, name)
+        own.pop()
+        return out
+
+    try:
+        yield kept
+    finally:
+        _tables.reset(token)
+        for path in own:
+            remove_folder(spark, path)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors."""
     path = scratch_folder(df.sparkSession, name)
+    if (tables := _tables.get()) is not None:
+        tables.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

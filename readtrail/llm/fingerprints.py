@@ -19,14 +19,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readtrail.llm.common import (
-    WORD, Memo, map_rows, mix64, per_worker, shuffle_partitions, staged, whole_text,
+    WORD, map_rows, mix64, per_worker, shuffle_partitions, staged, whole_text,
 )
 
 BIN_BITS = 9
 BINS = 1 << BIN_BITS
 STORED_BITS = 4
 SHINGLE = 5
-WORDS_KEPT = 500_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _words = re.compile(WORD)
 
@@ -40,7 +39,6 @@ def _picks(attempts: np.ndarray) -> np.ndarray:
 class Fingerprinter:
     def __init__(self, shingle: int = SHINGLE) -> None:
         self.shingle = shingle
-        self.hashes = Memo(xxhash.xxh3_64_intdigest, WORDS_KEPT)
         odd = mix64(np.arange(1, shingle + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         self.factors = odd | np.uint64(1)
         self.blocks: list[np.ndarray] = []
@@ -56,7 +54,7 @@ class Fingerprinter:
     def shingles(self, text: str) -> np.ndarray:
         """Hashes of the word shingles; a shorter text is one shingle, an empty one none."""
         words = _words.findall(text)
-        h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         n = len(words) - self.shingle + 1
         if n < 1:
             n, h = min(1, len(words)), np.append(h, np.zeros(self.shingle - len(words), np.uint64))

@@ -6,8 +6,9 @@ smallest rank.  Ranks of one element are correlated, which lowers the variance,
 every place has a rank of some level no later level can win, so the walk stops early.
 
 Texts with the same words are one class.  Classes that agree in a band meet in a bucket.
-Within a bucket only the smallest class is paired with the others (no pairs of all with
-all); signatures far below the threshold are dropped, the rest is confirmed on full sets.
+Within a bucket one class at a time is paired with the others (no pairs of all with all)
+that are not of its component yet; signatures far below the threshold are dropped, the
+rest is confirmed on full sets.
 Buckets that still hold several components afterwards are finished: signatures are
 compared across components, within a bounded bucket; larger ones are split by further
 bands first, again and again.
@@ -23,20 +24,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readtrail.llm.common import Memo, map_rows, mix64, per_worker, shuffle_partitions, staged, whole_text
+from readtrail.llm.common import map_rows, mix64, per_worker, shuffle_partitions, staged, temporary_tables, whole_text
 from readtrail.llm.components import components
 
-PLACES = 128
+PLACES = 256
 BANDS = 32
-ROWS = PLACES // BANDS
+ROWS = 4  # places in a band
 SHINGLE = 4
 PERCENT = 80
 FINER = 16  # further bands of a large bucket, each of ROWS places
 LARGE = 4096  # classes in a bucket beyond which it is split before its signatures are compared
 DEPTHS = 6  # times a bucket is split before it is compared whatever its size
 GROUP_ITEMS = 200_000  # items of buckets that are compared in one task
-LEAST_AGREEMENT = 0.6  # of signature places; 5.6 standard deviations below likeness 0.8
-WORDS_KEPT = 500_000
+LEAST_AGREEMENT = 0.68  # of signature places; 4.8 standard deviations below likeness 0.8
+CENTERS = 3  # classes of a bucket that are paired with all others, one after the other
 LEVEL = np.uint64(56)  # bits of a rank below its level
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -49,7 +50,6 @@ def word_list(text: str) -> list[bytes]:
 class Shingler:
     def __init__(self, shingle: int = SHINGLE) -> None:
         self.shingle = shingle
-        self.hashes = Memo(xxhash.xxh3_64_intdigest, WORDS_KEPT)
         self.factors = mix64(np.arange(1, shingle + 1, dtype=np.uint64) * np.uint64(_GOLD)) | np.uint64(1)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
@@ -57,7 +57,7 @@ class Shingler:
         if not words:
             return np.zeros(0, np.uint64)
         n = len(words) - self.shingle + 1
-        h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         if n < 1:
             n, h = 1, np.append(h, np.zeros(self.shingle - len(words), np.uint64))
         total = np.zeros(n, np.uint64)
@@ -79,7 +79,6 @@ def super_minhash(elements: np.ndarray, places: int = PLACES) -> np.ndarray:
     for level in range(places):
         u = mix64(elements + np.uint64((level + 1) * _GOLD & 0xFFFFFFFFFFFFFFFF))
         k = level + ((u >> np.uint64(32)) * np.uint64(places - level) >> np.uint64(32)).astype(np.int64)
-        rank = mix64(u) >> np.uint64(64) - LEVEL | np.uint64(level) << LEVEL
         if turn is None:
             place = k
             if n < places * 8:  # most texts need further levels
@@ -88,7 +87,10 @@ def super_minhash(elements: np.ndarray, places: int = PLACES) -> np.ndarray:
         else:
             place = turn[every, k].astype(np.int64)
             turn[every, k] = turn[:, level]
-        np.minimum.at(best, place, rank)
+        if level:  # a place that has a rank of a lower level keeps it
+            still = np.flatnonzero(best[place] >> LEVEL >= level)
+            place, u = place[still], u[still]
+        np.minimum.at(best, place, mix64(u) >> np.uint64(64) - LEVEL | np.uint64(level) << LEVEL)
         if int(best.max() >> LEVEL) <= level:
             break
         if turn is None:  # a long text that still has an open place: its permutations after all
@@ -98,7 +100,7 @@ def super_minhash(elements: np.ndarray, places: int = PLACES) -> np.ndarray:
 
 
 def band_keys(signature: np.ndarray) -> list[int]:
-    rows = signature.reshape(BANDS, ROWS)
+    rows = signature[:BANDS * ROWS].reshape(BANDS, ROWS)
     key = np.arange(BANDS, dtype=np.uint64)
     for k in range(ROWS):
         key = mix64(key * np.uint64(31) + rows[:, k])
@@ -250,24 +252,34 @@ def _found_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int
             links = staged(links.unionByName(_links(fresh, docs, shingle, percent)), "near-links")
             tried = tried.unionByName(fresh.select("a", "b"))
 
-    items = classes.select("key", F.explode("bands").alias("bucket"))
-    for depth in range(DEPTHS + 1):
-        centers = items.groupBy("bucket").agg(F.min("key").alias("a"), F.count("*").alias("size")).where("size > 1")
-        met = items.join(centers, "bucket").where(F.col("key") != F.col("a"))
-        confirm(_agreeing(met.select("a", F.col("key").alias("b")).distinct(), classes, percent))
+    def still_open(items: DataFrame) -> DataFrame:
+        """Items of buckets that hold several components, with their own and the bucket's size."""
         labels = components(links).withColumnsRenamed({"node": "key", "label": "own"})
         marked = items.join(labels, "key", "left").withColumn("own", F.coalesce("own", "key"))
-        still_open = (
+        several = (
             marked.groupBy("bucket").agg(F.min("own").alias("x"), F.max("own").alias("y"), F.count("*").alias("size"))
             .where(F.col("x") != F.col("y")).select("bucket", "size")
         )
-        marked = staged(marked.join(still_open, "bucket"), "near-open")
+        return staged(marked.join(several, "bucket"), "near-open")
+
+    items = classes.select("key", F.explode("bands").alias("bucket"), F.col("key").alias("own"))
+    for depth in range(DEPTHS + 1):
+        for turn in range(CENTERS):
+            center = F.min(F.struct(F.xxhash64("key", F.lit(turn)), "key", "own"))
+            centers = items.groupBy("bucket").agg(center.alias("c"), F.count("*").alias("n")).where("n > 1")
+            met = items.join(centers, "bucket").where(F.col("own") != F.col("c.own"))
+            pairs = met.select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct()
+            before = links
+            confirm(_agreeing(pairs, classes, percent))
+            if turn and links is before:
+                break
+            items = still_open(items.select("key", "bucket"))
         last = depth == DEPTHS
-        confirm(_across(marked if last else marked.where(F.col("size") <= LARGE), classes, percent))
-        large = marked.where(F.col("size") > LARGE)
+        confirm(_across(items if last else items.where(F.col("size") <= LARGE), classes, percent))
+        large = items.where(F.col("size") > LARGE)
         if last or large.isEmpty():
             return links
-        items = staged(_finer(large, classes, depth), "near-finer")
+        items = staged(_finer(large, classes, depth), "near-finer").withColumn("own", F.col("key"))
     return links
 
 
@@ -280,18 +292,20 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     all are null.  A row is kept if its id is the component's, so rows that repeat an id
     share its fate.  Other columns are not looked at.
     """
-    rows = staged(_described(docs, shingle), "near-rows")
-    filled = rows.where("key IS NOT NULL")
-    classes = staged(
-        filled.groupBy("key").agg(
-            F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n_shingles"),
-            F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature"),
-        ), "near-classes",
-    )
-    labels = components(_found_links(docs, classes, shingle, percent)).withColumnRenamed("node", "key")
-    named = classes.select("key", "doc_id").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    first = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    owners = named.join(first, "label").select("key", "component_id")
-    linked = filled.join(owners, "key").select("doc_id", "n_shingles", "component_id")
-    alone = rows.where("key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    with temporary_tables(docs.sparkSession) as kept:
+        rows = staged(_described(docs, shingle), "near-rows")
+        filled = rows.where("key IS NOT NULL")
+        classes = staged(
+            filled.groupBy("key").agg(
+                F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n_shingles"),
+                F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature"),
+            ), "near-classes",
+        )
+        labels = components(_found_links(docs, classes, shingle, percent)).withColumnRenamed("node", "key")
+        named = classes.select("key", "doc_id").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+        first = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+        owners = named.join(first, "label").select("key", "component_id")
+        linked = filled.join(owners, "key").select("doc_id", "n_shingles", "component_id")
+        alone = rows.where("key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        grouped = linked.unionByName(alone)
+        return kept(grouped.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near-groups")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from readtrail.llm import anchors as A
-from readtrail.llm.common import map_rows, shuffle_partitions, staged, whole_text, with_positions
+from readtrail.llm.common import map_rows, shuffle_partitions, staged, temporary_tables, whole_text, with_positions
 from readtrail.llm.suffix_sort import SYMBOL, deep_shallow_sort
 
 BUCKET_BYTES = 128 << 20  # of text whose anchors meet in a task
@@ -334,7 +334,9 @@ def map_cut(
     new = {f.name for f in StructType.fromDDL(schema)}
     keep = tuple(c for c in keep if c not in new)
     rows = numbered(docs.withColumn("text", whole_text()).select(*dict.fromkeys([*keep, "doc_id", "text"])))
-    spans = repeated_spans(rows).groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("_spans"))
+    with temporary_tables(docs.sparkSession) as kept:
+        spans = repeated_spans(rows).groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("_spans"))
+        spans = kept(spans, "repeat-spans")
     joined = rows.join(spans.withColumnRenamed("row", "_span_row"), F.col("_row") == F.col("_span_row"), "left")
     types = dict(rows.dtypes)
 
@@ -346,8 +348,8 @@ def map_cut(
                 yield (*(o[i] for o in others), *emit(text, rest, cut))
 
     columns = [F.col(f"`{c}`") for c in keep]
-    kept = "".join(f"`{c}` {types[c]}, " for c in keep)
-    return map_rows(joined.select(*columns, F.col("text").alias("_text"), "_spans"), out, kept + schema)
+    first = "".join(f"`{c}` {types[c]}, " for c in keep)
+    return map_rows(joined.select(*columns, F.col("text").alias("_text"), "_spans"), out, first + schema)
 
 
 def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
