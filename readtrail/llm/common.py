@@ -125,8 +125,12 @@ _per_worker: dict[Hashable, Any] = {}
 
 
 def per_worker(key: Hashable, make: Callable[[], Any]) -> Any:
-    """One object per Python worker, kept over its tasks (vocabularies, memos)."""
+    """One object per Python worker, kept over its tasks (a vocabulary with its memos).
+
+    An object of another kind makes room, so a pipeline's operators do not add up.
+    """
     if key not in _per_worker:
+        _per_worker.clear()
         _per_worker[key] = make()
     return _per_worker[key]
 
