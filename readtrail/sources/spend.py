@@ -37,9 +37,9 @@ def google_spend(
 
 
 def facebook_spend(
-    ads: DataFrame, since: dt.date = config.SPEND_FIRST_DAY, newest_first: bool = True
+    ads: DataFrame, since: dt.date = config.SPEND_FIRST_DAY, newest_first: bool = False
 ) -> DataFrame:
-    """Spend per campaign and day, newest first unless the order is of no use."""
+    """Spend per campaign and day; ``newest_first`` sorts the whole table, for display."""
     rows = (
         ads.where(F.col("data_date_start") >= F.lit(since))
         .select(

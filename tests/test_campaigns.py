@@ -107,5 +107,5 @@ def test_facebook_spend(spark):
         [(7, D(2024, 4, 30), "A", 1.0, None, None), (7, D(2024, 5, 1), "A", 2.0, None, None), (7, D(2024, 6, 1), "A", 2.0, None, None),
          (7, D(2024, 6, 1), "A", 2.0, None, None)],
         "campaign_id long, data_date_start date, campaign_name string, spend double, start_time date, end_time date")
-    got = [(r.campaign_id, r.segment_date) for r in spend.facebook_spend(ads).collect()]
+    got = [(r.campaign_id, r.segment_date) for r in spend.facebook_spend(ads, newest_first=True).collect()]
     assert got == [("7", D(2024, 6, 1)), ("7", D(2024, 6, 1)), ("7", D(2024, 5, 1))]
