@@ -262,24 +262,28 @@ def _found_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int
         )
         return staged(marked.join(several, "bucket"), "near-open")
 
-    items = classes.select("key", F.explode("bands").alias("bucket"), F.col("key").alias("own"))
+    items = classes.select("key", "n_shingles", F.explode("bands").alias("bucket"), F.col("key").alias("own"))
     for depth in range(DEPTHS + 1):
         for turn in range(CENTERS):
-            center = F.min(F.struct(F.xxhash64("key", F.lit(turn)), "key", "own"))
+            center = F.min(F.struct(F.xxhash64("key", F.lit(turn)), "key", "own", "n_shingles"))
             centers = items.groupBy("bucket").agg(center.alias("c"), F.count("*").alias("n")).where("n > 1")
-            met = items.join(centers, "bucket").where(F.col("own") != F.col("c.own"))
+            sizes = F.col("n_shingles"), F.col("c.n_shingles")
+            met = items.join(centers, "bucket").where(
+                (F.col("own") != F.col("c.own")) & (100 * F.least(*sizes) >= percent * F.greatest(*sizes))
+            )
             pairs = met.select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct()
             before = links
             confirm(_agreeing(pairs, classes, percent))
             if turn and links is before:
                 break
-            items = still_open(items.select("key", "bucket"))
+            items = still_open(items.select("key", "n_shingles", "bucket"))
         last = depth == DEPTHS
         confirm(_across(items if last else items.where(F.col("size") <= LARGE), classes, percent))
         large = items.where(F.col("size") > LARGE)
         if last or large.isEmpty():
             return links
-        items = staged(_finer(large, classes, depth), "near-finer").withColumn("own", F.col("key"))
+        finer = _finer(large, classes, depth).join(classes.select("key", "n_shingles"), "key")
+        items = staged(finer, "near-finer").withColumn("own", F.col("key"))
     return links
 
 
