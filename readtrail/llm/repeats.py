@@ -284,8 +284,8 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """`row`, `low`, `high`: intervals to cut from `rows` (_row, text), overlaps not yet united."""
-    spark = rows.sparkSession
-    n = shuffle_partitions(spark)
+    rows = rows.select("_row", "text")
+    n = shuffle_partitions(rows.sparkSession)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(n, -(-total // BUCKET_BYTES))
     scanned = map_rows(rows.select("_row", "text"), _scan(buckets), f"bucket long, {MARKS}")

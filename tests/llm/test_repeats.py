@@ -126,13 +126,13 @@ def test_odd_rows(odd):
 
 
 def test_rows_that_share_an_id_follow_each_other(documents):
-    text = "".join(random.Random(5).choice("abcdefgh") for _ in range(300))
+    text = "".join(random.Random(5).choices("abcdefgh", k=300))
     out = repeats.removal_digests(documents((1, text), (1, text), (None, text), (2, "short"))).collect()
     assert sorted((r.n_bytes, r.n_removed) for r in out) == [(5, 0), (300, 0), (300, 300), (300, 300)]
 
 
 def test_texts_left_keep_their_columns(documents):
-    text = "é" * 10 + "".join(random.Random(6).choice("abcdefgh") for _ in range(300))
+    text = "é" * 10 + "".join(random.Random(6).choices("abcdefgh", k=300))
     docs = documents((1, text), (2, text), (3, "x" + text[5:] + "tail"), (4, None)).selectExpr("*", "1 AS _span")
     out = {r.doc_id: r for r in repeats.without_repeats(docs).collect()}
     assert set(out) == {1, 3, 4} and out[3].text == "xtail" and out[3].n_chars == 5 and out[1].text == text

