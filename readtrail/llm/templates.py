@@ -2,7 +2,8 @@
 
 Every element is hashed with all that it contains.  Spark counts, host by host, on how many
 different pages a subtree occurs; subtrees that many pages of a host share are its template
-and are deleted.  What then counts as the page's own text is its article (or main) element,
+and are deleted, also inside articles.  Pages whose content but for the subtree is mostly the
+same text count as one, so copies and near copies do not make a template.  What then counts as the page's own text is its article (or main) element,
 or else its body, without the elements that HTML or their names mark as something else.
 """
 
@@ -12,15 +13,17 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readtrail.llm.common import map_rows, staged
+from readtrail.llm.common import map_rows, mix64, staged
 
 MANY_PAGES = 5  # a template's subtree is on so many different pages of its host at least
 MANY_SHARE = 0.1  # and on this share of them; so a host has at most pages / share such subtrees
-LINK_SHARE = 0.5  # of the text inside links that makes an article's part a menu
+DRAWS = 4  # text runs drawn from a page's content to tell it from others
+LARGE_SHARE = 0.75  # of the content's text from which on a subtree is itself what tells pages apart
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -58,13 +61,15 @@ _name = re.compile(r"[a-z0-9]+")
 
 
 class Element:
-    __slots__ = ("tag", "dropped", "hashes", "digest", "chars", "linked", "within", "content")
+    __slots__ = ("tag", "dropped", "hashes", "digest", "chars", "within", "content", "beside", "first", "last")
 
     def __init__(self, tag: str, dropped: bool, within: bool) -> None:
         self.tag, self.dropped, self.within = tag, dropped, within
         self.hashes: list[bytes] = []
         self.digest = 0
-        self.chars = self.linked = 0
+        self.chars = 0
+        self.first = self.last = 0  # text runs of the page before it, and up to its end
+        self.beside = False  # whether it has text of its own, outside its elements
         self.content = False  # the article or main element itself
 
 
@@ -96,6 +101,7 @@ class Page(HTMLParser):
         self.stack: list[Element] = []
         self.open: dict[str, int] = {}
         self.has_content = False
+        self.runs: list[tuple[int, int, bool]] = []  # hash, characters, whether in the article
         self.feed(html)
         self.close()
         while self.stack:
@@ -110,7 +116,7 @@ class Page(HTMLParser):
             above = self.stack[-1]
             above.hashes.append(element.digest.to_bytes(8, "little"))
             above.chars += element.chars
-            above.linked += element.chars if element.tag == "a" else element.linked
+        element.last = len(self.runs)
 
     def _pop_to(self, tag: str) -> None:
         while True:
@@ -143,6 +149,7 @@ class Page(HTMLParser):
         within = above is not None and (above.within or above.content)
         dropped = above is not None and above.dropped or _is_other(tag, attrs, within)
         element = Element(tag, dropped, within)
+        element.first = len(self.runs)
         if not dropped and (tag in ("article", "main") or ("role", "main") in attrs):
             element.content = self.has_content = True
         self.stack.append(element)
@@ -161,21 +168,49 @@ class Page(HTMLParser):
         words = data.split()
         if words and self.stack:
             top = self.stack[-1]
-            top.hashes.append(" ".join(words).encode())
-            top.chars += sum(map(len, words))
+            run = " ".join(words).encode()
+            top.hashes.append(run)
+            chars = sum(map(len, words))
+            top.chars += chars
+            top.beside = True
+            if not top.dropped and not self.open.get("a"):
+                self.runs.append((xxhash.xxh3_64_intdigest(run), chars, top.within or top.content))
         self.tokens.append(data)
 
     def may_be_template(self, element: Element) -> bool:
-        """Text blocks of an article are never template; its other parts only if they are mostly links."""
+        """Text blocks of an article are never template by themselves, its other parts may be."""
         if not element.chars or element.content or element.tag in ("html", "body"):
             return False
-        if not element.within:
-            return True
-        return element.tag not in PLAIN and element.linked >= LINK_SHARE * element.chars
-
-    def subtrees(self) -> set[int]:
-        """Hashes, as signed 64-bit numbers, of the subtrees that may be template."""
-        return {_signed(e.digest) for e in self.elements if not e.dropped and self.may_be_template(e)}
+        return not element.within or element.tag not in PLAIN
+
+    def subtrees(self) -> dict[int, list[int]]:
+        """Hashes, as signed 64-bit numbers, of the subtrees that may be template.
+
+        With each go DRAWS text runs (as hashes) of the page's content outside the subtree,
+        drawn by hash with the odds of their lengths, so contents agree in as large a share
+        of draws as they share of their text.  Nothing outside gives 0.  A subtree with
+        most of the content's text is drawn from as well: what a copy adds does not vote.
+        """
+        some = [e for e in self.elements if not e.dropped and self.may_be_template(e)]
+        if not some:
+            return {}
+        hashes = np.array([h for h, _, _ in self.runs], np.uint64)
+        chars = np.array([n if inside or not self.has_content else 0 for _, n, inside in self.runs], np.float64)
+        seeds = mix64(np.arange(1, DRAWS + 1, dtype=np.uint64))
+        chance = (mix64(hashes ^ seeds[:, None]) >> np.uint64(11)).astype(np.float64) + 0.5
+        with np.errstate(divide="ignore"):
+            late = np.where(chars > 0, (53 * np.log(2) - np.log(chance)) / chars, np.inf)
+        # the earliest run before each place and from each place on
+        ends = np.full((DRAWS, 1), np.inf)
+        before = np.minimum.accumulate(np.hstack((ends, late)), axis=1)
+        after = np.minimum.accumulate(np.hstack((late, ends))[:, ::-1], axis=1)[:, ::-1]
+        total = np.concatenate(([0.0], np.cumsum(chars)))
+        keys: dict[int, list[int]] = {}
+        for e in some:
+            own = total[e.last] - total[e.first]
+            drawn = before[:, -1] if own > LARGE_SHARE * total[-1] else np.minimum(before[:, e.first], after[:, e.last])
+            keys[_signed(e.digest)] = np.where(np.isinf(drawn), 0.0, drawn).view(np.int64).tolist()
+        return keys
 
     def text(self, template: set[int]) -> str:
         """Blocks of the article (or body) left, each on a line, white space as one space."""
@@ -223,22 +258,27 @@ def host(url: str = "url") -> Column:
 def template_subtrees(pages: DataFrame) -> DataFrame:
     """`_host` and `template`, the subtree hashes that many different pages of the host share.
 
-    Pages of one host that hold the same html count once.  The list is bounded: a page has
+    A subtree is on as many different pages as its surroundings there give different draws,
+    on average over the DRAWS; see Page.subtrees.  The list is bounded: a page has
     so many elements, and each hash listed lies on MANY_SHARE of the pages.
     """
 
     def rows(batches) -> Iterator[tuple]:
         for batch in batches:
             for name, html in zip(*(c.to_pylist() for c in batch.columns)):
-                yield name, xxhash.xxh3_128_digest(html), sorted(Page(html).subtrees())
+                keys = Page(html).subtrees()
+                yield name, xxhash.xxh3_128_digest(html), list(keys), list(keys.values())
 
     found = map_rows(
         pages.select("_host", F.coalesce("html", F.lit("")).alias("html")), rows,
-        "_host string, page binary, subtrees array<long>",
+        "_host string, page binary, subtrees array<long>, keys array<array<long>>",
     )
-    single = staged(found.groupBy("_host", "page").agg(F.any_value("subtrees").alias("subtrees")), "page-subtrees")
+    one = F.any_value(F.struct("subtrees", "keys")).alias("one")
+    single = staged(found.groupBy("_host", "page").agg(one).select("_host", "page", "one.*"), "page-subtrees")
     sizes = single.groupBy("_host").agg(F.count("*").alias("pages"))
-    counts = single.select("_host", F.explode("subtrees").alias("subtree")).groupBy("_host", "subtree").agg(F.count("*").alias("on"))
+    each = single.select("_host", F.explode(F.arrays_zip("subtrees", "keys")).alias("s"))
+    draws = each.select("_host", F.col("s.subtrees").alias("subtree"), F.posexplode("s.keys").alias("draw", "key"))
+    counts = draws.distinct().groupBy("_host", "subtree").agg((F.count("*") / DRAWS).alias("on"))
     return (
         counts.where(F.col("on") >= MANY_PAGES).join(sizes, "_host")
         .where(F.col("on") >= MANY_SHARE * F.col("pages"))

@@ -42,6 +42,23 @@ def test_text_blocks_of_articles_are_no_template(spark):
     assert all(got[i] == f"License line\nbody {i}" for i in range(9))
 
 
+def test_unnamed_boxes_inside_articles_go(spark):
+    box = "<div class='x7'><p>Subscribe to our letter</p></div>"
+    advert = "<section><p>Shoes at half price</p><p>Only this week</p></section>"
+    story = "<p>A story {0} of its own</p>{1}<p>that ends {0} here</p>"
+    rows = [(i, "http://h.example.com/p", page(f"<article>{story.format(i, box if i % 2 else advert)}</article>")) for i in range(20)]
+    got = extracted(spark, rows)
+    assert all(got[i] == f"A story {i} of its own\nthat ends {i} here" for i in range(20))
+
+
+def test_copied_articles_do_not_vote(spark):
+    body = "<div class='x8'>" + "".join(f"<p>Paragraph {k} of the one story that is copied</p>" for k in range(20)) + "</div>"
+    box = "<div class='x7'><p>Box of the copied story</p></div>"
+    rows = [(i, "http://h.example.com/p", page(f"<p>Shown {i}</p><article><h1>Part {i}</h1>{body}{box}</article>")) for i in range(9)]
+    got = extracted(spark, rows)
+    assert all("Paragraph 7" in got[i] and "Box of the copied" in got[i] for i in range(9))
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 30_000 + "deep"
     rows = [
