@@ -33,7 +33,7 @@ BLOCKS = frozenset(
 )
 HEAD = frozenset("base link meta noscript script style template title".split())
 DROPPED = frozenset(
-    "head title script style noscript template nav footer aside form button select textarea option iframe "
+    "head title script style noscript template nav footer aside button select textarea option iframe "
     "object svg math canvas audio video dialog menu search datalist".split()
 )
 PLAIN = frozenset(
@@ -47,8 +47,10 @@ NAMES = frozenset(
     "commentlist respond disqus share sharing social related recommended breadcrumb breadcrumbs nav navbar "
     "navigation menu pagination pager login signup search widget widgets toolbar masthead".split()
 )
+#: first words of names that tell about the page's parts, as has-sidebar does
+ABOUT = frozenset("has have no not with without show hide hidden is".split())
 EDGES = frozenset("header footer site-header site-footer page-header page-footer global-header global-footer".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
+ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar".split())
 #: elements that end an open one of their kind, unless one of the second set lies between
 SIBLINGS = {
     **dict.fromkeys(("li",), (frozenset(["li"]), frozenset(["ul", "ol", "menu"]))),
@@ -61,10 +63,13 @@ _name = re.compile(r"[a-z0-9]+")
 
 
 class Element:
-    __slots__ = ("tag", "dropped", "hashes", "digest", "chars", "within", "content", "beside", "first", "last")
+    __slots__ = ("tag", "dropped", "hashes", "digest", "chars", "within", "content", "beside", "first", "last", "above", "marked", "prose")
 
-    def __init__(self, tag: str, dropped: bool, within: bool) -> None:
+    def __init__(self, tag: str, dropped: bool, within: bool, above: Element | None = None, marked: int = 0) -> None:
         self.tag, self.dropped, self.within = tag, dropped, within
+        self.above = above
+        self.marked = marked  # FORM, IN_NAME or BY_NAME; goes unless it holds the article
+        self.prose = 0  # characters outside links and what is dropped by tag
         self.hashes: list[bytes] = []
         self.digest = 0
         self.chars = 0
@@ -73,22 +78,37 @@ class Element:
         self.content = False  # the article or main element itself
 
 
+FORM, IN_NAME, BY_NAME = 1, 2, 3  # marks: a form, a listed word in a name, a listed word as the name
+
+
 def _is_other(tag: str, attributes: list[tuple[str, str | None]], within: bool) -> bool:
-    """Whether an element is marked as something other than the article."""
+    """Whether an element is something other than the article whatever it holds."""
     if tag in DROPPED or tag == "header" and not within:
         return True
     for key, value in attributes:
         if key == "hidden" or key == "aria-hidden" and value == "true":
             return True
+        if key == "role" and value and value.lower() in ROLES:
+            return True
+    return False
+
+
+def _mark(tag: str, attributes: list[tuple[str, str | None]], content: bool) -> int:
+    """What tag and names say of an element; of an article only whole names say anything."""
+    mark = FORM if tag == "form" else 0
+    for key, value in attributes:
         if not value:
             continue
-        if key == "role" and value.lower() in ROLES:
-            return True
+        if key == "role" and value.lower() == "form":
+            mark = max(mark, FORM)
         if key in ("class", "id") and tag not in ("html", "body"):
             for name in value.lower().split():
-                if name in EDGES or not NAMES.isdisjoint(_name.findall(name)):
-                    return True
-    return False
+                words = _name.findall(name)
+                if name in NAMES or name in EDGES:
+                    mark = BY_NAME
+                elif not content and words and words[0] not in ABOUT and not NAMES.isdisjoint(words):
+                    mark = max(mark, IN_NAME)
+    return mark
 
 
 class Page(HTMLParser):
@@ -101,11 +121,45 @@ class Page(HTMLParser):
         self.stack: list[Element] = []
         self.open: dict[str, int] = {}
         self.has_content = False
-        self.runs: list[tuple[int, int, bool]] = []  # hash, characters, whether in the article
+        #: hash, characters and element of each run of text outside links
+        self.runs: list[tuple[int, int, Element]] = []
         self.feed(html)
         self.close()
         while self.stack:
             self._pop()
+        self._unmark()
+
+    def _unmark(self) -> None:
+        """Take the marks off what is or holds the article, then drop what is still marked.
+
+        The article is the longest article or main element that no whole name drops, or
+        else the longest of all.  A form that holds any is a page's frame.  Pages without
+        one have their text in elements with more than half of the text outside links.
+        """
+
+        def path(element: Element | None) -> Iterator[Element]:
+            while element:
+                yield element
+                element = element.above
+
+        contents = [e for e in self.elements if e.content and e.chars]
+        if contents:
+            free = [e for e in contents if all(x.marked != BY_NAME for x in path(e))] if len(contents) > 1 else contents
+            for element in path(max(free or contents, key=lambda e: e.prose)):
+                element.marked = 0
+            for content in contents:
+                for element in path(content):
+                    if element.marked == FORM:
+                        element.marked = 0
+        else:
+            total = sum(e.prose for e in self.elements if e.above is None)
+            for element in self.elements:
+                if element.marked and 2 * element.prose > total:
+                    element.marked = 0
+        for element in self.elements:  # from outside inwards
+            above = element.above
+            element.dropped = element.dropped or bool(element.marked) or above is not None and above.dropped
+        self.has_content = any(not e.dropped for e in contents)
 
     def _pop(self) -> None:
         element = self.stack.pop()
@@ -116,6 +170,8 @@ class Page(HTMLParser):
             above = self.stack[-1]
             above.hashes.append(element.digest.to_bytes(8, "little"))
             above.chars += element.chars
+            if element.tag != "a" and not element.dropped:
+                above.prose += element.prose
         element.last = len(self.runs)
 
     def _pop_to(self, tag: str) -> None:
@@ -148,10 +204,10 @@ class Page(HTMLParser):
         above = self.stack[-1] if self.stack else None
         within = above is not None and (above.within or above.content)
         dropped = above is not None and above.dropped or _is_other(tag, attrs, within)
-        element = Element(tag, dropped, within)
+        content = tag in ("article", "main") or ("role", "main") in attrs
+        element = Element(tag, dropped, within, above, 0 if dropped else _mark(tag, attrs, content))
         element.first = len(self.runs)
-        if not dropped and (tag in ("article", "main") or ("role", "main") in attrs):
-            element.content = self.has_content = True
+        element.content = content and not dropped
         self.stack.append(element)
         self.open[tag] = self.open.get(tag, 0) + 1
         self.elements.append(element)
@@ -172,9 +228,10 @@ class Page(HTMLParser):
             top.hashes.append(run)
             chars = sum(map(len, words))
             top.chars += chars
+            top.prose += chars
             top.beside = True
             if not top.dropped and not self.open.get("a"):
-                self.runs.append((xxhash.xxh3_64_intdigest(run), chars, top.within or top.content))
+                self.runs.append((xxhash.xxh3_64_intdigest(run), chars, top))
         self.tokens.append(data)
 
     def may_be_template(self, element: Element) -> bool:
@@ -195,7 +252,9 @@ class Page(HTMLParser):
         if not some:
             return {}
         hashes = np.array([h for h, _, _ in self.runs], np.uint64)
-        chars = np.array([n if inside or not self.has_content else 0 for _, n, inside in self.runs], np.float64)
+        chars = np.array(
+            [0 if e.dropped or self.has_content and not (e.within or e.content) else n for _, n, e in self.runs], np.float64
+        )
         seeds = mix64(np.arange(1, DRAWS + 1, dtype=np.uint64))
         chance = (mix64(hashes ^ seeds[:, None]) >> np.uint64(11)).astype(np.float64) + 0.5
         with np.errstate(divide="ignore"):

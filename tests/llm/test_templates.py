@@ -59,6 +59,26 @@ def test_copied_articles_do_not_vote(spark):
     assert all("Paragraph 7" in got[i] and "Box of the copied" in got[i] for i in range(9))
 
 
+def test_names_and_forms_do_not_drop_the_article(spark):
+    story = "<p>A main text that has a number of words in it</p><p>and ends here</p>"
+    other = '<div class="ad-slot"><p>Buy</p></div><div id="comments"><article><p>First!</p></article></div>'
+    bodies = [
+        f"<div id='content' class='has-sidebar'>{story}</div>",
+        f"<main class='with-comments'>{story}</main>{other}",
+        f"<article class='post no-sidebar'>{story}</article>{other}",
+        f"<form id='aspnetForm'><div class='x'><a href='/'>Home</a></div><article>{story}</article>{other}</form>",
+        f"<form><div>{story}</div></form>",
+        f"<div class='page-sidebar-right'><main>{story}</main></div><div class='related-posts'><article><p>Teaser</p></article></div>",
+        f"<article>{story}</article><div class='related-posts'><article><p>Teaser</p></article></div>",
+        f"<div class='widget'><div>{story}</div></div><div class='ad'>Buy</div>",
+        f"<article>{story}<form><input>Mail</form><div class='comments-area'><p>First!</p></div></article>",
+        f"<div class='notice'><article>{story}</article></div>",
+    ]
+    got = extracted(spark, [(i, f"http://h{i}.example.com/p", page(b)) for i, b in enumerate(bodies)])
+    want = "A main text that has a number of words in it\nand ends here"
+    assert got == {i: want for i in range(len(bodies))}
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 30_000 + "deep"
     rows = [
