@@ -20,9 +20,8 @@ from pyspark.sql import functions as F
 
 from readtrail.llm.common import map_rows, mix64, staged
 
-MANY_PAGES = 5  # a template's subtree is on so many different pages of its host at least
-MANY_SHARE = 0.1  # and on this share of them; so a host has at most pages / share such subtrees
-DRAWS = 4  # text runs drawn from a page's content to tell it from others
+MANY_PAGES = 5  # a template's subtree is on so many different pages of its host at least, however many it has
+DRAWS = 4  # lines drawn from a page's content to tell it from others
 LARGE_SHARE = 0.75  # of the content's text from which on a subtree is itself what tells pages apart
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,6 +39,7 @@ PLAIN = frozenset(
     "p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead tfoot caption blockquote pre figcaption b i em strong a span u s "
     "small sub sup code q cite mark abbr time kbd samp var del ins font tt big br article main body html".split()
 )
+FRAMES = frozenset("article main body html td th li".split())  # of PLAIN, what may hold boxes
 #: names in class or id, and roles, of what is not the article
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar cookie "
@@ -73,7 +73,7 @@ class Element:
         self.hashes: list[bytes] = []
         self.digest = 0
         self.chars = 0
-        self.first = self.last = 0  # text runs of the page before it, and up to its end
+        self.first = self.last = 0  # lines of the page before it, and up to its end
         self.beside = False  # whether it has text of its own, outside its elements
         self.content = False  # the article or main element itself
 
@@ -121,8 +121,9 @@ class Page(HTMLParser):
         self.stack: list[Element] = []
         self.open: dict[str, int] = {}
         self.has_content = False
-        #: hash, characters and element of each run of text outside links
+        #: hash, characters and element of each line of text outside links
         self.runs: list[tuple[int, int, Element]] = []
+        self.line: list[str] = []
         self.feed(html)
         self.close()
         while self.stack:
@@ -161,8 +162,15 @@ class Page(HTMLParser):
             element.dropped = element.dropped or bool(element.marked) or above is not None and above.dropped
         self.has_content = any(not e.dropped for e in contents)
 
+    def _end_line(self, tag: str) -> None:
+        if self.line and (tag in BLOCKS or tag not in PLAIN):
+            run = " ".join(self.line).encode()
+            self.runs.append((xxhash.xxh3_64_intdigest(run), sum(map(len, self.line)), self.line_of))
+            self.line = []
+
     def _pop(self) -> None:
         element = self.stack.pop()
+        self._end_line(element.tag)
         self.open[element.tag] -= 1
         self.tokens.append(None)
         element.digest = xxhash.xxh3_64_intdigest(b"\x00".join([element.tag.encode(), *element.hashes]))
@@ -206,6 +214,7 @@ class Page(HTMLParser):
         dropped = above is not None and above.dropped or _is_other(tag, attrs, within)
         content = tag in ("article", "main") or ("role", "main") in attrs
         element = Element(tag, dropped, within, above, 0 if dropped else _mark(tag, attrs, content))
+        self._end_line(tag)
         element.first = len(self.runs)
         element.content = content and not dropped
         self.stack.append(element)
@@ -224,26 +233,38 @@ class Page(HTMLParser):
         words = data.split()
         if words and self.stack:
             top = self.stack[-1]
-            run = " ".join(words).encode()
-            top.hashes.append(run)
+            top.hashes.append(" ".join(words).encode())
             chars = sum(map(len, words))
             top.chars += chars
             top.prose += chars
             top.beside = True
             if not top.dropped and not self.open.get("a"):
-                self.runs.append((xxhash.xxh3_64_intdigest(run), chars, top))
+                if not self.line:
+                    self.line_of = top
+                self.line += words
         self.tokens.append(data)
 
     def may_be_template(self, element: Element) -> bool:
-        """Text blocks of an article are never template by themselves, its other parts may be."""
+        """Text blocks of an article are never template by themselves, its other parts may be.
+
+        Nor are, anywhere, parts of a text block (a bold word) or of a line of text.
+        """
         if not element.chars or element.content or element.tag in ("html", "body"):
             return False
+        if element.tag not in BLOCKS:
+            above = element.above
+            while above and above.tag not in BLOCKS:
+                if above.beside:
+                    return False
+                above = above.above
+            if above and (above.beside or above.tag in PLAIN and above.tag not in FRAMES):
+                return False
         return not element.within or element.tag not in PLAIN
 
     def subtrees(self) -> dict[int, list[int]]:
         """Hashes, as signed 64-bit numbers, of the subtrees that may be template.
 
-        With each go DRAWS text runs (as hashes) of the page's content outside the subtree,
+        With each go DRAWS lines (as numbers) of the page's content outside the subtree,
         drawn by hash with the odds of their lengths, so contents agree in as large a share
         of draws as they share of their text.  Nothing outside gives 0.  A subtree with
         most of the content's text is drawn from as well: what a copy adds does not vote.
@@ -259,7 +280,7 @@ class Page(HTMLParser):
         chance = (mix64(hashes ^ seeds[:, None]) >> np.uint64(11)).astype(np.float64) + 0.5
         with np.errstate(divide="ignore"):
             late = np.where(chars > 0, (53 * np.log(2) - np.log(chance)) / chars, np.inf)
-        # the earliest run before each place and from each place on
+        # the earliest line before each place and from each place on
         ends = np.full((DRAWS, 1), np.inf)
         before = np.minimum.accumulate(np.hstack((ends, late)), axis=1)
         after = np.minimum.accumulate(np.hstack((late, ends))[:, ::-1], axis=1)[:, ::-1]
@@ -314,34 +335,34 @@ def host(url: str = "url") -> Column:
     return F.regexp_replace(name, r"^www\.", "")
 
 
-def template_subtrees(pages: DataFrame) -> DataFrame:
-    """`_host` and `template`, the subtree hashes that many different pages of the host share.
+def page_templates(pages: DataFrame) -> DataFrame:
+    """`_host`, `_page` and `template`, the page's subtrees that many different pages of the host share.
 
     A subtree is on as many different pages as its surroundings there give different draws,
-    on average over the DRAWS; see Page.subtrees.  The list is bounded: a page has
-    so many elements, and each hash listed lies on MANY_SHARE of the pages.
+    on average over the DRAWS; see Page.subtrees.  How large the host is does not matter.
+    The template stays in rows of host and subtree; a list is one page's own subtrees.
     """
 
     def rows(batches) -> Iterator[tuple]:
         for batch in batches:
-            for name, html in zip(*(c.to_pylist() for c in batch.columns)):
+            for name, page, html in zip(*(c.to_pylist() for c in batch.columns)):
                 keys = Page(html).subtrees()
-                yield name, xxhash.xxh3_128_digest(html), list(keys), list(keys.values())
+                if keys:
+                    yield name, page, list(keys), list(keys.values())
 
     found = map_rows(
-        pages.select("_host", F.coalesce("html", F.lit("")).alias("html")), rows,
-        "_host string, page binary, subtrees array<long>, keys array<array<long>>",
+        pages.select("_host", "_page", F.coalesce("html", F.lit("")).alias("html")), rows,
+        "_host string, _page binary, subtrees array<long>, keys array<array<long>>",
     )
     one = F.any_value(F.struct("subtrees", "keys")).alias("one")
-    single = staged(found.groupBy("_host", "page").agg(one).select("_host", "page", "one.*"), "page-subtrees")
-    sizes = single.groupBy("_host").agg(F.count("*").alias("pages"))
+    single = staged(found.groupBy("_host", "_page").agg(one).select("_host", "_page", "one.*"), "page-subtrees")
     each = single.select("_host", F.explode(F.arrays_zip("subtrees", "keys")).alias("s"))
     draws = each.select("_host", F.col("s.subtrees").alias("subtree"), F.posexplode("s.keys").alias("draw", "key"))
-    counts = draws.distinct().groupBy("_host", "subtree").agg((F.count("*") / DRAWS).alias("on"))
+    counts = draws.distinct().groupBy("_host", "subtree").agg(F.count("*").alias("drawn"))
+    template = counts.where(F.col("drawn") >= MANY_PAGES * DRAWS).select("_host", "subtree")
     return (
-        counts.where(F.col("on") >= MANY_PAGES).join(sizes, "_host")
-        .where(F.col("on") >= MANY_SHARE * F.col("pages"))
-        .groupBy("_host").agg(F.collect_list("subtree").alias("template"))
+        single.select("_host", "_page", F.explode("subtrees").alias("subtree")).join(template, ["_host", "subtree"])
+        .groupBy("_host", "_page").agg(F.collect_list("subtree").alias("template"))
     )
 
 
@@ -353,8 +374,9 @@ def extract(pages: DataFrame) -> DataFrame:
     so repeated rows and ids make no difference.
     """
     types = dict(pages.dtypes)
-    named = pages.select("page_id", "url", "html").withColumn("_host", host())
-    joined = named.join(staged(template_subtrees(named), "page-templates"), "_host", "left")
+    digest = F.unhex(F.md5(F.coalesce("html", F.lit(""))))
+    named = pages.select("page_id", "url", "html").withColumns({"_host": host(), "_page": digest})
+    joined = named.join(staged(page_templates(named), "page-templates"), ["_host", "_page"], "left")
 
     def rows(batches) -> Iterator[tuple]:
         for batch in batches:

@@ -79,6 +79,23 @@ def test_names_and_forms_do_not_drop_the_article(spark):
     assert got == {i: want for i in range(len(bodies))}
 
 
+def test_template_on_a_small_share_of_a_host_goes(spark):
+    advert = "<div><p>Advert {0}, one of many</p></div>"
+    rows = [(i, "http://h.example.com/p", page(f"<p>It says <b>not</b> {i} on this page</p>{advert.format(i % 12)}")) for i in range(84)]
+    got = extracted(spark, rows)
+    assert all(got[i] == f"It says not {i} on this page" for i in range(84))
+
+
+def test_near_copies_of_a_story_are_no_template(spark):
+    story = [f"Sentence {k} of a story that is told again and again" for k in range(12)]
+    rows = [(i, "http://h.example.com/p", page(f"<p>Only text {i}</p><div>{i} more</div>")) for i in range(45)]
+    for i in range(45, 50):
+        told = [*story[:i - 45], f"Changed {i}", *story[i - 44:]]
+        rows.append((i, "http://h.example.com/p", page("".join(f"<p>{line}</p>" for line in told))))
+    got = extracted(spark, rows)
+    assert all(len(got[i].split("\n")) == 12 for i in range(45, 50))
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 30_000 + "deep"
     rows = [
