@@ -10,8 +10,8 @@ Within a bucket one class at a time is paired with the others (no pairs of all w
 that are not of its component yet; signatures far below the threshold are dropped, the
 rest is confirmed on full sets.
 Buckets that still hold several components afterwards are finished: signatures are
-compared across components, within a bounded bucket; larger ones are split by further
-bands first, again and again.
+compared across components, all with all.  Larger buckets are dealt into blocks, and each
+pair of blocks is compared by itself, so nothing is left to chance beyond the bands.
 """
 
 from __future__ import annotations
@@ -32,9 +32,8 @@ BANDS = 32
 ROWS = 4  # places in a band
 SHINGLE = 4
 PERCENT = 80
-FINER = 16  # further bands of a large bucket, each of ROWS places
-LARGE = 4096  # classes in a bucket beyond which it is split before its signatures are compared
-DEPTHS = 6  # times a bucket is split before it is compared whatever its size
+LARGE = 4096  # classes in a bucket beyond which it is compared in blocks of half as many
+DEPTHS = 6  # turns in which pairs of different blocks are compared; between them components merge
 GROUP_ITEMS = 200_000  # items of buckets that are compared in one task
 LEAST_AGREEMENT = 0.68  # of signature places; 4.8 standard deviations below likeness 0.8
 CENTERS = 3  # classes of a bucket that are paired with all others, one after the other
@@ -152,19 +151,29 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _across(marked: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _across(marked: DataFrame, classes: DataFrame, percent: int, turn: int) -> DataFrame:
     """Pairs (a, b, a_doc, b_doc) of one bucket, but of two components, that may be linked.
 
-    Buckets are bounded, so a task compares the signatures of whole buckets in memory and
-    gives out the few pairs that agree well enough.
+    A task compares the signatures of whole buckets, or of two blocks of a large one, in
+    memory and gives out the few pairs that agree well enough.  Turn 0 takes blocks by
+    themselves, each other turn its share of the pairs of blocks.
     """
     described = classes.select("key", "n_shingles", "signature", "doc_id")
-    groups = max(shuffle_partitions(marked.sparkSession), -(-marked.count() // GROUP_ITEMS))
-    items = marked.select("key", "bucket", "own").join(described, "key").withColumn("part", F.pmod("bucket", F.lit(groups)))
+    blocks = F.when(F.col("size") > LARGE, F.ceil(F.col("size") * 2 / LARGE)).otherwise(1).cast("int")
+    pair = F.least("block", "other"), F.greatest("block", "other")
+    paired = (
+        marked.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .where(F.when(F.col("block") == F.col("other"), 0).otherwise(1 + F.pmod(F.xxhash64(*pair), F.lit(DEPTHS))) == turn)
+        .select("key", "own", "block", F.xxhash64("bucket", *pair).alias("bucket"))
+    )
+    groups = max(shuffle_partitions(marked.sparkSession), -(-paired.count() // GROUP_ITEMS))
+    items = paired.join(described, "key").withColumn("part", F.pmod("bucket", F.lit(groups)))
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by("bucket")
         bucket, size = table["bucket"].to_numpy(), table["n_shingles"].to_numpy()
+        block = table["block"].to_numpy()
         keys, docs = table["key"].to_pylist(), table["doc_id"].to_pylist()
         own = np.unique(np.array(table["own"].to_pylist(), dtype=object), return_inverse=True)[1]
         signature = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(len(keys), -1)
@@ -176,6 +185,8 @@ def _across(marked: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 fit = (own[rest] != own[i]) & (
                     100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i])
                 )
+                if turn:  # two blocks
+                    fit &= block[rest] != block[i]
                 at = np.flatnonzero(fit) + i + 1
                 if len(at):
                     agree = (signature[at] == signature[i]).sum(axis=1) >= LEAST_AGREEMENT * signature.shape[1]
@@ -223,24 +234,6 @@ def _links(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Dat
     return map_rows(both, rows, "a binary, b binary")
 
 
-def _finer(items: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
-    """Items of large buckets under FINER further keys, each of ROWS other places."""
-    some = items.join(classes.select("key", "signature"), "key").select("key", "bucket", "signature")
-    chosen = np.random.default_rng(depth).permutation(PLACES)[:FINER * ROWS].reshape(FINER, ROWS)
-
-    def rows(batches) -> Iterator[tuple]:
-        for batch in batches:
-            for key, bucket, signature in zip(*(c.to_pylist() for c in batch.columns)):
-                places = np.frombuffer(signature, np.uint8)[chosen].astype(np.uint64)
-                mixed = np.full(FINER, bucket).astype(np.int64).view(np.uint64) + np.arange(FINER, dtype=np.uint64)
-                for k in range(ROWS):
-                    mixed = mix64(mixed * np.uint64(31) + places[:, k])
-                for m in mixed.view(np.int64).tolist():
-                    yield key, m
-
-    return map_rows(some, rows, "key binary, bucket long")
-
-
 def _found_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links (a, b) between classes, enough to connect every group."""
     links = tried = classes.select(F.col("key").alias("a"), F.col("key").alias("b")).where("false")
@@ -263,27 +256,27 @@ def _found_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int
         return staged(marked.join(several, "bucket"), "near-open")
 
     items = classes.select("key", "n_shingles", F.explode("bands").alias("bucket"), F.col("key").alias("own"))
-    for depth in range(DEPTHS + 1):
-        for turn in range(CENTERS):
-            center = F.min(F.struct(F.xxhash64("key", F.lit(turn)), "key", "own", "n_shingles"))
-            centers = items.groupBy("bucket").agg(center.alias("c"), F.count("*").alias("n")).where("n > 1")
-            sizes = F.col("n_shingles"), F.col("c.n_shingles")
-            met = items.join(centers, "bucket").where(
-                (F.col("own") != F.col("c.own")) & (100 * F.least(*sizes) >= percent * F.greatest(*sizes))
-            )
-            pairs = met.select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct()
-            before = links
-            confirm(_agreeing(pairs, classes, percent))
-            if turn and links is before:
-                break
+    for turn in range(CENTERS):
+        center = F.min(F.struct(F.xxhash64("key", F.lit(turn)), "key", "own", "n_shingles"))
+        centers = items.groupBy("bucket").agg(center.alias("c"), F.count("*").alias("n")).where("n > 1")
+        sizes = F.col("n_shingles"), F.col("c.n_shingles")
+        met = items.join(centers, "bucket").where(
+            (F.col("own") != F.col("c.own")) & (100 * F.least(*sizes) >= percent * F.greatest(*sizes))
+        )
+        pairs = met.select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct()
+        before = links
+        confirm(_agreeing(pairs, classes, percent))
+        if turn and links is before:
+            break
+        items = still_open(items.select("key", "n_shingles", "bucket"))
+    for turn in range(DEPTHS + 1):
+        before = links
+        confirm(_across(items, classes, percent, turn))
+        items = items.where(F.col("size") > LARGE)
+        if items.isEmpty():
+            break
+        if links is not before:
             items = still_open(items.select("key", "n_shingles", "bucket"))
-        last = depth == DEPTHS
-        confirm(_across(items if last else items.where(F.col("size") <= LARGE), classes, percent))
-        large = items.where(F.col("size") > LARGE)
-        if last or large.isEmpty():
-            return links
-        finer = _finer(large, classes, depth).join(classes.select("key", "n_shingles"), "key")
-        items = staged(finer, "near-finer").withColumn("own", F.col("key"))
     return links
 
 

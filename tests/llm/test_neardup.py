@@ -79,6 +79,30 @@ def test_large_buckets_are_split_and_lose_nothing(documents, monkeypatch):
     assert got == brute(rows)
 
 
+def test_blocks_of_a_large_bucket_meet_in_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LARGE", 8)
+    # 65 classes of one bucket: every two agree on about 180 of 256 places, but in no run of places
+    # that further bands could rely on
+    r = np.random.default_rng(1)
+    base = r.integers(0, 128, neardup.PLACES, dtype=np.uint8)
+    rows = []
+    for i in range(65):
+        signature = base.copy()
+        at = r.permutation(neardup.PLACES)[:38]
+        signature[at] = 128 + r.integers(0, 128, len(at), dtype=np.uint8)
+        rows.append((bytes([i]), 100, i, bytearray(signature.tobytes())))
+    classes = spark.createDataFrame(rows, "key binary, n_shingles long, doc_id long, signature binary")
+    marked = classes.selectExpr("key", "n_shingles", "1L AS bucket", "key AS own", "65L AS size")
+    met = [
+        (p.a_doc, p.b_doc) for turn in range(neardup.DEPTHS + 1)
+        for p in neardup._across(marked, classes, 80, turn).collect()
+    ]
+    s = np.array([list(x[3]) for x in rows])
+    least = neardup.LEAST_AGREEMENT * neardup.PLACES
+    want = {(i, j) for i in range(65) for j in range(i + 1, 65) if (s[i] == s[j]).sum() >= least}
+    assert len(met) == len(want) and set(met) == want and len(want) > 1000
+
+
 def test_signature_is_the_sequential_definition():
     elements = neardup.mix64(np.arange(1, 40, dtype=np.uint64))
 
