@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import defaultdict
@@ -103,6 +104,11 @@ def test_blocks_of_a_large_bucket_meet_in_every_pair(spark, monkeypatch):
     assert len(met) == len(want) and set(met) == want and len(want) > 1000
 
 
+def test_signature_filter_loses_less_than_a_pair_in_ten_million():
+    n, least = neardup.PLACES, math.ceil(neardup.LEAST_AGREEMENT * neardup.PLACES)
+    assert sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(least)) < 1e-7
+
+
 def test_signature_is_the_sequential_definition():
     elements = neardup.mix64(np.arange(1, 40, dtype=np.uint64))
 
