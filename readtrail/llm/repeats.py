@@ -148,13 +148,9 @@ def _arrow(kind, row, low, high, place, gram, data=None) -> pa.Table:
     })
 
 
-def _reduce(table: pa.Table) -> pa.Table:
-    """Cuts, and questions for the bytes around grams with several contexts, of one bucket."""
-    passed = table.filter(pa.compute.not_equal(table["kind"], ASK)).drop_columns(["bucket"])
-    asked = table.filter(pa.compute.equal(table["kind"], ASK))
+def _reduce(asked: pa.Table) -> pa.Table:
+    """Cuts, and questions for the bytes around grams with several contexts, of one bucket's entries."""
     parts = [_entries(d, n) for d, n in zip(asked["data"].to_pylist(), asked["row"].to_pylist())]
-    if not parts:
-        return passed
     entry = np.concatenate(parts)
     entry = entry[np.lexsort((entry["place"], entry["row"], entry["context"], entry["gram"]))]
     gram = entry["gram"]
@@ -169,7 +165,7 @@ def _reduce(table: pa.Table) -> pa.Table:
     # an entry marked `several` stands for contexts that its task has sent already
     ask = several & first & (entry["several"] == 0)
     cut = later & (entry["several"] == 0)
-    return pa.concat_tables([passed] + [
+    return pa.concat_tables([
         _arrow(kind, entry["row"][at], low[at], high[at], place[at], gram[at].view(np.int64))
         for kind, at in ((CUT, cut), (ASK, ask))
     ])
@@ -289,7 +285,11 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(n, -(-total // BUCKET_BYTES))
     scanned = map_rows(rows.select("_row", "text"), _scan(buckets), f"bucket long, {MARKS}")
-    marks = staged(scanned.groupBy("bucket").applyInArrow(_reduce, MARKS), "repeat-marks")
+    # only packed entries are grouped: a common line has few of those, but a context in every task
+    scanned = staged(scanned, "repeat-scan")
+    passed = scanned.where(F.col("kind") != ASK).drop("bucket")
+    asking = scanned.where(F.col("kind") == ASK).groupBy("bucket").applyInArrow(_reduce, MARKS)
+    marks = passed.unionByName(staged(asking, "repeat-marks"))
     asked = (
         marks.where(F.col("kind") == ASK).groupBy("row")
         .agg(F.collect_list(F.struct("low", "high", "place", "gram")).alias("asks"))

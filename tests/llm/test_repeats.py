@@ -1,5 +1,8 @@
 import hashlib
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -60,9 +63,9 @@ def in_process(rows, segment, hot, monkeypatch, buckets=3):
         marks += repeats._scan(buckets)([batch])
     names = ["bucket", "kind", "row", "low", "high", "place", "gram", "data"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-    reduced = []
+    reduced = [dict(zip(names[1:], m[1:])) for m in marks if m[1] != repeats.ASK]
     for b in range(buckets):
-        own = [m for m in marks if m[0] == b]
+        own = [m for m in marks if m[0] == b and m[1] == repeats.ASK]
         if own:
             reduced += repeats._reduce(pa.table([pa.array(list(c), k) for c, k in zip(zip(*own), kinds)], names=names)).to_pylist()
     cuts = [(m["row"], m["low"], m["high"]) for m in reduced if m["kind"] == repeats.CUT]
@@ -136,3 +139,21 @@ def test_texts_left_keep_their_columns(documents):
     docs = documents((1, text), (2, text), (3, "x" + text[5:] + "tail"), (4, None)).selectExpr("*", "1 AS _span")
     out = {r.doc_id: r for r in repeats.without_repeats(docs).collect()}
     assert set(out) == {1, 3, 4} and out[3].text == "xtail" and out[3].n_chars == 5 and out[1].text == text
+
+
+def test_fresh_workers(tmp_path):
+    """Every task in a worker of its own: nothing relies on what an earlier task imported."""
+    script = tmp_path / "fresh.py"
+    script.write_text(
+        "from pyspark.sql import SparkSession\n"
+        "from readtrail.llm import repeats\n"
+        "spark = (SparkSession.builder.master('local[2]').config('spark.python.worker.reuse', 'false')\n"
+        "         .config('spark.sql.shuffle.partitions', '2').config('spark.ui.enabled', 'false').getOrCreate())\n"
+        "line = ' '.join(f'common word {i}' for i in range(30))\n"
+        "docs = spark.createDataFrame([(i, f'{i} {line} {i * 7}') for i in range(6)], 'doc_id long, text string')\n"
+        "print('removed', sum(r.n_removed > 0 for r in repeats.removal_digests(docs).collect()))\n"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, str(script)], capture_output=True, text=True, timeout=300,
+                          env={**os.environ, "PYTHONPATH": root})
+    assert "removed 5" in done.stdout, done.stderr[-2000:]
