@@ -7,7 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from readtrail.llm import fingerprints, mixing, neardup, pieces, quality, repeats, shards, templates, token_files, topk
+from readtrail.llm import (
+    fingerprints,
+    mixing,
+    neardup,
+    periodic,
+    pieces,
+    quality,
+    repeats,
+    shards,
+    templates,
+    token_files,
+    topk,
+)
 from readtrail.session import scratch_folder
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -66,6 +78,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(_table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
