@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from readtrail.llm import (
+    dialogues,
     fingerprints,
     mixing,
     neardup,
@@ -78,6 +79,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(_table(spark, sf_dir, "documents"))
 
 
+def op11_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogues.repair_digests(_table(spark, sf_dir, "conversations"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(_table(spark, sf_dir, "documents"))
 
