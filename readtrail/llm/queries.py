@@ -12,6 +12,7 @@ from readtrail.llm import (
     fingerprints,
     mixing,
     neardup,
+    parity,
     periodic,
     pieces,
     quality,
@@ -83,6 +84,10 @@ def op11_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogues.repair_digests(_table(spark, sf_dir, "conversations"))
 
 
+def op12_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity.join_groups(_table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(_table(spark, sf_dir, "documents"))
 
