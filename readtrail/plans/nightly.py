@@ -17,8 +17,9 @@ from readtrail.operators.learners import (
     progress_table,
 )
 from readtrail.operators.legacy import build_unity_user_progress, union_sources
+from readtrail.plans.load_clean import KEYS
 from readtrail.session import apply_settings, remove_folder, run_together, scratch_folder
-from readtrail.sources.snapshots import export_run
+from readtrail.sources.snapshots import export_run, key_metrics
 
 
 def split_log(
@@ -56,7 +57,7 @@ def run_nightly(
     run_date: dt.date | None = None,
     lenient: bool = False,
 ) -> dict[str, str]:
-    """Build the three learner tables and write each to ``<base>/<name>/run_date=…``.
+    """Build the three learner tables and publish each as a run of ``<base>/<name>``.
 
     Filtered events are written once as narrow flat rows, so each nested raw log is
     scanned once: the web log's game events and launches in one pass, told apart by the
@@ -79,7 +80,7 @@ def run_nightly(
             "cr_app_launch": lambda: launches.launch_table(starts, cohorts),
         }
         paths = run_together(*[
-            lambda name=name, build=build: export_run(build(), f"{base}/{name}", run_date)
+            lambda name=name, build=build: export_run(build(), f"{base}/{name}", run_date, key_metrics(KEYS[name]))
             for name, build in builds.items()
         ])
         return dict(zip(builds, paths))

@@ -56,7 +56,7 @@ def test_latest_run(spark, tmp_path):
         snapshots.export_run(spark.range(n), base, day)
     assert snapshots.load_latest_run(spark, base).count() == 5
     assert snapshots.load_latest_run(spark, base).columns == ["id"]
-    # exporting again replaces that day's folder
+    # exporting again replaces that day's run
     snapshots.export_run(spark.range(2), base, D(2024, 2, 10))
     assert snapshots.load_latest_run(spark, base).count() == 2
     # a newest run without rows is still the newest
@@ -71,6 +71,59 @@ def test_latest_run_needs_a_dated_folder(spark, tmp_path):
         snapshots.load_latest_run(spark, str(tmp_path / "t"))
 
 
+def test_a_run_that_dies_was_never_there(spark, tmp_path):
+    base = str(tmp_path / "t")
+    day = D(2024, 2, 9)
+    snapshots.export_run(spark.range(3), base, day)
+    fails = spark.range(0, 1000, 1, 8).withColumn(
+        "id", F.when(F.col("id") == 999, F.raise_error(F.lit("killed")).cast("long")).otherwise(F.col("id"))
+    )
+    for when in (day, D(2024, 2, 10)):  # the same day again, and a new one
+        with pytest.raises(Exception, match="killed"):
+            snapshots.export_run(fails, base, when)
+    # as a killed driver leaves it: all parts there, nothing published
+    spark.range(7).write.parquet(f"{base}/run_date=2024-02-11/run-half")
+    assert [(r.day, r.rows) for r in snapshots.published_runs(spark, base)] == [(day, 3)]
+    assert rows(snapshots.load_latest_run(spark, base)) == [(0,), (1,), (2,)]
+    snapshots.export_run(spark.range(2), base, day)
+    newest = snapshots.newest_run(spark, base)
+    assert (newest.version, newest.rows, newest.files > 0, newest.size > 0) == (2, 2, True, True)
+    gone = snapshots.expire_runs(spark, base, 1)
+    assert snapshots.load_latest_run(spark, base).count() == 2
+    assert {p.removeprefix(base)[:20] for p in gone} >= {"/run_date=2024-02-10"[:20], "/run_date=2024-02-11"[:20]}
+    left = [p.name for p in (tmp_path / "t" / "run_date=2024-02-09").iterdir() if p.name.startswith("run-")]
+    assert left == [newest.folder]
+
+
+def test_the_gate_reads_what_was_counted_while_writing(spark, tmp_path):
+    base = str(tmp_path / "t")
+    table = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "k string")
+    snapshots.export_run(table, base, D(2024, 2, 9), snapshots.key_metrics("k"))
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    run = snapshots.newest_run(spark, base)
+    assert run.metrics == {"rows": 4, "null_k": 1, "distinct_k": 2}
+    runs, keys = {"t": run}, {"t": "k"}
+    snapshots.check_runs(runs, keys, max_null_share=0.25, max_duplicate_share=0.34)
+    for limits, text in (({"max_null_share": 0.2}, "without k"), ({"max_duplicate_share": 0.3}, "repeat a k"), ({"min_rows": 5}, "4 rows")):
+        with pytest.raises(ValueError, match=text):
+            snapshots.check_runs(runs, keys, **limits)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+    assert run.read(spark).schema == table.schema
+    # plans that fold to nothing are counted as well
+    snapshots.export_run(table.where("false"), base, D(2024, 2, 10), snapshots.key_metrics("k"))
+    assert snapshots.newest_run(spark, base).metrics == {"rows": 0, "null_k": 0, "distinct_k": 0}
+
+
+def test_two_writers_get_two_versions(spark, tmp_path):
+    from readtrail.session import run_together
+    from readtrail.sources.storage import newest_text, publish_text
+
+    folder = str(tmp_path / "m")
+    got = run_together(*[lambda n=n: publish_text(spark, folder, f"text {n}") for n in range(6)])
+    assert sorted(got) == [1, 2, 3, 4, 5, 6]
+    assert newest_text(spark, folder) == (6, f"text {got.index(6)}")
+
+
 def test_csv_has_a_header_and_no_index(spark, tmp_path):
     snapshots.export_csv(spark.range(2).withColumn("name", F.lit("a,b")), str(tmp_path / "c"))
     back = spark.read.option("header", True).csv(str(tmp_path / "c"))
@@ -162,5 +215,5 @@ def test_nightly_then_load(spark, raw_events, languages, profile, tmp_path):
     assert rows(tables.launches, "cr_user_id", "app_language", "cohort_name") == [("a", "english", "A")]
     run_nightly(log.where("false"), [old], languages, cohorts, profile, str(tmp_path / "s2"), base,
                 AS_OF, D(2024, 6, 1))
-    with pytest.raises(ValueError, match="cr_user_progress, cr_app_launch"):
+    with pytest.raises(ValueError, match="cr_user_progress: 0 rows; cr_app_launch: 0 rows"):
         load_clean(spark, base)
