@@ -482,6 +482,12 @@ def _conversion(step: str) -> str:
             f"round_even({step} / LR::DOUBLE * 100, 0) / 100::DOUBLE * 100 END AS \"{step}_LR %\"")
 
 
+_STATS = f"""
+      SELECT user_id, count(*) AS session_count, CAST(sum(n_events) AS BIGINT) AS engagement_event_count,
+             round(sum(session_duration_sec) / 60.0::DOUBLE, 1) AS total_time_minutes,
+             round(avg(session_duration_sec) / 60.0::DOUBLE, 1) AS avg_session_length_minutes
+      FROM ({_DURATIONS}) GROUP BY 1"""
+
 _QUERIES: dict[str, str] = {
     "event_scan": """
       SELECT strftime(event_dt, '%Y%m%d') AS event_date, event_name, count(*) AS n,
@@ -586,6 +592,9 @@ _QUERIES: dict[str, str] = {
       FROM launch l LEFT JOIN clean_users u ON u.cr_user_id = l.cr_user_id""",
     "cr_user_progress": "SELECT * FROM progress",
     "unity_user_progress": "SELECT * FROM old_progress",
+    "cr_user_progress_incremental": "SELECT * FROM progress",
+    "unity_user_progress_incremental": "SELECT * FROM old_progress",
+    "session_stats_incremental": _STATS,
     "app_launch": "SELECT * FROM launch",
     "milestone_dates": "SELECT * FROM marks",
     "event_counts": """
@@ -624,11 +633,7 @@ _QUERIES: dict[str, str] = {
       SELECT event_id, user_id, us AS event_timestamp, prev AS prev_us, secs AS seconds_since_last,
              fresh AS is_new_session FROM ({_sessions(3600)})""",
     "session_durations": _DURATIONS,
-    "session_stats_cr": f"""
-      SELECT user_id, count(*) AS session_count, CAST(sum(n_events) AS BIGINT) AS engagement_event_count,
-             round(sum(session_duration_sec) / 60.0::DOUBLE, 1) AS total_time_minutes,
-             round(avg(session_duration_sec) / 60.0::DOUBLE, 1) AS avg_session_length_minutes
-      FROM ({_DURATIONS}) GROUP BY 1""",
+    "session_stats_cr": _STATS,
     "session_stats_unity": f"""
       SELECT user_id, count(*) AS engagement_event_count,
              round(sum(session_duration_sec) / 60.0::DOUBLE, 1) AS total_time_minutes,

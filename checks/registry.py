@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from checks import adapters as A
 from readtrail import config
 from readtrail.functions import numbers as N
-from readtrail.functions.dates import date_range, fix_dates
+from readtrail.functions.dates import date_range, fix_dates, micros_to_date
 from readtrail.functions.params import (
     app_suffix,
     event_of_stage,
@@ -24,10 +25,10 @@ from readtrail.functions.params import (
 from readtrail.operators import activity, campaigns, cleaning, cohorts, funnel, launches
 from readtrail.operators import learners, legacy, matching
 from readtrail.operators.cohorts import CohortFilter
-from readtrail.plans import reports
+from readtrail.plans import incremental, reports
 from readtrail.sources import lists, spend
 from readtrail.sources.events import scan_events
-from readtrail.sources.snapshots import export_csv, export_run, load_latest_run, save_table
+from readtrail.sources.snapshots import export_csv, export_run, load_latest_run, save_table, stage
 from readtrail.session import scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -362,6 +363,41 @@ def unity_user_progress(spark, sf_dir):
     )
 
 
+def _nights(events: DataFrame, folder: str) -> list[tuple[dt.date, DataFrame]]:
+    """The events as three nights bring them: by day, but one in seven of all days comes with the last."""
+    staged = stage(events, folder)
+    late = F.pmod("event_timestamp", F.lit(7)) == 3
+    first, second = (F.col("event_dt") < F.lit(day) for day in A.NIGHTS[:2])
+    third = late | F.coalesce(~second, F.lit(True))
+    kinds = [first & ~late, ~first & second & ~late, third]
+    return [(day, staged.where(kind)) for day, kind in zip(A.NIGHTS, kinds)]
+
+
+@query
+def cr_user_progress_incremental(spark, sf_dir):
+    base = scratch_folder(spark, "nights")
+    for day, events in _nights(_events(spark, sf_dir), f"{base}/events"):
+        table = incremental.advance_progress(events, A.languages(spark), A.PROFILE, base, day)
+    return table
+
+
+@query
+def unity_user_progress_incremental(spark, sf_dir):
+    base = scratch_folder(spark, "nights")
+    for day, events in _nights(_legacy_events(spark, sf_dir).drop("event_name"), f"{base}/events"):
+        table = incremental.advance_legacy(events, A.languages(spark), base, day)
+    return table
+
+
+@query
+def session_stats_incremental(spark, sf_dir):
+    base = scratch_folder(spark, "nights")
+    stream = _stream(spark, sf_dir).withColumn("event_dt", micros_to_date(F.col("event_timestamp")))
+    for day, events in _nights(stream, f"{base}/events"):
+        stats = incremental.advance_sessions(events, "user_id", base, day, WIDE_GAP)
+    return stats
+
+
 @query
 def app_launch(spark, sf_dir):
     return _plain_launches(launches.app_launch(

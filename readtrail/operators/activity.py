@@ -215,6 +215,77 @@ def session_stats_cr(
     )
 
 
+# --- sessions from days -----------------------------------------------------------------
+#
+# What a day of one user adds to the sessions of a history: its first and its last session
+# as open edges, since the days next to it may go on with them, and totals of those in
+# between, which nothing can change.  Days go together in any number and order.
+
+_DAY_US = 86_400_000_000
+
+
+def slice_day(column: str = "slice") -> Column:
+    """Number of the UTC day that a slice begins in; events without a time share one far back."""
+    return F.floor(F.col(column) / F.lit(_DAY_US)).cast("int")
+
+
+def merge_slices(slices: DataFrame, key: str, last_day: str | None = None) -> DataFrame:
+    """Fold rows of one (user, slice), as from different parts of a log."""
+    return slices.groupBy(key, "slice").agg(
+        F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.sum("n_events").alias("n_events"),
+        *([F.max(last_day).alias(last_day)] if last_day else []),
+    )
+
+
+def day_sessions(slices: DataFrame, key: str, gap: int = config.SESSION_GAP_SECONDS, last_day: str | None = None) -> DataFrame:
+    """One row per (user, day): `edges`, closed_sessions, closed_seconds, n_events."""
+    days = slices.withColumn("day_no", slice_day())
+    marked = session_slices(days, [key, "day_no"], gap)
+    last = [F.max(last_day).alias(last_day)] if last_day else []
+    sessions = marked.groupBy(key, "day_no", "session_id").agg(
+        F.min("first_us").alias("start_us"), F.max("last_us").alias("end_us"), F.sum("n_events").alias("n_events"), *last
+    )
+    within = Window.partitionBy(key, "day_no")
+    inner = (F.col("session_id") > 1) & (F.col("session_id") < F.max("session_id").over(within))
+    seconds = whole_seconds(F.col("end_us"), F.col("start_us"))
+    return sessions.withColumns({"inner": inner, "seconds": seconds}).groupBy(key, "day_no").agg(
+        F.collect_list(F.when(~F.col("inner"), F.struct("start_us", "end_us"))).alias("edges"),
+        F.count_if("inner").alias("closed_sessions"),
+        F.coalesce(F.sum(F.when(F.col("inner"), F.col("seconds"))), F.lit(0)).alias("closed_seconds"),
+        F.sum("n_events").alias("n_events"), *last,
+    )
+
+
+def stats_of_days(
+    days: DataFrame, key: str, gap: int = config.SESSION_GAP_SECONDS, last_day: str | None = None
+) -> DataFrame:
+    """:func:`session_stats_cr` from :func:`day_sessions` rows, two edges a day at most."""
+    edges = days.select(key, F.explode("edges").alias("edge")).select(
+        key, F.coalesce("edge.start_us", F.lit(_NO_TIME)).alias("slice"),
+        F.col("edge.start_us").alias("first_us"), F.col("edge.end_us").alias("last_us"),
+    )
+    open_sessions = session_slices(edges, key, gap).groupBy(key, "session_id").agg(
+        whole_seconds(F.max("last_us"), F.min("first_us")).alias("seconds")
+    )
+    none = F.lit(0).cast("bigint")
+    last = [F.lit(None).cast(days.schema[last_day].dataType).alias(last_day)] if last_day else []
+    parts = open_sessions.select(
+        key, F.lit(1).cast("bigint").alias("sessions"), F.when(F.col("seconds").isNull(), 0).otherwise(1).alias("timed"),
+        F.coalesce("seconds", none).alias("seconds"), none.alias("n_events"), *last,
+    ).unionByName(days.select(
+        key, F.col("closed_sessions").alias("sessions"), F.col("closed_sessions").alias("timed"),
+        F.col("closed_seconds").alias("seconds"), "n_events", *([last_day] if last_day else []),
+    ))
+    seconds, timed = F.sum("seconds"), F.sum("timed")
+    return parts.groupBy(key).agg(
+        F.sum("sessions").alias("session_count"),
+        F.sum("n_events").alias("engagement_event_count"),
+        _minutes(F.when(timed > 0, seconds)).alias("total_time_minutes"),
+        _minutes(F.when(timed > 0, seconds / timed)).alias("avg_session_length_minutes"),
+        *([F.max(last_day).alias("last_event_date")] if last_day else []),
+    )
+
+
 def session_stats_unity(
     events: DataFrame,
     key: str = "user_pseudo_id",
@@ -222,7 +293,11 @@ def session_stats_unity(
     gap: int = config.SESSION_GAP_SECONDS,
 ) -> DataFrame:
     """Per legacy user: session minutes; engagement_event_count counts *sessions* there."""
-    stats = session_stats_cr(events, key, ts, gap)
+    return legacy_figures(session_stats_cr(events, key, ts, gap), key)
+
+
+def legacy_figures(stats: DataFrame, key: str = "user_pseudo_id") -> DataFrame:
+    """Session figures as the legacy apps name them."""
     return stats.select(
         key,
         F.col("session_count").alias("engagement_event_count"),

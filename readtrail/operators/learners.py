@@ -155,32 +155,36 @@ def last_event(events: DataFrame, key: str = "cr_user_id") -> DataFrame:
     return events.groupBy(key).agg(F.max("event_dt").alias("last_event_date"))
 
 
-def learner_rollup(events: DataFrame) -> DataFrame:
-    """Aggregate game events per (learner, country, language).
+_IDENTITY = ["user_pseudo_id", "hostname"]
+DEVICE = [*LEARNER, *_IDENTITY]
+# how the numbers of a (learner, device, host) row go together with those of another
+DEVICE_MERGE = {
+    "first_open": F.min, "first_event_date": F.min, "first_us": F.min, "furthest_stage": F.max,
+    "la_date": F.min, "ra_exact": F.min, "ra_later": F.min, "max_user_level": F.max,
+}
 
-    Two steps.  The first also groups by device and host, so it keeps nothing but
-    numbers and dates and runs as a hash aggregate over the full log; the second
-    folds the one or two rows left per learner and picks device and host of the
-    earliest.
+
+def device_rollup(events: DataFrame) -> DataFrame:
+    """Numbers and dates per (learner, device, host): a hash aggregate over the full log.
+
+    Rows of different parts of a log merge by ``DEVICE_MERGE``.
     """
-    identity = ["user_pseudo_id", "hostname"]
-    per_device = events.groupBy(*LEARNER, *identity).agg(
+    return events.groupBy(*DEVICE).agg(
         F.min("first_open").alias("first_open"),
         F.min("event_dt").alias("first_event_date"),
         F.min("event_timestamp").alias("first_us"),
         F.max("funnel_stage").alias("furthest_stage"),
         *_aliased(_milestone_aggregates()),
     )
+
+
+def learners_of_devices(per_device: DataFrame) -> DataFrame:
+    """Fold the one or two rows left per learner, and pick device and host of the earliest."""
     return (
         per_device.groupBy(*LEARNER)
         .agg(
-            F.min(F.struct("first_event_date", "first_us", *identity)).alias("earliest"),
-            F.min("first_open").alias("first_open"),
-            F.max("furthest_stage").alias("furthest_stage"),
-            F.min("la_date").alias("la_date"),
-            F.min("ra_exact").alias("ra_exact"),
-            F.min("ra_later").alias("ra_later"),
-            F.max("max_user_level").alias("max_user_level"),
+            F.min(F.struct("first_event_date", "first_us", *_IDENTITY)).alias("earliest"),
+            *[fold(c).alias(c) for c, fold in DEVICE_MERGE.items() if c not in ("first_event_date", "first_us")],
         )
         .select(
             *LEARNER,
@@ -196,6 +200,15 @@ def learner_rollup(events: DataFrame) -> DataFrame:
     )
 
 
+def learner_rollup(events: DataFrame) -> DataFrame:
+    """Aggregate game events per (learner, country, language).
+
+    Two steps.  The first also groups by device and host, so it keeps nothing but
+    numbers and dates; the second folds the few rows left per learner.
+    """
+    return learners_of_devices(device_rollup(events))
+
+
 def milestone_flags(df: DataFrame) -> DataFrame:
     """pc/la/ra/gc/lr flags from furthest_stage, max_user_level and gpc."""
     level, gpc = F.col("max_user_level"), F.col("gpc")
@@ -224,12 +237,15 @@ def cr_user_progress(events: DataFrame, languages: DataFrame) -> DataFrame:
     Grain is (cr_user_id, country, app_language).  Session figures and the last
     event day are per user, so they repeat on each of a user's rows.
     """
+    return with_user_stats(learner_rollup(events), session_stats_cr(events, last_day="event_dt"), languages)
+
+
+def with_user_stats(learners: DataFrame, per_user: DataFrame, languages: DataFrame) -> DataFrame:
+    """Learner rows with game length, the figures of their user, and flags."""
     game_length = languages.groupBy("app_language").agg(F.max("max_level").alias("max_game_level"))
-    per_user = session_stats_cr(events, last_day="event_dt")
     first_open, first_event = F.col("first_open"), F.col("first_event_date")
     table = (
-        learner_rollup(events)
-        .join(game_length, "app_language", "left")
+        learners.join(game_length, "app_language", "left")
         .join(per_user, "cr_user_id", "left")
         .withColumn("gpc", N.game_progress(F.col("max_user_level"), F.col("max_game_level")))
     )
@@ -263,5 +279,8 @@ def build_cr_user_progress(
 
 def progress_table(events: DataFrame, languages: DataFrame, profile: AppProfile) -> DataFrame:
     """Progress table, as it is exported, from filtered events."""
-    table = cr_user_progress(events, languages)
+    return exported(cr_user_progress(events, languages), profile)
+
+
+def exported(table: DataFrame, profile: AppProfile) -> DataFrame:
     return table.withColumn("app", label_app(F.col("hostname"), profile)).select(*CR_COLUMNS)

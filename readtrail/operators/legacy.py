@@ -133,17 +133,33 @@ def _fold_texts() -> list[Column]:
     return [F.max(c).alias(c) for c in [*_TEXTS, "max_game_level"]]
 
 
+LEVEL_TEXTS = ["user_pseudo_id", "user_level", *_TEXTS]
+
+
+def level_rollup(events: DataFrame) -> DataFrame:
+    """Numbers and dates per (user, level and text columns): the one pass over the full log."""
+    return merge_levels(events.withColumns({
+        "first_event_date": F.col("event_dt"), "last_event_date": F.col("event_dt"),
+    }))
+
+
+def merge_levels(rows: DataFrame) -> DataFrame:
+    """Fold rows of one (user, level and text columns), as from different parts of a log."""
+    return rows.groupBy(*LEVEL_TEXTS).agg(*_fold_numbers())
+
+
 def unity_user_progress(events: DataFrame, languages: DataFrame) -> DataFrame:
-    """Legacy progress table, one row per user, from :func:`filter_unity_events`.
+    """Legacy progress table, one row per user, from :func:`filter_unity_events`."""
+    return users_of_levels(level_rollup(events), session_stats_unity(events), languages)
+
 
-    Three steps, each smaller than the one before: per (user, level and text
-    columns), where only numbers are kept and the full log is read once; per
-    (user, level), which gives the distinct levels; per user.
+def users_of_levels(by_text: DataFrame, stats: DataFrame, languages: DataFrame) -> DataFrame:
+    """Legacy progress from :func:`level_rollup` and the users' session figures.
+
+    Two more steps, each smaller than the one before: per (user, level), which gives the
+    distinct levels, and per user.
     """
     key = "user_pseudo_id"
-    by_text = events.withColumns({
-        "first_event_date": F.col("event_dt"), "last_event_date": F.col("event_dt"),
-    }).groupBy(key, "user_level", *_TEXTS).agg(*_fold_numbers())
     by_level = join_dedup_dim(by_text, languages).groupBy(key, "user_level").agg(
         *_fold_numbers(), *_fold_texts()
     )
@@ -157,7 +173,7 @@ def unity_user_progress(events: DataFrame, languages: DataFrame) -> DataFrame:
         "gpc", N.game_progress(F.col("max_user_level"), F.col("max_game_level"))
     )
     top, gpc = F.col("max_user_level"), F.col("gpc")
-    return users.join(session_stats_unity(events), key, "left").select(
+    return users.join(stats, key, "left").select(
         key,
         "first_open",
         "country",
