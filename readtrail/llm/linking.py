@@ -2,19 +2,21 @@
 
 A class stands for all texts with one set.  Classes of a bucket may be linked; links are
 confirmed on full sets.  Not every link is needed: a class pair within one component tells
-nothing new, so buckets matter only while they hold several components.
-
-*Waves.*  An eighth of the buckets, then the next eighth, a quarter and the rest: in each
-open bucket every class meets the bucket's centre, and of a class's centres only the first
-in one order over all classes.  So a wave asks for one pair a class at most, and a group of
-near copies is connected after the first wave or two, whatever its size.
-
-*Across.*  What is still open is compared all with all, but across components only.  A task
-holds whole buckets, merges components as soon as sketches agree, and gives out only the
-pairs that merged, less than one for each class.  Pairs that full sets refuse are known the
-next time; the work ends when no pair is left to ask for.  A bucket that is too large for
-that is dealt into blocks; large components get blocks of their own, and only pairs of
-blocks that hold different components meet.
+nothing new, so buckets matter only while they hold several components.  Of buckets with the
+same classes one is kept.
+
+*Waves.*  An eighth of the buckets, then a quarter: in each open bucket every class meets
+the bucket's centre, and of a class's centres only the first in one order over all classes.
+So a wave asks for one pair a class at most, and a group of near copies is connected after
+them, whatever its size.
+
+*Across.*  What is still open, in all buckets, is compared all with all, but across
+components only.  A task holds whole buckets, merges components in order of likeness of
+their sketches, and gives out only the pairs that merged, less than one for each class.
+Pairs hidden behind a pair that full sets refuse come up in the next round, which looks at
+the components around refused pairs alone; the work ends when no pair is refused.  A bucket
+that is too large for a task is dealt into blocks; large components get blocks of their own,
+and only pairs of blocks that hold different components meet.
 """
 
 from __future__ import annotations
@@ -30,24 +32,35 @@ from pyspark.sql import functions as F
 from readtrail.llm.common import map_rows, shuffle_partitions, staged
 from readtrail.llm.components import components
 
-WAVES = ((0,), (1,), (2, 3), (4, 5, 6, 7))  # eighths of the buckets
+WAVES = ((0,), (1, 2))  # eighths of the buckets
 LARGE = 4096  # classes in a bucket beyond which it is dealt into blocks of half as many
+SMALL = 96  # classes in a bucket up to which all of its pairs are listed at once
 GROUP_BYTES = 64 << 20  # sketches that are compared in one task
-_ORDERS = (0x2545F4914F6CDD1D, 0x1B873593CC9E2D51, 0x3C6EF372FE94F82B, 0x5851F42D4C957F2D)
+PAIRS = 1 << 20  # listed at once
+_ORDERS = (0x2545F4914F6CDD1D, 0x1B873593CC9E2D51)
+
+
+class Sketches:
+    """Sketches of the classes that a task compares."""
+
+    def __init__(self, sketches: list[bytes], sizes: np.ndarray) -> None:
+        self.sizes = sizes
+
+    def remote(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How far apart the classes of each pair are; more than 1 means that they are not linked."""
+        raise NotImplementedError
 
 
 @dataclass(frozen=True)
 class Likeness:
     """What makes two classes similar.
 
-    stack(sketches)              one array for the sketches of a bucket, a row each
-    agree(rows, row, n, own_n)   which rows may be linked with one row, given set sizes
+    sketches                     kind of sketches
     elements(text)               the full set as sorted 64-bit hashes, or None
     percent                      least intersection, in percent of the union
     """
 
-    stack: Callable[[list[bytes]], np.ndarray]
-    agree: Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
+    sketches: Callable[[list[bytes], np.ndarray], Sketches]
     elements: Callable[[str], np.ndarray | None]
     percent: int
 
@@ -67,10 +80,13 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame
 
     def rows(batches) -> Iterator[tuple]:
         for batch in batches:
-            for a, b, n, m, s, t in zip(*(c.to_pylist() for c in batch.columns)):
-                both = like.stack([s, t])
-                if like.agree(both[:1], both[1], np.array([n]), m)[0]:
-                    yield a, b
+            a, b, n, m, s, t = (c.to_pylist() for c in batch.columns)
+            if not a:
+                continue
+            at = np.arange(len(a))
+            near = like.sketches(s + t, np.array(n + m)).remote(at, at + len(a)) <= 1
+            for i in np.flatnonzero(near).tolist():
+                yield a[i], b[i]
 
     return map_rows(sized.select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch"), rows, "a long, b long")
 
@@ -151,13 +167,23 @@ def _dealt(marked: DataFrame) -> DataFrame:
     return small.unionByName(placed.join(sides, ["bucket", "block"]).select("meeting", "side", "cid", "own"))
 
 
-def _roots(merged: list[int], i: int) -> int:
+def _root(merged: list[int], i: int) -> int:
     while merged[i] != i:
         merged[i] = merged[merged[i]]
         i = merged[i]
     return i
 
 
+def _blocks_of_meetings(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of meetings with about PAIRS pairs each."""
+    pairs = np.cumsum(sizes * (sizes - 1) // 2)
+    lo = 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(pairs, (pairs[lo - 1] if lo else 0) + PAIRS, "right")))
+        yield lo, hi
+        lo = hi
+
+
 def merging_pairs(table: pa.Table, like: Likeness) -> list[tuple[int, int]]:
     """The pairs that merge components of the buckets or block pairs of one task.
 
@@ -166,32 +192,63 @@ def merging_pairs(table: pa.Table, like: Likeness) -> list[tuple[int, int]]:
     table = table.sort_by([("meeting", "ascending"), ("cid", "ascending")])
     meeting, side, cid, size = (table[c].to_numpy() for c in ("meeting", "side", "cid", "n"))
     owners, own = np.unique(table["own"].to_numpy(), return_inverse=True)
-    refused = [set(r) if r else None for r in table["refused"].to_pylist()]
-    sketches = table["sketch"].to_pylist()
+    refused = {(int(c), r) for c, rs in zip(cid, table["refused"].to_pylist()) if rs for r in rs}
+    # a class is there once for each of its buckets; its sketch is needed once
+    classes, place, row = np.unique(cid, return_index=True, return_inverse=True)
+    sketches = like.sketches(table["sketch"].take(pa.array(place)).to_pylist(), size[place])
     merged = list(range(len(owners)))
-    found = []
+    found: list[tuple[int, int]] = []
+
+    def merge(i: int, j: int) -> None:
+        a, b = _root(merged, int(own[i])), _root(merged, int(own[j]))
+        if a != b and (int(cid[i]), int(cid[j])) not in refused:
+            found.append((int(cid[i]), int(cid[j])))
+            merged[max(a, b)] = min(a, b)
+
+    def possible(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        fit = (own[i] != own[j]) & ((side[i] != side[j]) | ~two_sided[i])
+        return fit & (100 * np.minimum(size[i], size[j]) >= like.percent * np.maximum(size[i], size[j]))
+
     starts = np.flatnonzero(np.diff(meeting, prepend=meeting[:1] - 1))
-    for lo, hi in zip(starts.tolist(), np.append(starts[1:], len(meeting)).tolist()):
-        stacked = like.stack(sketches[lo:hi])
-        here = np.array([_roots(merged, o) for o in own[lo:hi].tolist()])
-        n, sides, ids = size[lo:hi], side[lo:hi], cid[lo:hi]
-        across = sides.any()  # two blocks: compared with each other only
-        for i in range(hi - lo - 1):
-            rest = slice(i + 1, None)
-            fit = (here[rest] != here[i]) & (100 * np.minimum(n[rest], n[i]) >= like.percent * np.maximum(n[rest], n[i]))
-            if across:
-                fit &= sides[rest] != sides[i]
-            at = np.flatnonzero(fit) + i + 1
-            if not len(at):
+    sizes = np.diff(np.append(starts, len(meeting)))
+    sided = np.maximum.reduceat(side, starts) > 0 if len(starts) else np.zeros(0, bool)
+    two_sided = np.repeat(sided, sizes)  # two blocks: compared with each other only
+    for lo, hi in _blocks_of_meetings(np.where(sizes <= SMALL, sizes, 0)):
+        own_starts, own_sizes = starts[lo:hi][sizes[lo:hi] <= SMALL], sizes[lo:hi][sizes[lo:hi] <= SMALL]
+        firsts, seconds = [], []
+        for step in range(1, int(own_sizes.max(initial=1))):
+            wide = own_sizes > step
+            left = own_sizes[wide] - step
+            i = np.repeat(own_starts[wide] - np.append(0, np.cumsum(left)[:-1]), left) + np.arange(left.sum())
+            fit = possible(i, i + step)
+            firsts.append(i[fit])
+            seconds.append(i[fit] + step)
+        if not firsts:
+            continue
+        i, j = np.concatenate(firsts), np.concatenate(seconds)
+        _, once = np.unique(row[i] * len(classes) + row[j], return_index=True)
+        i, j = i[once], j[once]
+        far = sketches.remote(row[i], row[j])
+        near = np.flatnonzero(far <= 1)
+        for k in near[np.argsort(far[near], kind="stable")].tolist():
+            merge(i[k], j[k])
+    for lo, m in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+        later: list[tuple[float, int, int]] = []
+        here = np.array([_root(merged, o) for o in own[lo:lo + m].tolist()])
+        for i in range(lo, lo + m - 1):
+            j = np.arange(i + 1, lo + m)
+            j = j[(here[j - lo] != here[i - lo])]
+            j = j[possible(np.full(len(j), i), j)]
+            if not len(j):
                 continue
-            known = refused[lo + i]
-            for j in at[like.agree(stacked[at], stacked[i], n[at], int(n[i]))].tolist():
-                if here[j] == here[i] or known and int(ids[j]) in known:
-                    continue
-                found.append((int(ids[i]), int(ids[j])))
-                low, high = sorted((int(here[i]), int(here[j])))
-                merged[high] = low
-                here[here == high] = low
+            far = sketches.remote(np.full(len(j), row[i]), row[j])
+            for k in np.flatnonzero(far <= 0.5).tolist():
+                merge(i, int(j[k]))
+                here[here == here[j[k] - lo]] = here[i - lo] if _root(merged, int(own[j[k]])) == _root(merged, int(own[i])) else here[j[k] - lo]
+            between = np.flatnonzero((far > 0.5) & (far <= 1))
+            later += zip(far[between].tolist(), [i] * len(between), j[between].tolist())
+        for _, i, j in sorted(later):
+            merge(i, j)
     return found
 
 
@@ -214,46 +271,57 @@ def _across(marked: DataFrame, classes: DataFrame, refused: DataFrame, like: Lik
     return compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _once(items: DataFrame) -> DataFrame:
+    """Items of buckets with several classes; of buckets with the same classes, the first."""
+    contents = items.groupBy("bucket").agg(
+        F.count("*").alias("m"), *[F.bit_xor(F.xxhash64("cid", F.lit(k))).alias(f"x{k}") for k in range(2)]
+    )
+    kept = contents.where("m > 1").groupBy("m", "x0", "x1").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return items.join(kept, "bucket", "left_semi")
+
+
 def connect(items: DataFrame, classes: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     """`node`, `label`: the smallest class of the component of every class that is linked.
 
-    items    bucket, cid
+    items    bucket, cid; each once
     classes  cid, n (set size), sketch; every class of `items`
     texts    cid, text; one text of every class, others may be there too
     """
+    items = staged(_once(items), "items")
     links = items.select(F.col("cid").alias("a"), F.col("cid").alias("b")).where("false")
     refused = links
+    labels = components(links)
 
-    def ask(pairs: DataFrame, sketched: bool) -> tuple[bool, bool]:
-        """Confirm pairs; were there any, and was any of them linked?"""
-        nonlocal links, refused
+    def ask(pairs: DataFrame, sketched: bool) -> DataFrame | None:
+        """Confirm pairs; those that were refused now, None if there was no pair to ask for."""
+        nonlocal links, refused, labels
         fresh = staged(pairs.join(refused, ["a", "b"], "left_anti"), "pairs")
         if fresh.isEmpty():
-            return False, False
+            return None
         agreeing = fresh if sketched else staged(_agreeing(fresh, classes, like), "pairs")
         judged = staged(_judged(agreeing, texts, like), "judged")
         linked = judged.where("linked").select("a", "b")
-        # a pair whose sketches exclude a link counts as refused too
-        refused = refused.unionByName(fresh.join(linked, ["a", "b"], "left_anti"))
-        any_linked = not linked.isEmpty()
-        if any_linked:
+        if not linked.isEmpty():
             links = links.unionByName(linked)
-        return True, any_linked
+            labels = components(links)
+        # a pair whose sketches exclude a link counts as refused too
+        now = fresh.join(linked, ["a", "b"], "left_anti")
+        refused = refused.unionByName(now)
+        return now
 
     eighth = F.pmod(F.xxhash64("bucket"), F.lit(8))
-    labels = components(links)
     for turn, share in enumerate(WAVES):
         marked = staged(_marked(items.where(eighth.isin(*share)), labels), "open")
-        if marked.isEmpty():
-            continue
-        if ask(_centre_pairs(marked, turn), False)[1]:
-            labels = components(links)
+        if not marked.isEmpty():
+            ask(_centre_pairs(marked, turn), False)
     open_items = staged(_marked(items, labels), "open")
     while not open_items.isEmpty():
-        asked, merged = ask(_across(open_items, classes, refused, like), True)
-        if not asked:
+        now = ask(_across(open_items, classes, refused, like), True)
+        if now is None or now.isEmpty():
             break
-        if merged:
-            labels = components(links)
-            open_items = staged(_marked(open_items.select("bucket", "cid"), labels), "open")
+        # only pairs within what would have merged with the refused pairs were passed over
+        wide = components(links.unionByName(now))
+        doubtful = wide.join(now.select(F.col("a").alias("node")), "node", "left_semi").select("label").distinct()
+        around = wide.join(doubtful, "label", "left_semi").select(F.col("node").alias("cid"))
+        open_items = staged(_marked(open_items.select("bucket", "cid").join(around, "cid", "left_semi"), labels), "open")
     return labels

@@ -62,7 +62,8 @@ class Shingler:
         total = np.zeros(n, np.uint64)
         for k in range(self.shingle):
             total += h[k:k + n] * self.factors[k]
-        return np.unique(mix64(total))
+        found = np.sort(mix64(total))  # faster than np.unique
+        return found[np.append(True, found[1:] != found[:-1])]
 
 
 def shingler(shingle: int) -> Shingler:

@@ -21,15 +21,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readtrail.llm.common import map_rows, mix64, staged, temporary_tables, whole_text
-from readtrail.llm.linking import Likeness, connect
+from readtrail.llm.common import map_rows, mix64, shuffle_partitions, staged, temporary_tables, whole_text
+from readtrail.llm.linking import Likeness, Sketches, connect
 from readtrail.llm.neardup import Shingler, shingler, word_list
 from readtrail.llm.repeats import numbered
 
@@ -37,7 +38,10 @@ SHINGLE = 4
 PERCENT = 85
 BAND = 1.25  # how much larger the sizes of a band may be than those of the band below
 RARE = 1e-6  # share of sets that may have more than e empty parts
+FLUSH_KEYS = 1 << 20
+PART_KEYS = 4 << 20  # look-up keys that meet in one task
 _GOLD = 0x9E3779B97F4A7C15
+_ZERO = np.zeros(1, np.int64)
 
 
 def differences(total: int, percent: int) -> int:
@@ -90,23 +94,24 @@ class Bands:
 
 
 def part_keys(elements: np.ndarray, bands: Bands) -> np.ndarray:
-    """Look-up keys: hashes of (band, part, exclusive-or of the elements in it)."""
+    """Look-up keys: hashes of (band, part, exclusive-or of the elements in it).
+
+    Elements are sorted hashes, so those of a part (their leading bits) lie together.
+    """
     out = []
     toggles = mix64(elements * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1))
+    lead = elements >> np.uint64(32)
     for j, parts, surplus in bands.of(len(elements)):
-        spread = mix64(elements + np.uint64(j * _GOLD & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(32)
-        part = (spread * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        part = part[order]
-        first = np.flatnonzero(np.diff(part, prepend=-1))
-        filled = part[first]
-        value = np.bitwise_xor.reduceat(toggles[order], first)
-        if parts - len(filled) > surplus:
+        part = lead * np.uint64(parts) >> np.uint64(32)
+        first = np.flatnonzero(part[1:] != part[:-1]) + 1
+        first = np.concatenate([_ZERO, first])
+        place = part[first]
+        value = np.bitwise_xor.reduceat(toggles, first)
+        if parts - len(place) > surplus:
             whole = np.zeros(parts, np.uint64)
-            whole[filled] = value
-            filled, value = np.arange(parts), whole
-        place = filled.astype(np.uint64) + np.uint64(j << 40)
-        out.append(mix64(value ^ mix64(place * np.uint64(_GOLD) + np.uint64(1))))
+            whole[place.astype(np.int64)] = value
+            place, value = np.arange(parts, dtype=np.uint64), whole
+        out.append(mix64(value ^ mix64((place + np.uint64(j << 40)) * np.uint64(_GOLD) + np.uint64(1))))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -117,28 +122,49 @@ def bit_sketch(elements: np.ndarray) -> bytes:
     return np.packbits((np.bincount(place, minlength=width) & 1).astype(np.uint8)).tobytes()
 
 
-def stack(sketches: list[bytes]) -> np.ndarray:
-    """Sketches as rows, all folded to the narrowest width."""
-    width = min(map(len, sketches))
-    rows = []
-    for s in sketches:
-        row = np.frombuffer(s, np.uint8)
-        while len(row) > width:
-            row = row[:len(row) // 2] ^ row[len(row) // 2:]
-        rows.append(row)
-    return np.stack(rows)
+class BitSketches(Sketches):
+    """Bit sketches of several widths, each folded once to every narrower width."""
 
+    def __init__(self, sketches: list[bytes], sizes: np.ndarray, percent: int) -> None:
+        super().__init__(sketches, sizes)
+        self.percent = percent
+        self.width = np.array([len(s) for s in sketches])
+        self.rows: dict[int, np.ndarray] = {}
+        self.place = np.zeros(len(sketches), np.int64)
+        widths = sorted(set(self.width.tolist()), reverse=True)
+        # the widest first: a narrower width takes the wider rows, folded, before its own
+        order = np.argsort(-self.width, kind="stable")
+        self.place[order] = np.arange(len(sketches))
+        above = np.zeros((0, widths[0] if widths else 8), np.uint8)
+        for w in widths:
+            while above.shape[1] > w:
+                half = above.shape[1] // 2
+                above = above[:, :half] ^ above[:, half:]
+            own = b"".join(sketches[i] for i in order[self.width[order] == w])
+            above = np.concatenate([above, np.frombuffer(own, np.uint8).reshape(-1, w)])
+            self.rows[w] = above
+
+    def remote(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        width = np.minimum(self.width[i], self.width[j])
+        apart = np.zeros(len(i), np.int64)
+        for w, rows in self.rows.items():
+            at = np.flatnonzero(width == w)
+            step = max(1, (16 << 20) // w)
+            words = rows.view(np.uint64)  # at least eight bytes wide
+            for k in range(0, len(at), step):
+                some = at[k:k + step]
+                differ = words[self.place[i[some]]] ^ words[self.place[j[some]]]
+                apart[some] = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+        allowed = (100 - self.percent) * (self.sizes[i].astype(np.int64) + self.sizes[j])
+        return apart * (100 + self.percent) / np.maximum(allowed, 1)
 
-def likeness(shingle: int, percent: int) -> Likeness:
-    def agree(rows: np.ndarray, row: np.ndarray, n: np.ndarray, own: int) -> np.ndarray:
-        apart = np.bitwise_count(rows ^ row).sum(axis=1, dtype=np.int64)
-        return apart * (100 + percent) <= (100 - percent) * (n + own)
 
+def likeness(shingle: int, percent: int) -> Likeness:
     def elements(text: str) -> np.ndarray | None:
         words = word_list(text)
         return shingler(shingle)(words) if words else None
 
-    return Likeness(stack, agree, elements, percent)
+    return Likeness(partial(BitSketches, percent=percent), elements, percent)
 
 
 def _described(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -151,20 +177,97 @@ def _described(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
             for row, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
                 words = word_list(text)
                 if not words:
-                    yield row, doc, None, 0, None, None
+                    yield row, doc, None, None, 0, None, None
                     continue
                 found = cut(words)
                 key = xxhash.xxh3_128_digest(found.tobytes())
+                half = int.from_bytes(key[:8], "little", signed=True)
                 if key in seen:
-                    yield row, doc, key, len(found), None, None
+                    yield row, doc, key, half, len(found), None, None
                     continue
                 if len(seen) >= 1 << 18:  # forgetting one only sends its set again
                     seen.clear()
                 seen.add(key)
-                yield row, doc, key, len(found), bit_sketch(found), part_keys(found, bands).view(np.int64).tolist()
+                yield row, doc, key, half, len(found), bit_sketch(found), part_keys(found, bands).tobytes()
 
     source = rows.select("_row", "doc_id", "text")
-    return map_rows(source, described, "row long, doc_id long, key binary, n long, sketch binary, keys array<long>")
+    return map_rows(source, described, "row long, doc_id long, key binary, half long, n long, sketch binary, keys binary")
+
+
+def _first_of_runs(keys: np.ndarray) -> np.ndarray:
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return new
+
+
+def _several(half: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Per run of one key, whether it holds more than one set."""
+    at = np.flatnonzero(first)
+    return np.minimum.reduceat(half, at) != np.maximum.reduceat(half, at)
+
+
+def _packed(parts: int):
+    """Rows (part, kind, n, data) of look-up keys: one entry a key, and all sets of keys that have several here."""
+
+    def rows(batches) -> Iterator[tuple]:
+        held: list[np.ndarray] = []
+        halves: list[tuple[int, int]] = []
+
+        def flush() -> Iterator[tuple]:
+            keys = np.concatenate(held)
+            half = np.repeat(np.array([h for h, _ in halves], np.int64), [n for _, n in halves])
+            order = np.argsort(keys, kind="stable")
+            keys, half = keys[order], half[order]
+            first = _first_of_runs(keys)
+            several = _several(half, first)
+            met = several[np.cumsum(first) - 1]
+            if met.any():
+                spread = int(keys[0] % np.uint64(parts))  # anywhere: these need no others
+                yield spread, 1, int(met.sum()), keys[met].tobytes() + half[met].tobytes()
+            keys, half = keys[first], half[first]
+            part = (keys % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            keys, half, several, part = keys[order], half[order], several[order], part[order]
+            starts = np.flatnonzero(_first_of_runs(part))
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(part)]):
+                data = keys[lo:hi].tobytes() + half[lo:hi].tobytes() + several[lo:hi].tobytes()
+                yield int(part[lo]), 0, hi - lo, data
+
+        n = 0
+        for batch in batches:
+            for half, keys in zip(*(c.to_pylist() for c in batch.columns)):
+                held.append(np.frombuffer(keys, np.uint64))
+                halves.append((half, len(held[-1])))
+                n += len(held[-1])
+                if n >= FLUSH_KEYS:
+                    yield from flush()
+                    held, halves, n = [], [], 0
+        if n:
+            yield from flush()
+
+    return rows
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """(bucket, half) of the keys of one part that several sets have."""
+    found = []
+    entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for kind, n, data in zip(*(table[c].to_pylist() for c in ("kind", "n", "data"))):
+        keys, half = np.frombuffer(data, np.int64, n), np.frombuffer(data, np.int64, n, 8 * n)
+        if kind:
+            found.append((keys, half))
+        else:
+            entries.append((keys, half, np.frombuffer(data, bool, n, 16 * n)))
+    if entries:
+        keys, half, flagged = (np.concatenate(x) for x in zip(*entries))
+        order = np.argsort(keys, kind="stable")
+        keys, half, flagged = keys[order], half[order], flagged[order]
+        first = _first_of_runs(keys)
+        several = _several(half, first) | np.logical_or.reduceat(flagged, np.flatnonzero(first))
+        met = several[np.cumsum(first) - 1]
+        found.append((keys[met], half[met]))
+    keys, half = (np.concatenate(x) for x in zip(*found))
+    return pa.table({"bucket": keys, "half": half})
 
 
 def join_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -181,14 +284,12 @@ def join_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
         described = staged(_described(rows, shingle, percent), "parity-rows")
         filled = described.where("key IS NOT NULL")
         # looked up by half of its hash: two sets with one half are candidates, no more
-        half = F.xxhash64("key")
-        classes = staged(filled.groupBy("key").agg(F.min("row").alias("cid")).withColumn("half", half), "parity-sets")
-        entries = filled.where("keys IS NOT NULL").select(half.alias("half"), F.explode("keys").alias("bucket"))
-        several = (
-            entries.groupBy("bucket").agg(F.min("half").alias("x"), F.max("half").alias("y"))
-            .where(F.col("x") != F.col("y")).select("bucket")
-        )
-        met = entries.join(several, "bucket", "left_semi").distinct()
+        classes = staged(filled.groupBy("key", "half").agg(F.min("row").alias("cid")), "parity-sets")
+        sent = filled.where("octet_length(keys) > 0")
+        total = (sent.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // 8
+        parts = max(shuffle_partitions(docs.sparkSession), -(-total // PART_KEYS))
+        packed = map_rows(sent.select("half", "keys"), _packed(parts), "part int, kind int, n int, data binary", flush=64)
+        met = packed.groupBy("part").applyInArrow(_met, "bucket long, half long").distinct()
         items = staged(met.join(classes.select("half", "cid"), "half").select("bucket", "cid"), "parity-items")
         wanted = items.select("cid").distinct().join(classes.select("cid", "key"), "cid")
         sketches = staged(

@@ -41,9 +41,9 @@ def test_against_brute_force(documents, rows):
 
 
 def test_in_buckets_dealt_into_blocks(documents, monkeypatch):
-    """Also with one wave only, so that most links are found across components."""
+    """Without waves, so that all links are found across components."""
     monkeypatch.setattr(linking, "LARGE", 4)
-    monkeypatch.setattr(linking, "WAVES", ((0,),))
+    monkeypatch.setattr(linking, "WAVES", ())
     passage = [f"p{i}" for i in range(60)]
     tails = [[f"q{k}-{i}" for i in range(12)] for k in range(10)]
     rows = list(enumerate(edited(passage + tail, n, n) for tail in tails for n in range(3)))
@@ -68,12 +68,14 @@ def test_pairs_at_the_threshold_share_a_part():
                 continue
             tried += 1
             missed += not set(parity.part_keys(a, bands).tolist()) & set(parity.part_keys(b, bands).tolist()) and len(a) + len(b) > 2 * shared
-            rows = parity.stack([parity.bit_sketch(a), parity.bit_sketch(b)])
-            assert np.bitwise_count(rows[0] ^ rows[1]).sum() <= len(a) + len(b) - 2 * shared
+            sketches = parity.BitSketches([parity.bit_sketch(a), parity.bit_sketch(b)], np.array([len(a), len(b)]), 85)
+            assert sketches.remote(np.array([0]), np.array([1]))[0] <= 1
     assert tried > 500 and missed == 0
 
 
-def test_merging_pairs_are_fewer_than_classes():
+@pytest.mark.parametrize("small", [96, 4])
+def test_merging_pairs_are_fewer_than_classes(monkeypatch, small):
+    monkeypatch.setattr(linking, "SMALL", small)
     like = parity.likeness(4, 85)
     r = np.random.default_rng(3)
     base = np.unique(r.integers(0, 1 << 63, 200, dtype=np.uint64))
