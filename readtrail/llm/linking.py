@@ -35,7 +35,7 @@ from readtrail.llm.components import components
 WAVES = ((0,), (1, 2))  # eighths of the buckets
 LARGE = 4096  # classes in a bucket beyond which it is dealt into blocks of half as many
 SMALL = 96  # classes in a bucket up to which all of its pairs are listed at once
-GROUP_BYTES = 64 << 20  # sketches that are compared in one task
+GROUP_BYTES = 16 << 20  # sketches that are compared in one task
 PAIRS = 1 << 20  # listed at once
 _ORDERS = (0x2545F4914F6CDD1D, 0x1B873593CC9E2D51)
 

@@ -39,7 +39,7 @@ PERCENT = 85
 BAND = 1.25  # how much larger the sizes of a band may be than those of the band below
 RARE = 1e-6  # share of sets that may have more than e empty parts
 FLUSH_KEYS = 1 << 20
-PART_KEYS = 4 << 20  # look-up keys that meet in one task
+PART_KEYS = 1 << 20  # look-up keys that meet in one task
 _GOLD = 0x9E3779B97F4A7C15
 _ZERO = np.zeros(1, np.int64)
 
