@@ -29,6 +29,9 @@ AS_OF = dt.date(2024, 1, 28)
 RUN_DATE = dt.date(2024, 1, 29)
 NIGHTS = (dt.date(2024, 1, 10), dt.date(2024, 1, 20), dt.date(2024, 1, 29))
 COHORT_RANGE = (dt.date(2024, 1, 3), dt.date(2024, 1, 26))
+BITMAP_RANGES = (
+    COHORT_RANGE, (dt.date(2024, 1, 10), dt.date(2024, 1, 17)), (dt.date(2021, 1, 1), dt.date(2024, 1, 31)),
+)
 COHORT_LANGUAGES = ["english", "french", "swahili", "zulu", None]
 SPEND_SHIFT_DAYS = 9617  # 1998-01-01 becomes 2024-05-01
 SPEND_RANGE = (dt.date(2024, 7, 1), dt.date(2026, 6, 30))

@@ -633,6 +633,7 @@ _QUERIES: dict[str, str] = {
       SELECT event_id, user_id, us AS event_timestamp, prev AS prev_us, secs AS seconds_since_last,
              fresh AS is_new_session FROM ({_sessions(3600)})""",
     "session_durations": _DURATIONS,
+    "session_durations_stream": _DURATIONS,
     "session_stats_cr": _STATS,
     "session_stats_unity": f"""
       SELECT user_id, count(*) AS engagement_event_count,
@@ -744,6 +745,31 @@ _QUERIES: dict[str, str] = {
 }
 
 
+def _ranged(number: int, first: str, last: str) -> str:
+    """The funnel by country of one range of days."""
+    where = (f"WHERE first_open BETWEEN DATE '{first}' AND DATE '{last}' "
+             "AND COALESCE(app_language, 'zulu') IN ('english', 'french', 'swahili', 'zulu')")
+    users = f"(SELECT * FROM clean_users {where} AND app = 'CR')"
+    reached = f"(SELECT * FROM clean_launch {where})"
+    return f"SELECT {number} AS range_no, * FROM ({_funnel(users, 'country', _LONG, 'cr_user_id', reached)})"
+
+
+_QUERIES |= {
+    "funnel_bitmaps": " UNION ALL ".join([
+        _ranged(0, "2024-01-03", "2024-01-26"), _ranged(1, "2024-01-10", "2024-01-17"),
+        _ranged(2, "2021-01-01", "2024-01-31"),
+    ]),
+    # read off one cube, but the same tables
+    "cube_country_map": _QUERIES["country_map"],
+    "cube_country_map_lr": _QUERIES["country_map_lr"],
+    "cube_top_language_percent": _QUERIES["report_top_language_percent"],
+    "cube_funnel_unity": _QUERIES["funnel_unity"],
+    "cube_funnel_all_apps": _QUERIES["funnel_all_apps"],
+    "cube_steps": _QUERIES["funnel_steps"],
+    "cube_tiles": _QUERIES["single_app_tiles"],
+}
+
+
 def _needed(sql: str) -> list[str]:
     """Names of the CTEs a statement uses, directly or not, in definition order."""
     found: set[str] = set()

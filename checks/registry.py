@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,14 +23,15 @@ from readtrail.functions.params import (
     param_str,
     url_param,
 )
-from readtrail.operators import activity, campaigns, cleaning, cohorts, funnel, launches
+from readtrail.operators import activity, bitmaps, campaigns, cleaning, cohorts, funnel, launches
 from readtrail.operators import learners, legacy, matching
 from readtrail.operators.cohorts import CohortFilter
-from readtrail.plans import incremental, reports
+from readtrail.plans import cube, incremental, reports
 from readtrail.sources import lists, spend
 from readtrail.sources.events import scan_events
 from readtrail.sources.snapshots import export_csv, export_run, load_latest_run, save_table, stage
 from readtrail.session import scratch_folder
+from readtrail.streaming import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -501,6 +503,20 @@ def session_stats_unity(spark, sf_dir):
     return activity.session_stats_unity(_stream(spark, sf_dir), "user_id", gap=WIDE_GAP)
 
 
+@query
+def session_durations_stream(spark, sf_dir):
+    """The stream of events in three arrivals, by time, each taken in as it comes."""
+    base = scratch_folder(spark, "stream")
+    rows = stage(_stream(spark, sf_dir).select("user_id", "event_timestamp"), f"{base}/rows")
+    cuts = [F.unix_micros(F.lit(day).cast("timestamp")) for day in A.NIGHTS[:2]]
+    ts = F.col("event_timestamp")
+    for arrived in (ts < cuts[0], (ts >= cuts[0]) & (ts < cuts[1]), ts >= cuts[1]):
+        rows.where(arrived).write.mode("append").parquet(f"{base}/log")
+        live = sessions.event_stream(spark, f"{base}/log", rows.schema)
+        sessions.take_available(live, "user_id", f"{base}/out", f"{base}/state", gap=WIDE_GAP)
+    return sessions.streamed_durations(spark, f"{base}/out", f"{base}/state", "user_id", "bigint")
+
+
 # --- cleaning ----------------------------------------------------------------------------
 
 
@@ -737,6 +753,67 @@ def combined_cohorts(spark, sf_dir):
     return users.unionByName(reached, allowMissingColumns=True)
 
 
+# --- reports from merged aggregates -----------------------------------------------------------
+
+
+@query
+def funnel_bitmaps(spark, sf_dir):
+    """Three cohorts of different days, each merged from the same daily sets."""
+    t = A.tables(spark, sf_dir)
+    base = scratch_folder(spark, "bitmaps")
+    columns = ["cr_user_id", "first_open", "country", "app_language"]
+    learners_ = t.progress.select(columns).unionByName(t.launches.select(columns))
+    codes = stage(bitmaps.learner_codes(learners_, "cr_user_id", f"{base}/order"), f"{base}/codes")
+    sets = bitmaps.funnel_bitmaps(t.progress, t.launches, codes)
+    sets = bitmaps.FunnelBitmaps(*[
+        stage(getattr(sets, name), f"{base}/{name}") for name in ("reached", "learners", "sums")
+    ])
+    parts = [
+        bitmaps.funnel_of_bitmaps(sets, CohortFilter(days, A.COHORT_LANGUAGES)).withColumn("range_no", F.lit(n))
+        for n, days in enumerate(A.BITMAP_RANGES)
+    ]
+    return _rounded(reduce(DataFrame.unionByName, parts), "GPP", "GPP_pct")
+
+
+def _cube(spark: SparkSession, sf_dir: str, app: str) -> cube.ReportCube:
+    return cube.report_cube(A.tables(spark, sf_dir), app, FILTER, scratch_folder(spark, "cube"))
+
+
+@query
+def cube_country_map(spark, sf_dir):
+    return _rounded(_cube(spark, sf_dir, "CR").map("LA"), "GPP", "GPP_pct")
+
+
+@query
+def cube_country_map_lr(spark, sf_dir):
+    return _cube(spark, sf_dir, "All").map("LR")
+
+
+@query
+def cube_top_language_percent(spark, sf_dir):
+    return _rounded(_cube(spark, sf_dir, "CR").top("LA", "app_language", percent=True), "GPP", "GPP_pct")
+
+
+@query
+def cube_funnel_unity(spark, sf_dir):
+    return _rounded(_cube(spark, sf_dir, "Unity").funnel(), "GPP", "GPP_pct")
+
+
+@query
+def cube_funnel_all_apps(spark, sf_dir):
+    return _rounded(_cube(spark, sf_dir, "All").funnel(), "GPP", "GPP_pct")
+
+
+@query
+def cube_steps(spark, sf_dir):
+    return _cube(spark, sf_dir, "CR").steps("large")
+
+
+@query
+def cube_tiles(spark, sf_dir):
+    return _cube(spark, sf_dir, "CR").tiles()
+
+
 # --- sinks, read back ------------------------------------------------------------------------
 
 

@@ -102,37 +102,48 @@ def funnel_by_group(
     steps = funnel_steps_of(app, min_funnel)
     later = [s for s in steps if s != "LR"]
     has_gpc = "gpc" in cohort_df.columns
+    folds, totals = learner_folds(later, has_gpc), learner_totals(later)
+    per_learner = _with_user_key(cohort_df.where(F.col(by).isNotNull()), key).groupBy(by, "_user").agg(*folds)
+    groups = per_learner.groupBy(by).agg(*totals)
+    if cohort_lr is not None and app_name(app) == "CR":
+        reached = _learners_per_group(cohort_lr.where(F.col(by).isNotNull()), by, key)
+        groups = groups.drop("LR").join(reached, by, "left").withColumn(
+            "LR", F.coalesce(F.col("LR"), F.lit(0))
+        )
+    return funnel_columns(groups, by, steps, has_gpc)
+
+
+def learner_folds(steps: list[str], has_gpc: bool = True) -> list[Column]:
+    """What the rows of one learner in one group add up to."""
     acquired = N.is_learner_acquired(F.col("max_user_level"))
     completed = N.is_game_completed(F.col("max_user_level"), F.col("gpc")) if has_gpc else F.lit(False)
     progress = F.col("gpc") if has_gpc else F.lit(None).cast("double")
+    return [
+        *[_step_count(s).alias(s) for s in steps],
+        F.count_if(acquired).alias("la_rows"),
+        F.sum(F.when(acquired, progress)).alias("gpc_sum"),
+        F.count(F.when(acquired, progress)).alias("gpc_rows"),
+        F.max(N.flag(acquired)).alias("is_la"),
+        F.max(N.flag(completed)).alias("is_complete"),
+    ]
 
-    per_learner = (
-        _with_user_key(cohort_df.where(F.col(by).isNotNull()), key)
-        .groupBy(by, "_user")
-        .agg(
-            *[_step_count(s).alias(s) for s in later],
-            F.count_if(acquired).alias("la_rows"),
-            F.sum(F.when(acquired, progress)).alias("gpc_sum"),
-            F.count(F.when(acquired, progress)).alias("gpc_rows"),
-            F.max(N.flag(acquired)).alias("is_la"),
-            F.max(N.flag(completed)).alias("is_complete"),
-        )
-    )
+
+def learner_totals(steps: list[str]) -> list[Column]:
+    """What the learners of a group, folded by :func:`learner_folds`, add up to."""
     known = F.col("_user").isNotNull()
-    groups = per_learner.groupBy(by).agg(
+    return [
         F.count("_user").alias("LR"),
-        *[F.sum(s).alias(s) for s in later],
+        *[F.sum(s).alias(s) for s in steps],
         *[F.sum(c).alias(c) for c in ("la_rows", "gpc_sum", "gpc_rows")],
         F.sum(F.when(known, F.col("is_la"))).alias("la_learners"),
         F.sum(F.when(known, F.col("is_complete"))).alias("complete_learners"),
-    )
-    if cohort_lr is not None and app_name(app) == "CR":
-        reached = _learners_per_group(cohort_lr.where(F.col(by).isNotNull()), by, key)
-        groups = groups.drop("LR").join(reached, by, "left").withColumn(
-            "LR", F.coalesce(F.col("LR"), F.lit(0))
-        )
-    groups = groups.where(reduce(lambda a, b: a | b, [F.col(s) > 0 for s in later]))
+    ]
+
 
+def funnel_columns(groups: DataFrame, by: str, steps: list[str], has_gpc: bool = True) -> DataFrame:
+    """Funnel table from totals per group; groups without any step after LR are left out."""
+    later = [s for s in steps if s != "LR"]
+    groups = groups.where(reduce(lambda a, b: a | b, [F.col(s) > 0 for s in later]))
     columns = [F.col(by)] + [F.col(s) for s in steps] + [F.lit(100.0).alias("LR_pct")]
     columns += [N.percent_of(F.col(s), F.col("LR")).alias(f"{s}_pct") for s in later]
     if has_gpc:
