@@ -72,8 +72,10 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sharded = shards.assign_shards(_table(spark, sf_dir, "documents"))
-    return sharded.select("doc_id", "n_bytes", "shard", "depth", "shard_bytes")
+    path = scratch_folder(spark, "shards")
+    sharded = shards.assign_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    shards.write_shards(sharded.select("doc_id", "text", "shard"), path)
+    return shards.read_shards(spark, path).select("doc_id", "n_bytes", "shard", "depth", "shard_bytes")
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readtrail.llm.common import staged, whole_text, with_positions
@@ -107,6 +107,20 @@ def write_shards(sharded: DataFrame, path: str) -> None:
     sharded.repartition("shard").write.partitionBy("shard").parquet(path)
 
 
+def read_shards(spark: SparkSession, path: str, columns: str = "doc_id long, text string") -> DataFrame:
+    """The rows of written shards, with what the files say of each: n_bytes, shard, depth, shard_bytes.
+
+    The columns must hold `text`.  The shard is the name of the folder that a row's file lies in.
+    """
+    rows = spark.read.schema(f"{columns}, shard string").parquet(path).withColumns({
+        "n_bytes": F.octet_length(whole_text()).cast("long"),
+        "shard": F.coalesce("shard", F.lit("")),  # the one shard of no bits has no name of its own
+    })
+    sizes = rows.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"))
+    depth = F.length(F.substring_index("shard", "-", 1)).alias("depth")
+    return rows.join(sizes, "shard").select("*", depth)
+
+
 def oracle_sql(limit: int = LIMIT_BYTES, deepest: int = 24) -> str:
     """DuckDB SQL of the same assignment, where no bucket needs more than `deepest` bits."""
     return f"""

@@ -60,6 +60,17 @@ def test_files_hold_one_shard_each(spark, documents, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 100
 
 
+def test_rows_read_back_from_files(spark, documents, odd, tmp_path):
+    cases = {"many": (documents(*[(i, "x" * 50) for i in range(100)]), 1000), "odd": (odd, 100), "one": (odd, 10**9),
+             "none": (odd.where("false"), 100)}
+    for name, (docs, limit) in cases.items():
+        want = shards.assign_shards(docs.select("doc_id", "text"), limit)
+        shards.write_shards(want.select("doc_id", "text", "shard"), str(tmp_path / name))
+        got = shards.read_shards(spark, str(tmp_path / name))
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+        check(got.collect(), max(limit, 15000))
+
+
 def test_sql_twin(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
