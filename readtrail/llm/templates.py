@@ -47,8 +47,12 @@ NAMES = frozenset(
     "commentlist respond disqus share sharing social related recommended breadcrumb breadcrumbs nav navbar "
     "navigation menu pagination pager login signup search widget widgets toolbar masthead".split()
 )
-#: first words of names that tell about the page's parts, as has-sidebar does
-ABOUT = frozenset("has have no not with without show hide hidden is".split())
+#: what may stand beside those words in a name; with any other word, the name says nothing
+PARTS = frozenset(
+    "list box form post posts link links button buttons btn bar area section wrap wrapper container inner outer block "
+    "item items header footer head foot title body content text top bottom left right slot unit zone panel group row "
+    "col column field icon icons media feed card cards grid layer message info page site wp js".split()
+)
 EDGES = frozenset("header footer site-header site-footer page-header page-footer global-header global-footer".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar".split())
 #: elements that end an open one of their kind, unless one of the second set lies between
@@ -60,6 +64,7 @@ SIBLINGS = {
     **dict.fromkeys(("option",), (frozenset(["option"]), frozenset(["select", "datalist"]))),
 }
 _name = re.compile(r"[a-z0-9]+")
+_unseen = re.compile(r"(^|;)\s*(display\s*:\s*none|visibility\s*:\s*hidden)")
 
 
 class Element:
@@ -90,6 +95,8 @@ def _is_other(tag: str, attributes: list[tuple[str, str | None]], within: bool)
             return True
         if key == "role" and value and value.lower() in ROLES:
             return True
+        if key == "style" and value and _unseen.search(value.lower()):
+            return True
     return False
 
 
@@ -106,7 +113,9 @@ def _mark(tag: str, attributes: list[tuple[str, str | None]], content: bool) ->
                 words = _name.findall(name)
                 if name in NAMES or name in EDGES:
                     mark = BY_NAME
-                elif not content and words and words[0] not in ABOUT and not NAMES.isdisjoint(words):
+                elif not content and not NAMES.isdisjoint(words) and all(
+                    w in NAMES or w in PARTS or not w.isalpha() for w in words
+                ):
                     mark = max(mark, IN_NAME)
     return mark
 
@@ -131,7 +140,7 @@ class Page(HTMLParser):
         self._unmark()
 
     def _unmark(self) -> None:
-        """Take the marks off what is or holds the article, then drop what is still marked.
+        """Take the marks off what is or holds the article, or most of its prose, then drop what is still marked.
 
         The article is the longest article or main element that no whole name drops, or
         else the longest of all.  A form that holds any is a page's frame.  Pages without
@@ -152,6 +161,11 @@ class Page(HTMLParser):
                 for element in path(content):
                     if element.marked == FORM:
                         element.marked = 0
+            for element in self.elements:
+                if element.marked:
+                    held = next((x for x in path(element.above) if x.content), None)
+                    if held and 2 * element.prose > held.prose:
+                        element.marked = 0
         else:
             total = sum(e.prose for e in self.elements if e.above is None)
             for element in self.elements:

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 from readtrail.llm import templates
 
 
@@ -79,6 +82,40 @@ def test_names_and_forms_do_not_drop_the_article(spark):
     assert got == {i: want for i in range(len(bodies))}
 
 
+def test_names_and_forms_within_the_article_do_not_drop_its_story(spark):
+    story = "<p>A main text that has a number of words in it</p><p>and ends here</p>"
+    bodies = [
+        f"<article><div class='elementor-widget-container'>{story}</div></article>",
+        f"<article><form>{story}</form></article>",
+        f"<article><h1>Head</h1><div class='entry related-to-x'>{story}</div></article>",
+        f"<article>{story}<section class='search-engine-history'><p>How engines came about</p></section></article>",
+        f"<article><div class='widget'><div id='content'>{story}</div></div><div class='widget'>Also</div></article>",
+        f"<article>{story}<div style='color:red; display: none'>unseen</div><div class='newsletter-box'><p>Mail me</p></div></article>",
+        f"<article>{story}<div class='ad-300x250'>Buy</div><ul class='wp-related-posts'><li><a href='/'>More</a></ul></article>",
+    ]
+    got = extracted(spark, [(i, f"http://h{i}.example.com/p", page(b)) for i, b in enumerate(bodies)])
+    text = "A main text that has a number of words in it\nand ends here"
+    assert got == {0: text, 1: text, 2: f"Head\n{text}", 3: f"{text}\nHow engines came about", 4: text, 5: text, 6: text}
+
+
+def test_counts_against_a_plain_dictionary(spark):
+    """Which boxes are template, by counting whole markup per host over different stories."""
+    r = random.Random(3)
+    boxes = [f"<div class='b{k}'><p>Box {k}</p><p>twice {k}</p></div>" for k in range(14)]
+    rows, counts = [], Counter()
+    for i in range(120):
+        host = f"h{i % 3}.example.com"
+        mine = [k for k in range(14) if r.random() < 0.01 * (k + 1)]
+        counts.update((host, k) for k in mine)
+        body = f"<article><p>A story that is told on page {i} alone</p>{''.join(boxes[k] for k in mine)}</article>"
+        rows.append((i, f"http://{host}/{i}", page(body), host, mine))
+    got = extracted(spark, [r[:3] for r in rows])
+    for i, _, _, host, mine in rows:
+        kept = [k for k in mine if counts[host, k] < templates.MANY_PAGES]
+        assert got[i] == "\n".join([f"A story that is told on page {i} alone", *[x for k in kept for x in (f"Box {k}", f"twice {k}")]])
+    assert 0 < sum(n < templates.MANY_PAGES for n in counts.values()) < len(counts)
+
+
 def test_template_on_a_small_share_of_a_host_goes(spark):
     advert = "<div><p>Advert {0}, one of many</p></div>"
     rows = [(i, "http://h.example.com/p", page(f"<p>It says <b>not</b> {i} on this page</p>{advert.format(i % 12)}")) for i in range(84)]
