@@ -5,38 +5,32 @@ permutation of the signature's places and one rank after the other; a place keep
 smallest rank.  Ranks of one element are correlated, which lowers the variance, and once
 every place has a rank of some level no later level can win, so the walk stops early.
 
-Texts with the same words are one class.  Classes that agree in a band meet in a bucket.
-Within a bucket one class at a time is paired with the others (no pairs of all with all)
-that are not of its component yet; signatures far below the threshold are dropped, the
-rest is confirmed on full sets.
-Buckets that still hold several components afterwards are finished: signatures are
-compared across components, all with all.  Larger buckets are dealt into blocks, and each
-pair of blocks is compared by itself, so nothing is left to chance beyond the bands.
+Texts with the same set are one class.  Classes that agree in a band meet in a bucket, and
+buckets are worked off as `linking.py` says: bands in waves, then all with all across
+components, each link confirmed on full sets.  Signatures far below the threshold are not
+confirmed (``sketched=False`` confirms them as well).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readtrail.llm.common import map_rows, mix64, per_worker, shuffle_partitions, staged, temporary_tables, whole_text
-from readtrail.llm.components import components
+from readtrail.llm.common import map_rows, mix64, per_worker, staged, temporary_tables, whole_text
+from readtrail.llm.linking import Likeness, Sketches, connect
+from readtrail.llm.repeats import numbered
 
 PLACES = 256
 BANDS = 32
 ROWS = 4  # places in a band
 SHINGLE = 4
 PERCENT = 80
-LARGE = 4096  # classes in a bucket beyond which it is compared in blocks of half as many
-DEPTHS = 6  # turns in which pairs of different blocks are compared; between them components merge
-GROUP_ITEMS = 200_000  # items of buckets that are compared in one task
 LEAST_AGREEMENT = 0.65  # of signature places; 5.9 standard deviations below likeness 0.8
-CENTERS = 3  # classes of a bucket that are paired with all others, one after the other
 LEVEL = np.uint64(56)  # bits of a rank below its level
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -107,203 +101,90 @@ def band_keys(signature: np.ndarray) -> list[int]:
     return key.view(np.int64).tolist()
 
 
-def _described(docs: DataFrame, shingle: int) -> DataFrame:
-    """Per row its class key (a hash of its words; null without words), set size, bands, signature."""
+class Signatures(Sketches):
+    """Low bytes of signatures; how many places agree says how alike two sets are."""
 
-    def rows(batches) -> Iterator[tuple]:
-        cut = shingler(shingle)
-        for batch in batches:
-            for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
-                words = word_list(text)
-                if not words:
-                    yield doc, None, 0, None, None
-                    continue
-                found = cut(words)
-                signature = super_minhash(found)
-                key = xxhash.xxh3_128_digest(b" ".join(words))
-                yield doc, key, len(found), band_keys(signature), mix64(signature).astype(np.uint8).tobytes()
-
-    source = docs.select("doc_id", whole_text().alias("text"))
-    return map_rows(source, rows, "doc_id long, key binary, n_shingles long, bands array<long>, signature binary")
+    def __init__(self, sketches: list[bytes], sizes: np.ndarray, sketched: bool = True) -> None:
+        super().__init__(sketches, sizes)
+        self.sketched = sketched
+        self.rows = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
 
+    def remote(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i))
+        if not self.sketched:
+            return out
+        step = max(1, (16 << 20) // self.rows.shape[1])
+        for k in range(0, len(i), step):
+            apart = (self.rows[i[k:k + step]] != self.rows[j[k:k + step]]).mean(axis=1)
+            out[k:k + step] = apart / (1 - LEAST_AGREEMENT)
+        return out
 
-def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose set sizes and signatures allow a link."""
-    side = lambda c: classes.select(
-        F.col("key").alias(c), F.col("n_shingles").alias(f"{c}_n"), F.col("signature").alias(f"{c}_s"),
-        F.col("doc_id").alias(f"{c}_doc"),
-    )
-    sized = pairs.join(side("b"), "b").join(side("a"), "a").where(
-        100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
-    )
 
-    def rows(batches) -> Iterator[tuple]:
-        for batch in batches:
-            a, b, s, t, doc_a, doc_b = (c.to_pylist() for c in batch.columns)
-            if not a:
-                continue
-            s, t = (np.frombuffer(b"".join(x), np.uint8).reshape(len(a), -1) for x in (s, t))
-            for i in np.flatnonzero((s == t).mean(axis=1) >= LEAST_AGREEMENT):
-                yield a[i], b[i], doc_a[i], doc_b[i]
+def likeness(shingle: int, percent: int, sketched: bool = True) -> Likeness:
+    def elements(text: str) -> np.ndarray | None:
+        words = word_list(text)
+        return shingler(shingle)(words) if words else None
 
-    return map_rows(
-        sized.select("a", "b", "a_s", "b_s", "a_doc", "b_doc"), rows,
-        "a binary, b binary, a_doc long, b_doc long",
-    )
+    return Likeness(partial(Signatures, sketched=sketched), elements, percent)
 
 
-def _across(marked: DataFrame, classes: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Pairs (a, b, a_doc, b_doc) of one bucket, but of two components, that may be linked.
+def _described(rows: DataFrame, shingle: int) -> DataFrame:
+    """Per row its set's hash (null without words) and size; bands and signature with a set's first row in a task."""
 
-    A task compares the signatures of whole buckets, or of two blocks of a large one, in
-    memory and gives out the few pairs that agree well enough.  Turn 0 takes blocks by
-    themselves, each other turn its share of the pairs of blocks.
-    """
-    described = classes.select("key", "n_shingles", "signature", "doc_id")
-    blocks = F.when(F.col("size") > LARGE, F.ceil(F.col("size") * 2 / LARGE)).otherwise(1).cast("int")
-    pair = F.least("block", "other"), F.greatest("block", "other")
-    paired = (
-        marked.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .where(F.when(F.col("block") == F.col("other"), 0).otherwise(1 + F.pmod(F.xxhash64(*pair), F.lit(DEPTHS))) == turn)
-        .select("key", "own", "block", F.xxhash64("bucket", *pair).alias("bucket"))
-    )
-    groups = max(shuffle_partitions(marked.sparkSession), -(-paired.count() // GROUP_ITEMS))
-    items = paired.join(described, "key").withColumn("part", F.pmod("bucket", F.lit(groups)))
-
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by("bucket")
-        bucket, size = table["bucket"].to_numpy(), table["n_shingles"].to_numpy()
-        block = table["block"].to_numpy()
-        keys, docs = table["key"].to_pylist(), table["doc_id"].to_pylist()
-        own = np.unique(np.array(table["own"].to_pylist(), dtype=object), return_inverse=True)[1]
-        signature = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(len(keys), -1)
-        found: set[tuple[int, int]] = set()
-        starts = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] - 1))
-        for lo, hi in zip(starts.tolist(), np.append(starts[1:], len(bucket)).tolist()):
-            for i in range(lo, hi - 1):
-                rest = slice(i + 1, hi)
-                fit = (own[rest] != own[i]) & (
-                    100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i])
-                )
-                if turn:  # two blocks
-                    fit &= block[rest] != block[i]
-                at = np.flatnonzero(fit) + i + 1
-                if len(at):
-                    agree = (signature[at] == signature[i]).sum(axis=1) >= LEAST_AGREEMENT * signature.shape[1]
-                    found.update((i, int(j)) for j in at[agree])
-        pairs = {tuple(sorted((keys[i], keys[j]))): (i, j) for i, j in found}
-        doc = {k: d for k, d in zip(keys, docs)}
-        return pa.table({
-            "a": pa.array([a for a, _ in pairs], pa.binary()), "b": pa.array([b for _, b in pairs], pa.binary()),
-            "a_doc": pa.array([doc[a] for a, _ in pairs], pa.int64()), "b_doc": pa.array([doc[b] for _, b in pairs], pa.int64()),
-        })
-
-    compared = items.groupBy("part").applyInArrow(compare, "a binary, b binary, a_doc long, b_doc long")
-    return compared.dropDuplicates(["a", "b"])
-
-
-def _links(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b, a_doc, b_doc) whose full sets reach the threshold."""
-    needed = pairs.select(F.col("a_doc").alias("doc_id")).union(pairs.select("b_doc")).distinct()
-    # a class without any id is found by its text alone
-    some = docs.select("doc_id", whole_text().alias("text"))
-    texts = some.join(needed.where("doc_id IS NOT NULL"), "doc_id", "left_semi").unionByName(some.where("doc_id IS NULL"))
-
-    def sets(batches) -> Iterator[tuple]:
+    def described(batches) -> Iterator[tuple]:
         cut = shingler(shingle)
+        seen: set[bytes] = set()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for row, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
                 words = word_list(text)
-                if words:
-                    yield xxhash.xxh3_128_digest(b" ".join(words)), cut(words).tobytes()
-
-    members = map_rows(texts.select("text"), sets, "key binary, members binary")
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    members = staged(members.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "shingle-sets")
-    side = lambda c: members.select(F.col("key").alias(c), F.col("members").alias(f"{c}_m"))
-    both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_m", "b_m")
+                if not words:
+                    yield row, doc, None, 0, None, None
+                    continue
+                found = cut(words)
+                key = xxhash.xxh3_128_digest(found.tobytes())
+                if key in seen:
+                    yield row, doc, key, len(found), None, None
+                    continue
+                if len(seen) >= 1 << 18:  # forgetting one only sends its set again
+                    seen.clear()
+                seen.add(key)
+                signature = super_minhash(found)
+                yield row, doc, key, len(found), band_keys(signature), mix64(signature).astype(np.uint8).tobytes()
 
-    def rows(batches) -> Iterator[tuple]:
-        for batch in batches:
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * shared >= percent * (len(x) + len(y) - shared):
-                    yield a, b
-
-    return map_rows(both, rows, "a binary, b binary")
-
-
-def _found_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes, enough to connect every group."""
-    links = tried = classes.select(F.col("key").alias("a"), F.col("key").alias("b")).where("false")
-
-    def confirm(pairs: DataFrame) -> None:
-        nonlocal links, tried
-        fresh = staged(pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        if not fresh.isEmpty():
-            links = staged(links.unionByName(_links(fresh, docs, shingle, percent)), "near-links")
-            tried = tried.unionByName(fresh.select("a", "b"))
-
-    def still_open(items: DataFrame) -> DataFrame:
-        """Items of buckets that hold several components, with their own and the bucket's size."""
-        labels = components(links).withColumnsRenamed({"node": "key", "label": "own"})
-        marked = items.join(labels, "key", "left").withColumn("own", F.coalesce("own", "key"))
-        several = (
-            marked.groupBy("bucket").agg(F.min("own").alias("x"), F.max("own").alias("y"), F.count("*").alias("size"))
-            .where(F.col("x") != F.col("y")).select("bucket", "size")
-        )
-        return staged(marked.join(several, "bucket"), "near-open")
-
-    items = classes.select("key", "n_shingles", F.explode("bands").alias("bucket"), F.col("key").alias("own"))
-    for turn in range(CENTERS):
-        center = F.min(F.struct(F.xxhash64("key", F.lit(turn)), "key", "own", "n_shingles"))
-        centers = items.groupBy("bucket").agg(center.alias("c"), F.count("*").alias("n")).where("n > 1")
-        sizes = F.col("n_shingles"), F.col("c.n_shingles")
-        met = items.join(centers, "bucket").where(
-            (F.col("own") != F.col("c.own")) & (100 * F.least(*sizes) >= percent * F.greatest(*sizes))
-        )
-        pairs = met.select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct()
-        before = links
-        confirm(_agreeing(pairs, classes, percent))
-        if turn and links is before:
-            break
-        items = still_open(items.select("key", "n_shingles", "bucket"))
-    for turn in range(DEPTHS + 1):
-        before = links
-        confirm(_across(items, classes, percent, turn))
-        items = items.where(F.col("size") > LARGE)
-        if items.isEmpty():
-            break
-        if links is not before:
-            items = still_open(items.select("key", "n_shingles", "bucket"))
-    return links
+    source = rows.select("_row", "doc_id", "text")
+    return map_rows(source, described, "row long, doc_id long, key binary, n long, bands array<long>, sketch binary")
 
 
-def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def near_groups(
+    docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, sketched: bool = True
+) -> DataFrame:
     """`doc_id`, `n_shingles`, `component_id` and `kept` of every row.
 
     Links join texts with 100 * intersection >= percent * union.  Null and empty texts and
-    texts without words have size 0 and are linked with nothing.  Rows of one text are one
+    texts without words have size 0 and are linked with nothing.  Rows of one set are one
     class whatever their ids; the component's id is the smallest of its rows, null only if
     all are null.  A row is kept if its id is the component's, so rows that repeat an id
     share its fate.  Other columns are not looked at.
     """
     with temporary_tables(docs.sparkSession) as kept:
-        rows = staged(_described(docs, shingle), "near-rows")
-        filled = rows.where("key IS NOT NULL")
+        rows = numbered(docs.select("doc_id", whole_text().alias("text")))
+        described = staged(_described(rows, shingle), "near-rows")
+        filled = described.where("key IS NOT NULL")
+        names = staged(filled.groupBy("key").agg(F.min("row").alias("cid")), "near-keys")
         classes = staged(
-            filled.groupBy("key").agg(
-                F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n_shingles"),
-                F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature"),
-            ), "near-classes",
+            filled.where("sketch IS NOT NULL").select("key", "n", "bands", "sketch").join(names, "key")
+            .dropDuplicates(["cid"]).select("cid", "n", "bands", "sketch"), "near-classes",
+        )
+        # the bands of a signature differ, so a class is in a bucket once
+        items = classes.select("cid", F.explode("bands").alias("bucket"))
+        texts = rows.select(F.col("_row").alias("cid"), "text")
+        labels = connect(items, classes.drop("bands"), texts, likeness(shingle, percent, sketched))
+        named = names.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select(
+            "key", F.coalesce("label", "cid").alias("label")
         )
-        labels = components(_found_links(docs, classes, shingle, percent)).withColumnRenamed("node", "key")
-        named = classes.select("key", "doc_id").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-        first = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-        owners = named.join(first, "label").select("key", "component_id")
-        linked = filled.join(owners, "key").select("doc_id", "n_shingles", "component_id")
-        alone = rows.where("key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        owned = filled.select("doc_id", "n", "key").join(named, "key")
+        first = owned.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+        linked = owned.join(first, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+        alone = described.where("key IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
         grouped = linked.unionByName(alone)
         return kept(grouped.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near-groups")

@@ -4,9 +4,11 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from readtrail.llm import neardup
+from readtrail.llm import components as C
+from readtrail.llm import linking, neardup
 from readtrail.llm.components import components
 
 
@@ -70,9 +72,9 @@ def test_against_brute_force(documents, rows):
     assert got == want
 
 
-def test_large_buckets_are_split_and_lose_nothing(documents, monkeypatch):
-    monkeypatch.setattr(neardup, "LARGE", 3)
-    monkeypatch.setattr(neardup, "DEPTHS", 2)
+def test_large_buckets_are_dealt_into_blocks_and_lose_nothing(documents, monkeypatch):
+    monkeypatch.setattr(linking, "LARGE", 3)
+    monkeypatch.setattr(linking, "WAVES", ())
     passage = [f"p{i}" for i in range(60)]
     tails = [[f"q{k}-{i}" for i in range(20)] for k in range(12)]
     rows = list(enumerate(edited(passage + tail, n, n) for tail in tails for n in range(3)))
@@ -80,28 +82,65 @@ def test_large_buckets_are_split_and_lose_nothing(documents, monkeypatch):
     assert got == brute(rows)
 
 
-def test_blocks_of_a_large_bucket_meet_in_every_pair(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "LARGE", 8)
-    # 65 classes of one bucket: every two agree on about 180 of 256 places, but in no run of places
-    # that further bands could rely on
-    r = np.random.default_rng(1)
+def alike(n, apart, seed):
+    """Signatures that agree with one base everywhere but in `apart` places, by chance."""
+    r = np.random.default_rng(seed)
     base = r.integers(0, 128, neardup.PLACES, dtype=np.uint8)
-    rows = []
-    for i in range(65):
+    out = []
+    for _ in range(n):
         signature = base.copy()
-        at = r.permutation(neardup.PLACES)[:38]
+        at = r.permutation(neardup.PLACES)[:apart]
         signature[at] = 128 + r.integers(0, 128, len(at), dtype=np.uint8)
-        rows.append((bytes([i]), 100, i, bytearray(signature.tobytes())))
-    classes = spark.createDataFrame(rows, "key binary, n_shingles long, doc_id long, signature binary")
-    marked = classes.selectExpr("key", "n_shingles", "1L AS bucket", "key AS own", "65L AS size")
-    met = [
-        (p.a_doc, p.b_doc) for turn in range(neardup.DEPTHS + 1)
-        for p in neardup._across(marked, classes, 80, turn).collect()
-    ]
-    s = np.array([list(x[3]) for x in rows])
-    least = neardup.LEAST_AGREEMENT * neardup.PLACES
-    want = {(i, j) for i in range(65) for j in range(i + 1, 65) if (s[i] == s[j]).sum() >= least}
-    assert len(met) == len(want) and set(met) == want and len(want) > 1000
+        out.append(signature)
+    return np.array(out)
+
+
+def met_pairs(spark, size, owner):
+    """All pairs of classes that meet when one bucket of this size is dealt."""
+    marked = spark.createDataFrame([(1, i, owner(i), size) for i in range(size)], "bucket long, cid long, own long, size long")
+    meetings = defaultdict(lambda: ([], []))
+    for m in linking._dealt(marked).collect():
+        meetings[m.meeting][m.side].append(m.cid)
+    out = []
+    for left, right in meetings.values():
+        pairs = [(a, b) for i, a in enumerate(left) for b in left[i + 1:]] if not right else [(a, b) for a in left for b in right]
+        out += [tuple(sorted(p)) for p in pairs if owner(p[0]) != owner(p[1])]
+    return out
+
+
+@pytest.mark.parametrize("owner", [lambda i: i, lambda i: i % 3, lambda i: min(i, 50), lambda i: 0 if i else 1])
+def test_blocks_of_a_large_bucket_meet_in_every_pair_across_components(spark, monkeypatch, owner):
+    monkeypatch.setattr(linking, "LARGE", 8)
+    met = met_pairs(spark, 65, owner)
+    want = {(i, j) for i in range(65) for j in range(i + 1, 65) if owner(i) != owner(j)}
+    assert len(met) == len(set(met)) and set(met) == want
+
+
+@pytest.mark.parametrize("small", [96, 8])
+def test_merging_connects_what_agrees(monkeypatch, small):
+    """The pairs given out join exactly the classes that chains of agreeing pairs join."""
+    monkeypatch.setattr(linking, "SMALL", small)
+    s = alike(65, 46, 1)
+    table = pa.table({
+        "meeting": pa.array([i % 2 for i in range(65)]), "side": pa.array([0] * 65, pa.int32()), "cid": pa.array(range(65)),
+        "own": pa.array(range(65)), "n": pa.array([100] * 65), "sketch": pa.array([x.tobytes() for x in s], pa.binary()),
+        "refused": pa.array([None] * 65, pa.list_(pa.int64())),
+    })
+    got = linking.merging_pairs(table, neardup.likeness(4, 80))
+    allowed = neardup.PLACES * (1 - neardup.LEAST_AGREEMENT)
+    want = [(i, j) for i in range(65) for j in range(i + 2, 65, 2) if (s[i] != s[j]).sum() <= allowed]
+    assert set(got) <= set(want)
+
+    def joined(pairs):
+        groups = {i: {i} for i in range(65)}
+        for i, j in pairs:
+            if groups[i] is not groups[j]:
+                groups[i] |= groups[j]
+                for k in groups[j]:
+                    groups[k] = groups[i]
+        return {frozenset(g) for g in groups.values()}
+
+    assert joined(got) == joined(want) and len(got) == 65 - len(joined(want))
 
 
 def test_signature_filter_loses_less_than_a_pair_in_ten_million():
@@ -147,7 +186,24 @@ def test_odd_rows(odd):
     assert neardup.near_groups(odd.where("false")).collect() == []
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("links", [500_000, 4])
+def test_components_of_a_long_path(spark, monkeypatch, links):
+    monkeypatch.setattr(C, "TASK_LINKS", links)
     path = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}") for i in range(20)] + [("x", "y")], "a string, b string")
     got = {r.node: r.label for r in components(path).collect()}
     assert got.pop("y") == got.pop("x") == "x" and set(got.values()) == {"000"} and len(got) == 21
+
+
+def test_recall_at_the_threshold(documents):
+    """Pairs of likeness 0.80 to 0.82, with and without the filter of signatures."""
+    rows = []
+    for k in range(90):
+        words = [f"v{k}x{i}" for i in range(203)]  # 200 shingles
+        kept = 181 + k % 3
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:kept], *[f"n{k}x{i}" for i in range(203 - kept)]]))]
+    sets = sets_of(rows, 4)
+    likeness = [len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) for k in range(90)]
+    assert min(likeness) >= 0.80 and max(likeness) < 0.82
+    for sketched in (True, False):
+        got = {x.doc_id: x.component_id for x in neardup.near_groups(documents(*rows), sketched=sketched).collect()}
+        assert all(got[2 * k + 1] == 2 * k for k in range(90))
