@@ -20,11 +20,26 @@ def keyed(df: DataFrame, key: str) -> DataFrame:
     """Add the columns KEY for ``key``.
 
     Plain equality on them is NULL-safe, and grouping by them leaves the rows where a join
-    on them wants them, which NULL-safe equality on the key itself would not.
+    on them wants them, which NULL-safe equality on the key itself would not.  A table that
+    was stored by this key has them already, under names of their own (:func:`stored_key`).
     """
-    return df.withColumns({
-        KEY[0]: F.coalesce(F.col(key).cast("string"), F.lit("")), KEY[1]: F.col(key).isNull(),
-    })
+    stored = stored_key(key)
+    if set(stored) <= set(df.columns):
+        return df.withColumns({k: F.col(s) for k, s in zip(KEY, stored)})
+    return df.withColumns(dict(zip(KEY, _never_null(key))))
+
+
+def _never_null(key: str) -> list[Column]:
+    return [F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(key).isNull()]
+
+
+def stored_key(key: str) -> list[str]:
+    """Columns by which a stored table is laid out for matches on ``key``."""
+    return [f"{key}__key", f"{key}__null"]
+
+
+def with_stored_key(df: DataFrame, key: str) -> DataFrame:
+    return df.withColumns(dict(zip(stored_key(key), _never_null(key))))
 
 
 def match_keys(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
@@ -34,7 +49,7 @@ def match_keys(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFra
 
 
 def _keys_of(df: DataFrame, key: str) -> DataFrame:
-    return keyed(df.select(key), key).select(*KEY).distinct()
+    return keyed(df, key).select(*KEY).distinct()
 
 
 def semi_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -56,11 +71,11 @@ def keyed_update(
     Only rows satisfying ``when`` change.  A row without a match keeps its value,
     or becomes NULL with ``unmatched_null``.
     """
-    update = other.select(key, F.col(column).alias("_new"), F.lit(True).alias("_matched"))
+    update = keyed(other, key).select(*KEY, F.col(column).alias("_new"), F.lit(True).alias("_matched"))
     change = F.lit(True) if when is None else F.coalesce(when, F.lit(False))
     if not unmatched_null:
         change = change & F.col("_matched").isNotNull()
-    joined = match_keys(df, update, key, "left")
+    joined = keyed(df, key).join(update, KEY, "left")
     value = F.when(change, F.col("_new")).otherwise(F.col(column))
     return joined.withColumn(column, value).select(*df.columns)
 
