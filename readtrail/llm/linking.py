@@ -13,9 +13,9 @@ them, whatever its size.
 *Across.*  What is still open, in all buckets, is compared all with all, but across
 components only.  A task holds whole buckets, merges components in order of likeness of
 their sketches, and gives out only the pairs that merged, less than one for each class.
-Pairs hidden behind a pair that full sets refuse come up in the next round, which looks at
-the components around refused pairs alone; the work ends when no pair is refused.  A bucket
-that is too large for a task is dealt into blocks; large components get blocks of their own,
+Pairs may be hidden behind a pair that full sets refuse.  Further rounds look at the components
+around refused pairs alone, and there every class asks for its nearest class of another
+component; the work ends when no class has one left to ask for.  A bucket that is too large for a task is dealt into blocks; large components get blocks of their own,
 and only pairs of blocks that hold different components meet.
 """
 
@@ -184,30 +184,83 @@ def _blocks_of_meetings(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def merging_pairs(table: pa.Table, like: Likeness) -> list[tuple[int, int]]:
-    """The pairs that merge components of the buckets or block pairs of one task.
+class _Nearest:
+    """Per class the nearest class of another component that it was paired with."""
 
+    def __init__(self, n: int) -> None:
+        self.far, self.other = np.full(n, np.inf), np.full(n, -1)
+
+    def note(self, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> None:
+        order = np.argsort(far, kind="stable")
+        far = far[order]
+        for x, y in ((a[order], b[order]), (b[order], a[order])):
+            own, first = np.unique(x, return_index=True)
+            first = first[far[first] < self.far[own]]
+            self.far[x[first]], self.other[x[first]] = far[first], y[first]
+
+    def note_row(self, a: int, b: np.ndarray, far: np.ndarray) -> None:
+        """The same for pairs of one class with distinct others."""
+        if len(b):
+            first = int(np.argmin(far))
+            if far[first] < self.far[a]:
+                self.far[a], self.other[a] = far[first], b[first]
+            closer = far < self.far[b]
+            self.far[b[closer]], self.other[b[closer]] = far[closer], a
+
+    def pairs(self) -> set[tuple[int, int]]:
+        at = np.flatnonzero(self.other >= 0)
+        return {(min(p), max(p)) for p in zip(at.tolist(), self.other[at].tolist())}
+
+
+def pairs_to_ask(table: pa.Table, like: Likeness, each: bool = False) -> list[tuple[int, int]]:
+    """Pairs of the buckets or block pairs of one task whose sketches agree, across components.
+
+    Those that merge components, nearest first; or, with ``each``, every class's nearest.
     Columns: meeting, side, cid, own, n, sketch, refused (classes that full sets refused).
     """
     table = table.sort_by([("meeting", "ascending"), ("cid", "ascending")])
     meeting, side, cid, size = (table[c].to_numpy() for c in ("meeting", "side", "cid", "n"))
     owners, own = np.unique(table["own"].to_numpy(), return_inverse=True)
-    refused = {(int(c), r) for c, rs in zip(cid, table["refused"].to_pylist()) if rs for r in rs}
     # a class is there once for each of its buckets; its sketch is needed once
     classes, place, row = np.unique(cid, return_index=True, return_inverse=True)
     sketches = like.sketches(table["sketch"].take(pa.array(place)).to_pylist(), size[place])
+    listed = [(k, r) for k, rs in enumerate(table["refused"].take(pa.array(place)).to_pylist()) if rs for r in rs]
+    by, against = np.array(listed, np.int64).reshape(-1, 2).T
+    there = np.minimum(np.searchsorted(classes, against), len(classes) - 1)
+    refused_codes = (by * len(classes) + there)[classes[there] == against]
     merged = list(range(len(owners)))
-    found: list[tuple[int, int]] = []
+    found: set[tuple[int, int]] = set()
+    nearest = _Nearest(len(classes))
 
     def merge(i: int, j: int) -> None:
         a, b = _root(merged, int(own[i])), _root(merged, int(own[j]))
-        if a != b and (int(cid[i]), int(cid[j])) not in refused:
-            found.append((int(cid[i]), int(cid[j])))
+        if a != b:
+            found.add((int(row[i]), int(row[j])))
             merged[max(a, b)] = min(a, b)
 
-    def possible(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def merge_all(i: np.ndarray, j: np.ndarray, far: np.ndarray) -> None:
+        """Merge by growing chunks, nearest first; what earlier ones joined is left out of later ones."""
+        order = np.argsort(far, kind="stable")
+        lo, step = 0, 4096
+        while lo < len(order):
+            at = order[lo:lo + step]
+            label = np.array(merged)
+            while (label[label] != label).any():
+                label = label[label]
+            for k in at[label[own[i[at]]] != label[own[j[at]]]].tolist():
+                merge(i[k], j[k])
+            lo, step = lo + step, 2 * step
+
+    def agreeing(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pairs of items those that may be asked for, and how far they are apart."""
         fit = (own[i] != own[j]) & ((side[i] != side[j]) | ~two_sided[i])
-        return fit & (100 * np.minimum(size[i], size[j]) >= like.percent * np.maximum(size[i], size[j]))
+        fit &= 100 * np.minimum(size[i], size[j]) >= like.percent * np.maximum(size[i], size[j])
+        i, j = i[fit], j[fit]
+        far = sketches.remote(row[i], row[j])
+        near = np.flatnonzero(far <= 1)
+        if len(near) and len(refused_codes):
+            near = near[~np.isin(row[i[near]] * len(classes) + row[j[near]], refused_codes)]
+        return i[near], j[near], far[near]
 
     starts = np.flatnonzero(np.diff(meeting, prepend=meeting[:1] - 1))
     sizes = np.diff(np.append(starts, len(meeting)))
@@ -220,39 +273,39 @@ def merging_pairs(table: pa.Table, like: Likeness) -> list[tuple[int, int]]:
             wide = own_sizes > step
             left = own_sizes[wide] - step
             i = np.repeat(own_starts[wide] - np.append(0, np.cumsum(left)[:-1]), left) + np.arange(left.sum())
-            fit = possible(i, i + step)
-            firsts.append(i[fit])
-            seconds.append(i[fit] + step)
+            firsts.append(i)
+            seconds.append(i + step)
         if not firsts:
             continue
         i, j = np.concatenate(firsts), np.concatenate(seconds)
-        _, once = np.unique(row[i] * len(classes) + row[j], return_index=True)
-        i, j = i[once], j[once]
-        far = sketches.remote(row[i], row[j])
-        near = np.flatnonzero(far <= 1)
-        for k in near[np.argsort(far[near], kind="stable")].tolist():
-            merge(i[k], j[k])
+        _, once = np.unique(row[i] * len(classes) + row[j], return_index=True)  # of several buckets
+        i, j, far = agreeing(i[once], j[once])
+        if each:
+            nearest.note(row[i], row[j], far)
+            continue
+        merge_all(i, j, far)
     for lo, m in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-        later: list[tuple[float, int, int]] = []
+        later: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         here = np.array([_root(merged, o) for o in own[lo:lo + m].tolist()])
-        for i in range(lo, lo + m - 1):
-            j = np.arange(i + 1, lo + m)
-            j = j[(here[j - lo] != here[i - lo])]
-            j = j[possible(np.full(len(j), i), j)]
-            if not len(j):
+        for k in range(m - 1):
+            apart = np.flatnonzero(here[k + 1:] != here[k]) + k + 1
+            i, j, far = agreeing(np.full(len(apart), lo + k), lo + apart)
+            if each:
+                nearest.note_row(int(row[lo + k]), row[j], far)
                 continue
-            far = sketches.remote(np.full(len(j), row[i]), row[j])
-            for k in np.flatnonzero(far <= 0.5).tolist():
-                merge(i, int(j[k]))
-                here[here == here[j[k] - lo]] = here[i - lo] if _root(merged, int(own[j[k]])) == _root(merged, int(own[i])) else here[j[k] - lo]
-            between = np.flatnonzero((far > 0.5) & (far <= 1))
-            later += zip(far[between].tolist(), [i] * len(between), j[between].tolist())
-        for _, i, j in sorted(later):
-            merge(i, j)
-    return found
-
-
-def _across(marked: DataFrame, classes: DataFrame, refused: DataFrame, like: Likeness) -> DataFrame:
+            close = far <= 0.5
+            for x in j[close].tolist():
+                merge(lo + k, x)
+                low, high = sorted((here[k], here[x - lo]))
+                here[here == high] = low
+            later.append((far[~close], i[~close], j[~close]))
+        if later:
+            far, i, j = (np.concatenate(x) for x in zip(*later))
+            merge_all(i, j, far)
+    return [(int(classes[x]), int(classes[y])) for x, y in sorted(nearest.pairs() if each else found)]
+
+
+def _across(marked: DataFrame, classes: DataFrame, refused: DataFrame, like: Likeness, each: bool) -> DataFrame:
     """Fresh pairs (a, b) across components, of all open buckets."""
     dealt = staged(_dealt(marked).join(classes, "cid"), "met")
     spread = dealt.agg(F.sum(F.octet_length("sketch") + 64)).first()[0] or 0
@@ -264,7 +317,7 @@ def _across(marked: DataFrame, classes: DataFrame, refused: DataFrame, like: Lik
     items = dealt.join(no, "cid", "left").withColumn("part", F.pmod("meeting", F.lit(groups)))
 
     def compare(table: pa.Table) -> pa.Table:
-        pairs = merging_pairs(table, like)
+        pairs = pairs_to_ask(table, like, each)
         return pa.table({k: pa.array([p[i] for p in pairs], pa.int64()) for i, k in enumerate("ab")})
 
     compared = items.groupBy("part").applyInArrow(compare, "a long, b long")
@@ -288,12 +341,13 @@ def connect(items: DataFrame, classes: DataFrame, texts: DataFrame, like: Likene
     texts    cid, text; one text of every class, others may be there too
     """
     items = staged(_once(items), "items")
+    tables = shuffle_partitions(items.sparkSession)
     links = items.select(F.col("cid").alias("a"), F.col("cid").alias("b")).where("false")
     refused = links
     labels = components(links)
 
-    def ask(pairs: DataFrame, sketched: bool) -> DataFrame | None:
-        """Confirm pairs; those that were refused now, None if there was no pair to ask for."""
+    def ask(pairs: DataFrame, sketched: bool) -> tuple[DataFrame, DataFrame] | None:
+        """Confirm pairs; those asked for and those refused now, None if there was no pair to ask for."""
         nonlocal links, refused, labels
         fresh = staged(pairs.join(refused, ["a", "b"], "left_anti"), "pairs")
         if fresh.isEmpty():
@@ -302,12 +356,12 @@ def connect(items: DataFrame, classes: DataFrame, texts: DataFrame, like: Likene
         judged = staged(_judged(agreeing, texts, like), "judged")
         linked = judged.where("linked").select("a", "b")
         if not linked.isEmpty():
-            links = links.unionByName(linked)
+            links = staged(links.unionByName(linked).coalesce(tables), "links")
             labels = components(links)
         # a pair whose sketches exclude a link counts as refused too
-        now = fresh.join(linked, ["a", "b"], "left_anti")
-        refused = refused.unionByName(now)
-        return now
+        now = staged(fresh.join(linked, ["a", "b"], "left_anti").coalesce(tables), "refused")
+        refused = staged(refused.unionByName(now).coalesce(tables), "refused")
+        return fresh, now
 
     eighth = F.pmod(F.xxhash64("bucket"), F.lit(8))
     for turn, share in enumerate(WAVES):
@@ -315,13 +369,19 @@ def connect(items: DataFrame, classes: DataFrame, texts: DataFrame, like: Likene
         if not marked.isEmpty():
             ask(_centre_pairs(marked, turn), False)
     open_items = staged(_marked(items, labels), "open")
-    while not open_items.isEmpty():
-        now = ask(_across(open_items, classes, refused, like), True)
-        if now is None or now.isEmpty():
+    asked = None if open_items.isEmpty() else ask(_across(open_items, classes, refused, like, False), True)
+    if asked is None or asked[1].isEmpty():
+        return labels
+    # only pairs within what would have merged with the refused pairs were passed over
+    now = asked[1]
+    wide = components(links.unionByName(now))
+    doubtful = wide.join(now.select(F.col("a").alias("node")), "node", "left_semi").select("label").distinct()
+    left = wide.join(doubtful, "label", "left_semi").select(F.col("node").alias("cid"))
+    while True:
+        open_items = staged(_marked(open_items.select("bucket", "cid").join(left, "cid", "left_semi"), labels), "open")
+        asked = None if open_items.isEmpty() else ask(_across(open_items, classes, refused, like, True), True)
+        if asked is None:
             break
-        # only pairs within what would have merged with the refused pairs were passed over
-        wide = components(links.unionByName(now))
-        doubtful = wide.join(now.select(F.col("a").alias("node")), "node", "left_semi").select("label").distinct()
-        around = wide.join(doubtful, "label", "left_semi").select(F.col("node").alias("cid"))
-        open_items = staged(_marked(open_items.select("bucket", "cid").join(around, "cid", "left_semi"), labels), "open")
+        # a class that had no pair to ask for will not have one later either
+        left = asked[0].select(F.col("a").alias("cid")).union(asked[0].select("b")).distinct()
     return labels

@@ -126,7 +126,7 @@ def test_merging_connects_what_agrees(monkeypatch, small):
         "own": pa.array(range(65)), "n": pa.array([100] * 65), "sketch": pa.array([x.tobytes() for x in s], pa.binary()),
         "refused": pa.array([None] * 65, pa.list_(pa.int64())),
     })
-    got = linking.merging_pairs(table, neardup.likeness(4, 80))
+    got = linking.pairs_to_ask(table, neardup.likeness(4, 80))
     allowed = neardup.PLACES * (1 - neardup.LEAST_AGREEMENT)
     want = [(i, j) for i in range(65) for j in range(i + 2, 65, 2) if (s[i] != s[j]).sum() <= allowed]
     assert set(got) <= set(want)

@@ -85,7 +85,7 @@ def test_merging_pairs_are_fewer_than_classes(monkeypatch, small):
         "n": pa.array([len(s) for s in sets]), "sketch": pa.array([parity.bit_sketch(s) for s in sets], pa.binary()),
         "refused": pa.array([[1, 2]] + [None] * 39, pa.list_(pa.int64())),
     })
-    pairs = linking.merging_pairs(table, like)
+    pairs = linking.pairs_to_ask(table, like)
     assert len(pairs) == 39 and not {(0, 1), (0, 2)} & set(pairs)
 
 
