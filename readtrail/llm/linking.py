@@ -286,8 +286,13 @@ def pairs_to_ask(table: pa.Table, like: Likeness, each: bool = False) -> list[tu
         merge_all(i, j, far)
     for lo, m in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
         later: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        here = np.array([_root(merged, o) for o in own[lo:lo + m].tolist()])
+        waiting = 0
         for k in range(m - 1):
+            if k == 0 or waiting > PAIRS:
+                if later:
+                    merge_all(*(np.concatenate(x) for x in zip(*later)))
+                later, waiting = [], 0
+                here = np.array([_root(merged, o) for o in own[lo:lo + m].tolist()])
             apart = np.flatnonzero(here[k + 1:] != here[k]) + k + 1
             i, j, far = agreeing(np.full(len(apart), lo + k), lo + apart)
             if each:
@@ -298,10 +303,10 @@ def pairs_to_ask(table: pa.Table, like: Likeness, each: bool = False) -> list[tu
                 merge(lo + k, x)
                 low, high = sorted((here[k], here[x - lo]))
                 here[here == high] = low
-            later.append((far[~close], i[~close], j[~close]))
+            later.append((i[~close], j[~close], far[~close]))
+            waiting += len(later[-1][0])
         if later:
-            far, i, j = (np.concatenate(x) for x in zip(*later))
-            merge_all(i, j, far)
+            merge_all(*(np.concatenate(x) for x in zip(*later)))
     return [(int(classes[x]), int(classes[y])) for x, y in sorted(nearest.pairs() if each else found)]
 
 
