@@ -296,6 +296,18 @@ _CTES: dict[str, str] = {
       SELECT cr_user_id, country, app_language, furthest_event, max_user_level, gpc FROM co
       UNION ALL
       SELECT NULL, country, app_language, furthest_event, max_user_level, gpc FROM co_unity""",
+    # --- options
+    "co_any": """
+      SELECT COALESCE(cr_user_id, user_pseudo_id) AS any_id, country, app_language, furthest_event,
+             max_user_level, gpc FROM co
+      UNION ALL
+      SELECT user_pseudo_id, country, app_language, furthest_event, max_user_level, gpc FROM co_unity""",
+    "added_strict": """
+      SELECT m.*, 1 AS turn FROM marked m
+      WHERE dup AND EXISTS (SELECT 1 FROM best b WHERE b.cr_user_id = m.cr_user_id
+        AND b.app_language = m.app_language AND b.country IS NOT DISTINCT FROM m.country)
+      UNION ALL
+      SELECT * FROM added WHERE turn = 2""",
     # --- advertising
     "ord": """
       SELECT o_orderkey, o_orderstatus, o_totalprice, o_custkey % 50 AS c,
@@ -335,6 +347,16 @@ _CTES: dict[str, str] = {
             FROM (SELECT * FROM goog UNION ALL SELECT * FROM fb))""",
 }
 
+_CTES["clean_launch_strict"] = re.sub(r"\badded\b", "added_strict", _CTES["clean_launch"])
+# legacy events counted once each, instead of once for every parameter
+_ONCE = ["old_params", "old_ev", "old_stats", "skips", "old_progress"]
+for _name in _ONCE:
+    _CTES[f"{_name}_once"] = re.sub(rf"\b({'|'.join(_ONCE)})\b", r"\1_once", _CTES[_name])
+_CTES["old_params_once"] = """
+      SELECT *, 'action' AS param_key, action AS param_text FROM old WHERE action IS NOT NULL
+      UNION ALL
+      SELECT *, NULL, NULL FROM old WHERE action IS NULL"""
+
 _ROLL_COLUMNS = [
     "campaign_name", "campaign_start_date", "campaign_end_date", "source", "country", "app_language",
 ]
@@ -755,6 +777,11 @@ def _ranged(number: int, first: str, last: str) -> str:
 
 
 _QUERIES |= {
+    "app_versions_numeric": """
+      SELECT 'All' AS app_version UNION ALL SELECT DISTINCT 'v1.0.' || k FROM src WHERE k >= 25""",
+    "funnel_all_apps_coalesce": _funnel("co_any", "country", _SHORT, "any_id"),
+    "unity_user_progress_dedupe": "SELECT * FROM old_progress_once",
+    "single_language_launch_strict": "SELECT * FROM clean_launch_strict",
     "funnel_bitmaps": " UNION ALL ".join([
         _ranged(0, "2024-01-03", "2024-01-26"), _ranged(1, "2024-01-10", "2024-01-17"),
         _ranged(2, "2021-01-01", "2024-01-31"),

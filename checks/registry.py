@@ -753,6 +753,35 @@ def combined_cohorts(spark, sf_dir):
     return users.unionByName(reached, allowMissingColumns=True)
 
 
+# --- options -----------------------------------------------------------------------------------
+
+
+@query
+def app_versions_numeric(spark, sf_dir):
+    return lists.app_version_list(A.app_versions(spark, sf_dir), numeric=True)
+
+
+@query
+def funnel_all_apps_coalesce(spark, sf_dir):
+    users, reached = cohorts.combined_cohorts(A.tables(spark, sf_dir), FILTER)
+    table = funnel.funnel_by_group(users, reached, "country", "All", user_key="coalesce")
+    return _rounded(table, "GPP", "GPP_pct")
+
+
+@query
+def unity_user_progress_dedupe(spark, sf_dir):
+    return legacy.build_unity_user_progress(
+        A.legacy_log(spark, sf_dir), A.languages(spark), A.PROFILE, A.AS_OF,
+        staging=scratch_folder(spark, "legacy-events"), dedupe_events=True,
+    )
+
+
+@query
+def single_language_launch_strict(spark, sf_dir):
+    raw = A.raw_tables(spark, sf_dir)
+    return _plain_launches(cleaning.single_language_launch(raw.launches, raw.progress, strict_match=True))
+
+
 # --- reports from merged aggregates -----------------------------------------------------------
 
 
