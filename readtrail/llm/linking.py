@@ -14,8 +14,8 @@ them, whatever its size.
 components only.  A task holds whole buckets, merges components in order of likeness of
 their sketches, and gives out only the pairs that merged, less than one for each class.
 Pairs may be hidden behind a pair that full sets refuse.  Further rounds look at the components
-around refused pairs alone, and there every class asks for its nearest class of another
-component; the work ends when no class has one left to ask for.  A bucket that is too large for a task is dealt into blocks; large components get blocks of their own,
+around refused pairs alone: there every class asks for its nearest class of another
+component, twice, and what then still has one to ask for asks for all of them.  A bucket that is too large for a task is dealt into blocks; large components get blocks of their own,
 and only pairs of blocks that hold different components meet.
 """
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ LARGE = 4096  # classes in a bucket beyond which it is dealt into blocks of half
 SMALL = 96  # classes in a bucket up to which all of its pairs are listed at once
 GROUP_BYTES = 16 << 20  # sketches that are compared in one task
 PAIRS = 1 << 20  # listed at once
+MERGING, NEAREST, ALL = "merging", "nearest", "all"  # which agreeing pairs a round asks for
 _ORDERS = (0x2545F4914F6CDD1D, 0x1B873593CC9E2D51)
 
 
@@ -212,10 +214,10 @@ class _Nearest:
         return {(min(p), max(p)) for p in zip(at.tolist(), self.other[at].tolist())}
 
 
-def pairs_to_ask(table: pa.Table, like: Likeness, each: bool = False) -> list[tuple[int, int]]:
+def pairs_to_ask(table: pa.Table, like: Likeness, mode: str = MERGING) -> list[tuple[int, int]]:
     """Pairs of the buckets or block pairs of one task whose sketches agree, across components.
 
-    Those that merge components, nearest first; or, with ``each``, every class's nearest.
+    MERGING gives those that merge components, nearest first, NEAREST every class's nearest.
     Columns: meeting, side, cid, own, n, sketch, refused (classes that full sets refused).
     """
     table = table.sort_by([("meeting", "ascending"), ("cid", "ascending")])
@@ -231,6 +233,7 @@ def pairs_to_ask(table: pa.Table, like: Likeness, each: bool = False) -> list[tu
     merged = list(range(len(owners)))
     found: set[tuple[int, int]] = set()
     nearest = _Nearest(len(classes))
+    codes: list[np.ndarray] = []
 
     def merge(i: int, j: int) -> None:
         a, b = _root(merged, int(own[i])), _root(merged, int(own[j]))
@@ -280,10 +283,12 @@ def pairs_to_ask(table: pa.Table, like: Likeness, each: bool = False) -> list[tu
         i, j = np.concatenate(firsts), np.concatenate(seconds)
         _, once = np.unique(row[i] * len(classes) + row[j], return_index=True)  # of several buckets
         i, j, far = agreeing(i[once], j[once])
-        if each:
+        if mode == MERGING:
+            merge_all(i, j, far)
+        elif mode == NEAREST:
             nearest.note(row[i], row[j], far)
-            continue
-        merge_all(i, j, far)
+        else:
+            codes.append(row[i] * len(classes) + row[j])
     for lo, m in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
         later: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         waiting = 0
@@ -295,8 +300,10 @@ def pairs_to_ask(table: pa.Table, like: Likeness, each: bool = False) -> list[tu
                 here = np.array([_root(merged, o) for o in own[lo:lo + m].tolist()])
             apart = np.flatnonzero(here[k + 1:] != here[k]) + k + 1
             i, j, far = agreeing(np.full(len(apart), lo + k), lo + apart)
-            if each:
+            if mode != MERGING:
                 nearest.note_row(int(row[lo + k]), row[j], far)
+                if mode == ALL:
+                    codes.append(row[i] * len(classes) + row[j])
                 continue
             close = far <= 0.5
             for x in j[close].tolist():
@@ -307,10 +314,14 @@ def pairs_to_ask(table: pa.Table, like: Likeness, each: bool = False) -> list[tu
             waiting += len(later[-1][0])
         if later:
             merge_all(*(np.concatenate(x) for x in zip(*later)))
-    return [(int(classes[x]), int(classes[y])) for x, y in sorted(nearest.pairs() if each else found)]
+    if mode == NEAREST:
+        found = nearest.pairs()
+    elif mode == ALL:
+        found = {divmod(c, len(classes)) for c in np.unique(np.concatenate([np.zeros(0, np.int64), *codes])).tolist()}
+    return [(int(classes[x]), int(classes[y])) for x, y in sorted(found)]
 
 
-def _across(marked: DataFrame, classes: DataFrame, refused: DataFrame, like: Likeness, each: bool) -> DataFrame:
+def _across(marked: DataFrame, classes: DataFrame, refused: DataFrame, like: Likeness, mode: str) -> DataFrame:
     """Fresh pairs (a, b) across components, of all open buckets."""
     dealt = staged(_dealt(marked).join(classes, "cid"), "met")
     spread = dealt.agg(F.sum(F.octet_length("sketch") + 64)).first()[0] or 0
@@ -322,7 +333,7 @@ def _across(marked: DataFrame, classes: DataFrame, refused: DataFrame, like: Lik
     items = dealt.join(no, "cid", "left").withColumn("part", F.pmod("meeting", F.lit(groups)))
 
     def compare(table: pa.Table) -> pa.Table:
-        pairs = pairs_to_ask(table, like, each)
+        pairs = pairs_to_ask(table, like, mode)
         return pa.table({k: pa.array([p[i] for p in pairs], pa.int64()) for i, k in enumerate("ab")})
 
     compared = items.groupBy("part").applyInArrow(compare, "a long, b long")
@@ -374,7 +385,7 @@ def connect(items: DataFrame, classes: DataFrame, texts: DataFrame, like: Likene
         if not marked.isEmpty():
             ask(_centre_pairs(marked, turn), False)
     open_items = staged(_marked(items, labels), "open")
-    asked = None if open_items.isEmpty() else ask(_across(open_items, classes, refused, like, False), True)
+    asked = None if open_items.isEmpty() else ask(_across(open_items, classes, refused, like, MERGING), True)
     if asked is None or asked[1].isEmpty():
         return labels
     # only pairs within what would have merged with the refused pairs were passed over
@@ -382,9 +393,9 @@ def connect(items: DataFrame, classes: DataFrame, texts: DataFrame, like: Likene
     wide = components(links.unionByName(now))
     doubtful = wide.join(now.select(F.col("a").alias("node")), "node", "left_semi").select("label").distinct()
     left = wide.join(doubtful, "label", "left_semi").select(F.col("node").alias("cid"))
-    while True:
+    for mode in chain((NEAREST, NEAREST), repeat(ALL)):
         open_items = staged(_marked(open_items.select("bucket", "cid").join(left, "cid", "left_semi"), labels), "open")
-        asked = None if open_items.isEmpty() else ask(_across(open_items, classes, refused, like, True), True)
+        asked = None if open_items.isEmpty() else ask(_across(open_items, classes, refused, like, mode), True)
         if asked is None:
             break
         # a class that had no pair to ask for will not have one later either

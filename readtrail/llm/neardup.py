@@ -7,63 +7,33 @@ every place has a rank of some level no later level can win, so the walk stops e
 
 Texts with the same set are one class.  Classes that agree in a band meet in a bucket, and
 buckets are worked off as `linking.py` says: bands in waves, then all with all across
-components, each link confirmed on full sets.  Signatures far below the threshold are not
-confirmed (``sketched=False`` confirms them as well).
+components, each link confirmed on full sets.  Bit sketches (`shingles.py`) leave out pairs
+that cannot be linked before their sets are fetched; that bound is exact, so only a pair
+that agrees in no band is missed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readtrail.llm.common import map_rows, mix64, per_worker, staged, temporary_tables, whole_text
-from readtrail.llm.linking import Likeness, Sketches, connect
+from readtrail.llm.common import map_rows, mix64, staged, temporary_tables, whole_text
+from readtrail.llm.linking import connect
 from readtrail.llm.repeats import numbered
+from readtrail.llm.shingles import SHINGLE, bit_sketch, likeness, shingler, word_list
 
 PLACES = 256
 BANDS = 32
 ROWS = 4  # places in a band
-SHINGLE = 4
 PERCENT = 80
-LEAST_AGREEMENT = 0.65  # of signature places; 5.9 standard deviations below likeness 0.8
 LEVEL = np.uint64(56)  # bits of a rank below its level
 _GOLD = 0x9E3779B97F4A7C15
 
 
-def word_list(text: str) -> list[bytes]:
-    """Words, A to Z lowered and nothing else: bytes know no other letters or blanks."""
-    return text.encode().lower().split()
-
-
-class Shingler:
-    def __init__(self, shingle: int = SHINGLE) -> None:
-        self.shingle = shingle
-        self.factors = mix64(np.arange(1, shingle + 1, dtype=np.uint64) * np.uint64(_GOLD)) | np.uint64(1)
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        """Sorted hashes of the distinct shingles; fewer words than one shingle are one together."""
-        if not words:
-            return np.zeros(0, np.uint64)
-        n = len(words) - self.shingle + 1
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-        if n < 1:
-            n, h = 1, np.append(h, np.zeros(self.shingle - len(words), np.uint64))
-        total = np.zeros(n, np.uint64)
-        for k in range(self.shingle):
-            total += h[k:k + n] * self.factors[k]
-        found = np.sort(mix64(total))  # faster than np.unique
-        return found[np.append(True, found[1:] != found[:-1])]
-
-
-def shingler(shingle: int) -> Shingler:
-    return per_worker(("shingles", shingle), lambda: Shingler(shingle))
-
-
 def super_minhash(elements: np.ndarray, places: int = PLACES) -> np.ndarray:
     """The signature: per place the smallest rank, level above random bits, of any element."""
     n = len(elements)
@@ -101,35 +71,8 @@ def band_keys(signature: np.ndarray) -> list[int]:
     return key.view(np.int64).tolist()
 
 
-class Signatures(Sketches):
-    """Low bytes of signatures; how many places agree says how alike two sets are."""
-
-    def __init__(self, sketches: list[bytes], sizes: np.ndarray, sketched: bool = True) -> None:
-        super().__init__(sketches, sizes)
-        self.sketched = sketched
-        self.rows = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
-
-    def remote(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(i))
-        if not self.sketched:
-            return out
-        step = max(1, (16 << 20) // self.rows.shape[1])
-        for k in range(0, len(i), step):
-            apart = (self.rows[i[k:k + step]] != self.rows[j[k:k + step]]).mean(axis=1)
-            out[k:k + step] = apart / (1 - LEAST_AGREEMENT)
-        return out
-
-
-def likeness(shingle: int, percent: int, sketched: bool = True) -> Likeness:
-    def elements(text: str) -> np.ndarray | None:
-        words = word_list(text)
-        return shingler(shingle)(words) if words else None
-
-    return Likeness(partial(Signatures, sketched=sketched), elements, percent)
-
-
 def _described(rows: DataFrame, shingle: int) -> DataFrame:
-    """Per row its set's hash (null without words) and size; bands and signature with a set's first row in a task."""
+    """Per row its set's hash (null without words) and size; bands and bit sketch with a set's first row in a task."""
 
     def described(batches) -> Iterator[tuple]:
         cut = shingler(shingle)
@@ -148,16 +91,13 @@ def _described(rows: DataFrame, shingle: int) -> DataFrame:
                 if len(seen) >= 1 << 18:  # forgetting one only sends its set again
                     seen.clear()
                 seen.add(key)
-                signature = super_minhash(found)
-                yield row, doc, key, len(found), band_keys(signature), mix64(signature).astype(np.uint8).tobytes()
+                yield row, doc, key, len(found), band_keys(super_minhash(found)), bit_sketch(found)
 
     source = rows.select("_row", "doc_id", "text")
     return map_rows(source, described, "row long, doc_id long, key binary, n long, bands array<long>, sketch binary")
 
 
-def near_groups(
-    docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, sketched: bool = True
-) -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """`doc_id`, `n_shingles`, `component_id` and `kept` of every row.
 
     Links join texts with 100 * intersection >= percent * union.  Null and empty texts and
@@ -178,7 +118,7 @@ def near_groups(
         # the bands of a signature differ, so a class is in a bucket once
         items = classes.select("cid", F.explode("bands").alias("bucket"))
         texts = rows.select(F.col("_row").alias("cid"), "text")
-        labels = connect(items, classes.drop("bands"), texts, likeness(shingle, percent, sketched))
+        labels = connect(items, classes.drop("bands"), texts, likeness(shingle, percent))
         named = names.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select(
             "key", F.coalesce("label", "cid").alias("label")
         )

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readtrail.llm.common import map_rows, mix64, shuffle_partitions, staged, temporary_tables, whole_text
-from readtrail.llm.linking import Likeness, Sketches, connect
-from readtrail.llm.neardup import Shingler, shingler, word_list
+from readtrail.llm.linking import connect
 from readtrail.llm.repeats import numbered
+from readtrail.llm.shingles import SHINGLE, Shingler, bit_sketch, likeness, word_list
 
-SHINGLE = 4
 PERCENT = 85
 BAND = 1.25  # how much larger the sizes of a band may be than those of the band below
 RARE = 1e-6  # share of sets that may have more than e empty parts
@@ -115,58 +114,6 @@ def part_keys(elements: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def bit_sketch(elements: np.ndarray) -> bytes:
-    """Parities of the elements that fall on each of 2 to 4 bits an element, at least 64."""
-    width = max(64, 1 << (2 * len(elements) - 1).bit_length())
-    place = (mix64(elements ^ np.uint64(_GOLD)) & np.uint64(width - 1)).astype(np.int64)
-    return np.packbits((np.bincount(place, minlength=width) & 1).astype(np.uint8)).tobytes()
-
-
-class BitSketches(Sketches):
-    """Bit sketches of several widths, each folded once to every narrower width."""
-
-    def __init__(self, sketches: list[bytes], sizes: np.ndarray, percent: int) -> None:
-        super().__init__(sketches, sizes)
-        self.percent = percent
-        self.width = np.array([len(s) for s in sketches])
-        self.rows: dict[int, np.ndarray] = {}
-        self.place = np.zeros(len(sketches), np.int64)
-        widths = sorted(set(self.width.tolist()), reverse=True)
-        # the widest first: a narrower width takes the wider rows, folded, before its own
-        order = np.argsort(-self.width, kind="stable")
-        self.place[order] = np.arange(len(sketches))
-        above = np.zeros((0, widths[0] if widths else 8), np.uint8)
-        for w in widths:
-            while above.shape[1] > w:
-                half = above.shape[1] // 2
-                above = above[:, :half] ^ above[:, half:]
-            own = b"".join(sketches[i] for i in order[self.width[order] == w])
-            above = np.concatenate([above, np.frombuffer(own, np.uint8).reshape(-1, w)])
-            self.rows[w] = above
-
-    def remote(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        width = np.minimum(self.width[i], self.width[j])
-        apart = np.zeros(len(i), np.int64)
-        for w, rows in self.rows.items():
-            at = np.flatnonzero(width == w)
-            step = max(1, (16 << 20) // w)
-            words = rows.view(np.uint64)  # at least eight bytes wide
-            for k in range(0, len(at), step):
-                some = at[k:k + step]
-                differ = words[self.place[i[some]]] ^ words[self.place[j[some]]]
-                apart[some] = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
-        allowed = (100 - self.percent) * (self.sizes[i].astype(np.int64) + self.sizes[j])
-        return apart * (100 + self.percent) / np.maximum(allowed, 1)
-
-
-def likeness(shingle: int, percent: int) -> Likeness:
-    def elements(text: str) -> np.ndarray | None:
-        words = word_list(text)
-        return shingler(shingle)(words) if words else None
-
-    return Likeness(partial(BitSketches, percent=percent), elements, percent)
-
-
 def _described(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Per row its set's hash (null without words) and size; sketch and keys with a set's first row in a task."""
 

@@ -1,4 +1,3 @@
-import math
 import random
 import re
 from collections import defaultdict
@@ -8,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from readtrail.llm import components as C
-from readtrail.llm import linking, neardup
+from readtrail.llm import linking, neardup, shingles
 from readtrail.llm.components import components
 
 
@@ -82,19 +81,6 @@ def test_large_buckets_are_dealt_into_blocks_and_lose_nothing(documents, monkeyp
     assert got == brute(rows)
 
 
-def alike(n, apart, seed):
-    """Signatures that agree with one base everywhere but in `apart` places, by chance."""
-    r = np.random.default_rng(seed)
-    base = r.integers(0, 128, neardup.PLACES, dtype=np.uint8)
-    out = []
-    for _ in range(n):
-        signature = base.copy()
-        at = r.permutation(neardup.PLACES)[:apart]
-        signature[at] = 128 + r.integers(0, 128, len(at), dtype=np.uint8)
-        out.append(signature)
-    return np.array(out)
-
-
 def met_pairs(spark, size, owner):
     """All pairs of classes that meet when one bucket of this size is dealt."""
     marked = spark.createDataFrame([(1, i, owner(i), size) for i in range(size)], "bucket long, cid long, own long, size long")
@@ -120,16 +106,22 @@ def test_blocks_of_a_large_bucket_meet_in_every_pair_across_components(spark, mo
 def test_merging_connects_what_agrees(monkeypatch, small):
     """The pairs given out join exactly the classes that chains of agreeing pairs join."""
     monkeypatch.setattr(linking, "SMALL", small)
-    s = alike(65, 46, 1)
+    r = np.random.default_rng(1)
+    base = r.integers(0, 1 << 63, 100, dtype=np.uint64)
+    sets = [np.unique(np.append(r.permutation(base)[:93], r.integers(0, 1 << 63, 4, dtype=np.uint64))) for _ in range(65)]
+    sketches, n = [shingles.bit_sketch(s) for s in sets], np.array([len(s) for s in sets])
     table = pa.table({
         "meeting": pa.array([i % 2 for i in range(65)]), "side": pa.array([0] * 65, pa.int32()), "cid": pa.array(range(65)),
-        "own": pa.array(range(65)), "n": pa.array([100] * 65), "sketch": pa.array([x.tobytes() for x in s], pa.binary()),
+        "own": pa.array(range(65)), "n": pa.array(n), "sketch": pa.array(sketches, pa.binary()),
         "refused": pa.array([None] * 65, pa.list_(pa.int64())),
     })
-    got = linking.pairs_to_ask(table, neardup.likeness(4, 80))
-    allowed = neardup.PLACES * (1 - neardup.LEAST_AGREEMENT)
-    want = [(i, j) for i in range(65) for j in range(i + 2, 65, 2) if (s[i] != s[j]).sum() <= allowed]
-    assert set(got) <= set(want)
+    like = shingles.likeness(4, 85)
+    far = lambda i, j: like.sketches(sketches, n).remote(np.array([i]), np.array([j]))[0]
+    want = [(i, j) for i in range(65) for j in range(i + 2, 65, 2) if far(i, j) <= 1]
+    got = linking.pairs_to_ask(table, like)
+    nearest, every = linking.pairs_to_ask(table, like, linking.NEAREST), linking.pairs_to_ask(table, like, linking.ALL)
+    assert set(got) <= set(want) and sorted(every) == want and set(nearest) <= set(want) and 100 < len(want) < 900
+    assert {i for p in nearest for i in p} == {i for p in want for i in p}
 
     def joined(pairs):
         groups = {i: {i} for i in range(65)}
@@ -143,11 +135,6 @@ def test_merging_connects_what_agrees(monkeypatch, small):
     assert joined(got) == joined(want) and len(got) == 65 - len(joined(want))
 
 
-def test_signature_filter_loses_less_than_a_pair_in_ten_million():
-    n, least = neardup.PLACES, math.ceil(neardup.LEAST_AGREEMENT * neardup.PLACES)
-    assert sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(least)) < 1e-7
-
-
 def test_signature_is_the_sequential_definition():
     elements = neardup.mix64(np.arange(1, 40, dtype=np.uint64))
 
@@ -195,7 +182,7 @@ def test_components_of_a_long_path(spark, monkeypatch, links):
 
 
 def test_recall_at_the_threshold(documents):
-    """Pairs of likeness 0.80 to 0.82, with and without the filter of signatures."""
+    """Pairs of likeness 0.80 to 0.82."""
     rows = []
     for k in range(90):
         words = [f"v{k}x{i}" for i in range(203)]  # 200 shingles
@@ -204,6 +191,5 @@ def test_recall_at_the_threshold(documents):
     sets = sets_of(rows, 4)
     likeness = [len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) for k in range(90)]
     assert min(likeness) >= 0.80 and max(likeness) < 0.82
-    for sketched in (True, False):
-        got = {x.doc_id: x.component_id for x in neardup.near_groups(documents(*rows), sketched=sketched).collect()}
-        assert all(got[2 * k + 1] == 2 * k for k in range(90))
+    got = {x.doc_id: x.component_id for x in neardup.near_groups(documents(*rows)).collect()}
+    assert all(got[2 * k + 1] == 2 * k for k in range(90))

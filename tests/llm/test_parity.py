@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from readtrail.llm import linking, parity
+from readtrail.llm import linking, parity, shingles
 from tests.llm.conftest import ODD_ROWS
 from tests.llm.test_neardup import brute, edited
 
@@ -68,7 +68,7 @@ def test_pairs_at_the_threshold_share_a_part():
                 continue
             tried += 1
             missed += not set(parity.part_keys(a, bands).tolist()) & set(parity.part_keys(b, bands).tolist()) and len(a) + len(b) > 2 * shared
-            sketches = parity.BitSketches([parity.bit_sketch(a), parity.bit_sketch(b)], np.array([len(a), len(b)]), 85)
+            sketches = shingles.BitSketches([shingles.bit_sketch(a), shingles.bit_sketch(b)], np.array([len(a), len(b)]), 85)
             assert sketches.remote(np.array([0]), np.array([1]))[0] <= 1
     assert tried > 500 and missed == 0
 
@@ -76,13 +76,13 @@ def test_pairs_at_the_threshold_share_a_part():
 @pytest.mark.parametrize("small", [96, 4])
 def test_merging_pairs_are_fewer_than_classes(monkeypatch, small):
     monkeypatch.setattr(linking, "SMALL", small)
-    like = parity.likeness(4, 85)
+    like = shingles.likeness(4, 85)
     r = np.random.default_rng(3)
     base = np.unique(r.integers(0, 1 << 63, 200, dtype=np.uint64))
     sets = [np.sort(np.append(base, np.uint64(i))) for i in range(40)]
     table = pa.table({
         "meeting": pa.array([1] * 40), "side": pa.array([0] * 40, pa.int32()), "cid": pa.array(range(40)), "own": pa.array(range(40)),
-        "n": pa.array([len(s) for s in sets]), "sketch": pa.array([parity.bit_sketch(s) for s in sets], pa.binary()),
+        "n": pa.array([len(s) for s in sets]), "sketch": pa.array([shingles.bit_sketch(s) for s in sets], pa.binary()),
         "refused": pa.array([[1, 2]] + [None] * 39, pa.list_(pa.int64())),
     })
     pairs = linking.pairs_to_ask(table, like)
