@@ -108,7 +108,7 @@ def test_merging_connects_what_agrees(monkeypatch, small):
     monkeypatch.setattr(linking, "SMALL", small)
     r = np.random.default_rng(1)
     base = r.integers(0, 1 << 63, 100, dtype=np.uint64)
-    sets = [np.unique(np.append(r.permutation(base)[:93], r.integers(0, 1 << 63, 4, dtype=np.uint64))) for _ in range(65)]
+    sets = [np.unique(np.append(r.permutation(base)[:94], r.integers(0, 1 << 63, 3, dtype=np.uint64))) for _ in range(65)]
     sketches, n = [shingles.bit_sketch(s) for s in sets], np.array([len(s) for s in sets])
     table = pa.table({
         "meeting": pa.array([i % 2 for i in range(65)]), "side": pa.array([0] * 65, pa.int32()), "cid": pa.array(range(65)),
