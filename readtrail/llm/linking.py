@@ -27,6 +27,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -226,8 +227,9 @@ def pairs_to_ask(table: pa.Table, like: Likeness, mode: str = MERGING) -> list[t
     # a class is there once for each of its buckets; its sketch is needed once
     classes, place, row = np.unique(cid, return_index=True, return_inverse=True)
     sketches = like.sketches(table["sketch"].take(pa.array(place)).to_pylist(), size[place])
-    listed = [(k, r) for k, rs in enumerate(table["refused"].take(pa.array(place)).to_pylist()) if rs for r in rs]
-    by, against = np.array(listed, np.int64).reshape(-1, 2).T
+    lists = table["refused"].take(pa.array(place)).combine_chunks()
+    by = np.repeat(np.arange(len(classes)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    against = lists.flatten().to_numpy()
     there = np.minimum(np.searchsorted(classes, against), len(classes) - 1)
     refused_codes = (by * len(classes) + there)[classes[there] == against]
     merged = list(range(len(owners)))

@@ -107,12 +107,13 @@ def test_counts_against_a_plain_dictionary(spark):
         host = f"h{i % 3}.example.com"
         mine = [k for k in range(14) if r.random() < 0.01 * (k + 1)]
         counts.update((host, k) for k in mine)
-        body = f"<article><p>A story that is told on page {i} alone</p>{''.join(boxes[k] for k in mine)}</article>"
-        rows.append((i, f"http://{host}/{i}", page(body), host, mine))
+        story = [f"Line {n} of a story that is told on page {i} alone" for n in range(40)]
+        body = f"<article>{''.join(f'<p>{line}</p>' for line in story)}{''.join(boxes[k] for k in mine)}</article>"
+        rows.append((i, f"http://{host}/{i}", page(body), host, mine, story))
     got = extracted(spark, [r[:3] for r in rows])
-    for i, _, _, host, mine in rows:
+    for i, _, _, host, mine, story in rows:
         kept = [k for k in mine if counts[host, k] < templates.MANY_PAGES]
-        assert got[i] == "\n".join([f"A story that is told on page {i} alone", *[x for k in kept for x in (f"Box {k}", f"twice {k}")]])
+        assert got[i] == "\n".join([*story, *[x for k in kept for x in (f"Box {k}", f"twice {k}")]])
     assert 0 < sum(n < templates.MANY_PAGES for n in counts.values()) < len(counts)
 
 
