@@ -16,7 +16,7 @@ from readtrail import AppProfile, schema
 from readtrail.operators.cohorts import LearnerTables
 from readtrail.plans.load_clean import load_clean, load_raw
 from readtrail.plans.nightly import run_nightly
-from readtrail.session import run_together, scratch_folder
+from readtrail.session import apply_settings, run_together, scratch_folder
 from readtrail.sources.events import event_log, union_sources
 
 PROFILE = AppProfile(
@@ -80,10 +80,15 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = _table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").cast("bigint").alias("nation_no"), "n_name"
     )
-    base = plain_events(spark, sf_dir).withColumn("nation_no", F.col("user_id") % 25)
+    base = _dealt(plain_events(spark, sf_dir)).withColumn("nation_no", F.col("user_id") % 25)
     return base.join(nation, "nation_no", "left")
 
 
+def _dealt(ev: DataFrame) -> DataFrame:
+    """Events by day, dealt while they are narrow; a day that holds most of the log is split, small ones merge."""
+    return ev.hint("rebalance", "day")
+
+
 def _first_touch(days: Column) -> Column:
     user = F.col("user_id")
     return (
@@ -204,7 +209,7 @@ def _legacy_log(spark: SparkSession, sf_dir: str, source: int) -> DataFrame:
         (plain & (k % 19 != 0), _param("screen", F.lit("main"))),
         (plain & (k % 19 != 0), _param("engagement_ms", number=k)),
     ])
-    ev = plain_events(spark, sf_dir).where(user % 3 == source)
+    ev = _dealt(plain_events(spark, sf_dir).where(user % 3 == source))
     country = F.concat(F.lit("NATION_"), (user + F.when(k % 10 == 0, 1).otherwise(0)) % 25)
     return _log_row(
         ev,
@@ -239,8 +244,7 @@ def _log(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _log_folders:
         folder = scratch_folder(spark, f"{name}-log")
-        # rebalancing splits a day that holds most of the log and merges small ones
-        log = _LOGS[name](spark, sf_dir).hint("rebalance", "event_date")
+        log = _LOGS[name](apply_settings(spark), sf_dir)
         log.write.partitionBy("event_date").parquet(folder)
         _log_folders[key] = folder
     return event_log(spark, _log_folders[key])

@@ -13,18 +13,21 @@ from pyspark.sql import SparkSession
 
 T = TypeVar("T")
 
-# settings the jobs rely on for skewed keys; a cluster keeps its own partition counts
-SKEW_SETTINGS = {
+# settings the jobs rely on, for skewed keys and long expressions; a cluster keeps its own partition counts
+SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a skewed join side even if a later step then needs one more shuffle
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # HotSpot compiles no method of over 8,000 bytes: a stage that generates one would be
+    # interpreted row by row, so it runs operator by operator, in short methods, instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
 def apply_settings(spark: SparkSession) -> SparkSession:
-    for name, value in SKEW_SETTINGS.items():
+    for name, value in SETTINGS.items():
         spark.conf.set(name, value)
     return spark
 
