@@ -44,7 +44,8 @@ def _round(rows: DataFrame, low: int, high: int, limit: int) -> DataFrame:
         levels.withColumn("_prefix", prefix).join(sums, ["_depth", "_prefix"])
         .groupBy("_cell").agg(F.min(F.when(fits, F.struct("_depth", "_bytes"))).alias("_fit"))
     )
-    return rows.withColumn("_cell", cell).join(best, "_cell").drop("_cell")
+    # the directory, a few cells per shard, goes to the texts: they are shuffled once, to be written
+    return rows.withColumn("_cell", cell).join(F.broadcast(best), "_cell").drop("_cell")
 
 
 def assign_shards(docs: DataFrame, limit: int = LIMIT_BYTES, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -60,6 +60,13 @@ def test_files_hold_one_shard_each(spark, documents, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 100
 
 
+def test_texts_are_not_shuffled_to_find_their_shards(documents):
+    docs = documents(*[(i, "x" * 50) for i in range(100)]).localCheckpoint()
+    for limit in (1000, 10**9):
+        plan = shards.assign_shards(docs, limit).select("doc_id", "text", "shard")._jdf.queryExecution().optimizedPlan().toString()
+        assert "rightHint=(strategy=broadcast)" in plan
+
+
 def test_rows_read_back_from_files(spark, documents, odd, tmp_path):
     cases = {"many": (documents(*[(i, "x" * 50) for i in range(100)]), 1000), "odd": (odd, 100), "one": (odd, 10**9),
              "none": (odd.where("false"), 100)}
