@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Hashable, Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -81,7 +82,7 @@ def map_rows(df: DataFrame, rows: Callable[[Rows], Iterable[tuple]], schema: str
         size = 0
         for row in rows(batches):
             held.append(row)
-            size += sum(len(v) for v in row if isinstance(v, (str, bytes)))
+            size += sum(len(v) if isinstance(v, (str, bytes)) else v.nbytes for v in row if isinstance(v, (str, bytes, np.ndarray)))
             if len(held) >= flush or size >= BATCH_BYTES:
                 yield _batch(held, arrow)
                 held, size = [], 0
@@ -131,6 +132,8 @@ def per_worker(key: Hashable, make: Callable[[], Any]) -> Any:
     """
     if key not in _per_worker:
         _per_worker.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()  # what earlier batches took
         _per_worker[key] = make()
     return _per_worker[key]
 

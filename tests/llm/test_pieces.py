@@ -55,5 +55,11 @@ def test_tables_round_trip_and_clashing_columns(odd):
     assert sorted(map(str, back.collect())) == sorted(map(str, odd.selectExpr("doc_id", "replace(coalesce(text, ''), '▁', ' ') AS text").collect()))
 
 
+def test_ids_wait_for_their_batch_in_four_bytes_each():
+    for ids in ([], [7], list(range(32_000))):
+        held, _ = pieces._ids_and_text(",".join(map(str, ids)), "")
+        assert held.tolist() == ids and held.nbytes == 4 * len(ids)
+
+
 def test_empty_table(odd):
     assert pieces.encoding_digests(odd.where("false"), MODEL).collect() == []
