@@ -363,17 +363,14 @@ def facebook_ads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- built tables --------------------------------------------------------------
 
-_built: dict[tuple[str, str], tuple[LearnerTables, LearnerTables]] = {}
+_raw: dict[tuple[str, str], tuple[str, LearnerTables]] = {}
+_cleaned: dict[tuple[str, str], LearnerTables] = {}
 
 
-def built_tables(spark: SparkSession, sf_dir: str) -> tuple[LearnerTables, LearnerTables]:
-    """Learner tables as the nightly job leaves them, and cleaned.
-
-    Runs the whole pipeline once per session and data folder, into the shared
-    scratch folder; the reports read those files, as they would on a cluster.
-    """
+def _nightly(spark: SparkSession, sf_dir: str) -> tuple[str, LearnerTables]:
+    """Folder of the nightly job's runs, and the tables as it leaves them; built once per session and data folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _built:
+    if key not in _raw:
         base = scratch_folder(spark, "learner-tables")
         build_logs(spark, sf_dir)
         log = game_log(spark, sf_dir).unionByName(launch_log(spark, sf_dir))
@@ -381,13 +378,27 @@ def built_tables(spark: SparkSession, sf_dir: str) -> tuple[LearnerTables, Learn
             log, legacy_sources(spark, sf_dir), languages(spark), cohort_members(spark, sf_dir),
             PROFILE, None, base, AS_OF, RUN_DATE,
         )
-        _built[key] = load_raw(spark, base), load_clean(spark, base, staging=f"{base}/clean")
-    return _built[key]
+        _raw[key] = base, load_raw(spark, base)
+    return _raw[key]
 
 
 def raw_tables(spark: SparkSession, sf_dir: str) -> LearnerTables:
-    return built_tables(spark, sf_dir)[0]
+    """Learner tables as the nightly job leaves them; nothing is cleaned for these."""
+    return _nightly(spark, sf_dir)[1]
 
 
 def tables(spark: SparkSession, sf_dir: str) -> LearnerTables:
-    return built_tables(spark, sf_dir)[1]
+    """Cleaned learner tables, written into the shared scratch folder once per session and data folder.
+
+    The reports read those files, as they would on a cluster.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _cleaned:
+        base, _ = _nightly(spark, sf_dir)
+        _cleaned[key] = load_clean(spark, base, staging=f"{base}/clean")
+    return _cleaned[key]
+
+
+def built_tables(spark: SparkSession, sf_dir: str) -> tuple[LearnerTables, LearnerTables]:
+    """Learner tables as the nightly job leaves them, and cleaned."""
+    return raw_tables(spark, sf_dir), tables(spark, sf_dir)

@@ -69,3 +69,18 @@ def test_progress_invariants(spark):
     clean = adapters.tables(spark, SF_DIR)
     for df in (clean.progress, clean.launches):
         assert df.count() == df.select("cr_user_id").distinct().count()
+
+
+def test_raw_tables_are_not_cleaned(spark, tmp_path, monkeypatch):
+    """A query on the nightly tables alone does not pay for the cleaned ones."""
+    from checks import adapters
+
+    runs = []
+    monkeypatch.setattr(adapters, "_raw", {}, raising=False)
+    monkeypatch.setattr(adapters, "_cleaned", {}, raising=False)
+    monkeypatch.setattr(adapters, "_built", {}, raising=False)
+    monkeypatch.setattr(adapters, "load_clean", lambda *args, **more: runs.append(more) or "clean")
+    assert QUERIES["milestone_flags"](spark, SF_DIR).count() and QUERIES["active_countries"](spark, SF_DIR).count()
+    assert runs == []
+    assert adapters.tables(spark, SF_DIR) == adapters.tables(spark, SF_DIR) == "clean"
+    assert len(runs) == 1
