@@ -34,7 +34,9 @@ def _stars(links: DataFrame, tasks: int) -> DataFrame:
                 above.clear()
         yield from ((x, root(x)) for x in list(above))
 
-    dealt = links.select("a", "b").repartition(tasks, "a")
+    links = links.select("a", "b")
+    # one task must hold them all if one is enough: a count that comes with a key may be raised by the cluster
+    dealt = links.repartition(tasks, "a") if tasks > 1 else links.repartition(1)
     return map_rows(dealt, rows, f"node {nodes}, label {nodes}")
 
 
