@@ -102,7 +102,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 class Memo(dict):
     """Bounded memory of `compute(key)`: when full, the younger half of the keys stays.
 
-    Keys of over LONGEST_KEY characters are computed each time.
+    Texts of over LONGEST_KEY characters are computed each time.
     """
 
     def __init__(self, compute: Callable[[Any], Any], limit: int) -> None:
@@ -113,7 +113,7 @@ class Memo(dict):
         value = self.older.get(key)
         if value is None:
             value = self.compute(key)
-            if len(key) > LONGEST_KEY:
+            if isinstance(key, str) and len(key) > LONGEST_KEY:
                 return value
         if len(self) >= self.limit:
             self.older = dict(self)

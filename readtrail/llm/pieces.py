@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from collections.abc import Callable, Iterator
 from operator import itemgetter
 
@@ -26,6 +27,7 @@ from readtrail.llm.common import Memo, map_rows, per_worker, whole_text
 SPACE = "▁"  # how the vocabulary writes a space
 CHUNKS_KEPT = 400_000
 PAIRS_KEPT = 200_000
+NONE = -1  # no symbol
 
 
 _first, _second = itemgetter(0), itemgetter(1)
@@ -51,14 +53,17 @@ class PieceTokenizer:
             elif i != self.unknown and not model.is_unused(i):
                 self.ids[piece] = i
                 self.score[piece] = model.get_score(i)
-                matcher.add_word(piece, len(piece) - 1)
+                matcher.add_word(piece, i)
         matcher.make_automaton()
         self.matcher = matcher
-        # length of the longest piece that a piece starts with; a character starts any
-        self.shorter = {
-            p: next((n for n in range(len(p) - 1, 1, -1) if p[:n] in self.ids), 1)
-            for p in self.ids if len(p) > 1
-        }
+        # symbols are piece ids, then characters: those outside the vocabulary stand for their bytes
+        self.count = len(self.pieces)
+        self.lengths = [len(p) for p in self.pieces]
+        # the longest piece that a piece starts with; a character starts any
+        self.shorter = [
+            next((self._symbol(p[:n]) for n in range(len(p) - 1, 0, -1) if n == 1 or p[:n] in self.ids), NONE)
+            for p in self.pieces
+        ]
         self.plain: list[str | None] = [
             None if i in self.bytes else "" if i in self.silent else " ⁇ " if i == self.unknown
             else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)
@@ -66,6 +71,7 @@ class PieceTokenizer:
         self.names = [str(i) for i in range(len(self.pieces))]
         self.byte_id = {b: i for i, b in self.bytes.items()}
         self.fits = Memo(self._fits, PAIRS_KEPT)
+        self.span = self.count + sys.maxunicode + 1
         self.chunks = Memo(self._chunk, CHUNKS_KEPT // 4)
         self.words = Memo(self._word, CHUNKS_KEPT)
         self.adjacent = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
@@ -73,6 +79,7 @@ class PieceTokenizer:
         joined = {c for p in self.ids if len(p) > 1 for c in p}
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         alone = "" if "\n" in joined else "\n"
+        self.marked = re.compile(f"([^\\W\\d_]+)([^\\w{SPACE}{alone}]+)")  # letters, then marks
         self.cut = None if inner else re.compile(
             f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|{alone}+" if alone else "")
         )
@@ -90,47 +97,58 @@ class PieceTokenizer:
                 return symbols
             symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
 
-    def _fits(self, pair: tuple[str, str]) -> bool:
-        left, right = pair
+    def _symbol(self, piece: str) -> int:
+        return self.ids[piece] if piece in self.ids else self.count + ord(piece)
+
+    def _written(self, symbol: int) -> str:
+        return self.pieces[symbol] if symbol < self.count else chr(symbol - self.count)
+
+    def _fits(self, pair: int) -> bool:
+        """Whether a symbol may follow the symbol before it (NONE at the start)."""
+        before, symbol = divmod(pair, self.span)
+        left, right = "" if before == self.span else self._written(before), self._written(symbol)
         return self.merged(left + right) == ([left, right] if left else [right])
 
     def split(self, text: str) -> list[str]:
         """The pieces of a text in which spaces are already written as the vocabulary does."""
+        return [self._written(s) for s in self._symbols(text)]
+
+    def _symbols(self, text: str) -> list[int]:
         n = len(text)
-        longest = [1] * n  # a character outside the vocabulary stands for its bytes
-        for end, back in self.matcher.iter(text):
-            longest[end - back] = back + 1
-        failed = bytearray((n >> 3) + 1)
+        lengths, count, span = self.lengths, self.count, self.span
+        longest = [NONE] * n
+        for end, symbol in self.matcher.iter(text):
+            longest[end + 1 - lengths[symbol]] = symbol
+        if NONE in longest:
+            longest = [count + ord(c) if s == NONE else s for c, s in zip(text, longest)]
+        longest.append(NONE)
+        failed = bytearray(n + 1)
         fits, shorter = self.fits, self.shorter
-        path: list[str] = []
-        before, position = "", 0
-        length = longest[0] if n else 0
+        path: list[int] = []
+        before, position, symbol = span, 0, longest[0]
         while position < n:
-            if not length:
-                failed[position >> 3] |= 1 << (position & 7)
-                piece = path.pop()
-                before = path[-1] if path else ""
-                position -= len(piece)
-                length = shorter.get(piece, 0)
+            if symbol == NONE:
+                failed[position] = 1
+                symbol = path.pop()
+                before = path[-1] if path else span
+                position -= lengths[symbol] if symbol < count else 1
+                symbol = shorter[symbol] if symbol < count else NONE
                 continue
-            end = position + length
-            piece = text[position:end]
-            if not failed[end >> 3] >> (end & 7) & 1 and fits[before, piece]:
-                path.append(piece)
-                before, position = piece, end
-                length = longest[end] if end < n else 0
+            end = position + (lengths[symbol] if symbol < count else 1)
+            if not failed[end] and fits[before * span + symbol]:
+                path.append(symbol)
+                before, position, symbol = symbol, end, longest[end]
             else:
-                length = shorter.get(piece, 0)
+                symbol = shorter[symbol] if symbol < count else NONE
         return path
 
     def _ids(self, chunk: str) -> list[int]:
-        pieces = self.split(chunk)
-        try:
-            return [self.ids[p] for p in pieces]
-        except KeyError:
-            return [i for p in pieces for i in (
-                [self.ids[p]] if p in self.ids else [self.byte_id[b] for b in p.encode()]
-            )]
+        symbols = self._symbols(chunk)
+        if max(symbols, default=0) < self.count:
+            return symbols
+        return [i for s in symbols for i in (
+            [s] if s < self.count else [self.byte_id[b] for b in chr(s - self.count).encode()]
+        )]
 
     def _chunk(self, chunk: str) -> tuple[str, str]:
         # characters that no piece has side by side are never merged: a part each
@@ -143,14 +161,22 @@ class PieceTokenizer:
             if parts:
                 known = [self.chunks[p] for p in (*parts, chunk[start:])]
                 return ",".join([p[0] for p in known]), "".join([p[1] for p in known])
-        ids = self._ids(chunk)
-        names = self.names
+        return self._part(chunk)
+
+    def _part(self, part: str) -> tuple[str, str]:
+        ids, names = self._ids(part), self.names
         return ",".join([names[i] for i in ids]), self._text(ids)
 
     def _word(self, word: str) -> tuple[str, str]:
         """A word and the space before it."""
         if word.isalpha():
-            return self._chunk(SPACE + word)
+            return self._part(SPACE + word)
+        marked = self.marked.fullmatch(word)
+        if marked and word[marked.end(1) - 1:marked.end(1) + 1] not in self.adjacent:
+            # the word is known, or will be, without its marks
+            ids, text = self.words[marked[1]]
+            more, marks = self.chunks[marked[2]]
+            return f"{ids},{more}", text + marks
         known = [self.chunks[p] for p in self.cut.findall(SPACE + word)]
         return ",".join([p[0] for p in known]), "".join([p[1] for p in known])
 
@@ -169,8 +195,10 @@ class PieceTokenizer:
 
     def _text(self, ids: list[int]) -> str:
         texts = [self.plain[i] for i in ids]
-        if None not in texts:
+        try:
             return "".join(texts)
+        except TypeError:  # bytes among them
+            pass
         out: list[str] = []
         held = bytearray()
         for i, text in zip(ids, texts):

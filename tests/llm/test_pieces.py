@@ -63,3 +63,17 @@ def test_ids_wait_for_their_batch_in_four_bytes_each():
 
 def test_empty_table(odd):
     assert pieces.encoding_digests(odd.where("false"), MODEL).collect() == []
+
+
+def test_a_word_is_encoded_once_whatever_marks_follow(monkeypatch):
+    own, seen = pieces.PieceTokenizer(MODEL), []
+
+    class Matcher:
+        def iter(self, text):
+            seen.append(text)
+            return coder.matcher.iter(text)
+
+    monkeypatch.setattr(own, "matcher", Matcher())
+    text = "zorblatten zorblatten, zorblatten. zorblatten,"
+    assert own.encode(text) == library.encode(text)
+    assert [t for t in seen if "zorblatten" in t] == ["▁zorblatten"]
