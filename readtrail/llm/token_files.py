@@ -33,8 +33,7 @@ SHARD_IDS = 1 << 20
 ROUNDS = 4
 LEAST_COUNT = 16  # occurrences that make a pair worth a rule
 SLOTS_BITS = 18
-PARTS_KEPT = 400_000
-WORDS_KEPT = 1_200_000
+PARTS_KEPT = 1_200_000
 MAGIC = b"RPT1"
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 # white space for every rule of the model, so nothing is merged or composed across it
@@ -46,7 +45,8 @@ class WordCoder:
     """Ids by a `tokenizers` file; parts between blanks are memorised.
 
     A part of plain letters and then plain marks is to the model's rules a word, whatever its
-    case, and its marks, so such words go to its merges directly and are memorised apart.
+    case, and its marks, so such words go to its merges directly; in lower case and without
+    marks they are parts like others.
     """
 
     def __init__(self, model_file: str) -> None:
@@ -61,7 +61,7 @@ class WordCoder:
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         letters = [chr(c) for c in range(0xDF, 0x100) if chr(c).isalpha()]
         self.letters = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in letters})
-        self.parts, self.words = Memo(self._part, PARTS_KEPT), Memo(self._word, WORDS_KEPT)
+        self.parts = Memo(self._part, PARTS_KEPT)
 
     def _word(self, word: str) -> bytes:
         symbols = word if word.isascii() else word.translate(self.letters)
@@ -70,7 +70,10 @@ class WordCoder:
     def _part(self, part: str) -> bytes:
         m = _plain.fullmatch(part)
         if m:
-            return self.words[m[1].lower()] + (self.parts[m[2]] if m[2] else b"")
+            word, marks = m[1].lower(), m[2]
+            if marks:
+                return self.parts[word] + self.parts[marks]
+            return self._word(part) if word == part else self.parts[word]
         return array(self.kind.char, self.model.encode(part, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
@@ -95,7 +98,7 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, most: int | None = No
         if len(seq) < 2 or room < 1:
             break
         pair = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        slot = (pair * _SPREAD >> np.uint64(64 - SLOTS_BITS)).astype(np.int32)
+        slot = (pair * _SPREAD >> np.uint64(64 - SLOTS_BITS)).astype(np.intp)
         held = np.zeros(1 << SLOTS_BITS, np.uint64)
         held[slot] = pair  # pairs that meet in a slot: one of them has it this round
         own = (held[slot] == pair) & ~last[:-1]
@@ -239,7 +242,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
             for part, shard, data in zip(*(c.to_pylist() for c in batch.columns)):
                 file, before = TokenFile(data), 0
                 for doc, ids in zip(file.doc_ids, file.documents()):
-                    yield part, shard, doc, before, len(ids), zlib.crc32(ids.astype("<u4").tobytes())
+                    yield part, shard, doc, before, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4"))
                     before += len(ids)
 
     schema = "part int, shard int, doc_id long, _in_shard long, n_tokens long, ids_crc32 long"

@@ -69,3 +69,10 @@ def test_empty_table(spark, odd, tmp_path):
     path = str(tmp_path / "none")
     tf.write_token_files(odd.where("false"), path, MODEL)
     assert tf.read_token_files(spark, path).collect() == []
+
+
+def test_a_word_is_held_once_whatever_its_case_and_marks():
+    own = tf.WordCoder(MODEL)
+    text = "stones Stones, stones, stones"
+    assert own.encode(text).tolist() == ids_of(text)
+    assert sum(len(m) for m in vars(own).values() if isinstance(m, tf.Memo)) == 4  # the word, two with marks or capitals, a comma
