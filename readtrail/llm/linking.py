@@ -359,6 +359,9 @@ def connect(items: DataFrame, classes: DataFrame, texts: DataFrame, like: Likene
     texts    cid, text; one text of every class, others may be there too
     """
     items = staged(_once(items), "items")
+    # the texts that may be asked for, once for all rounds; ids are staged, as small ones are then sent to the texts
+    candidates = staged(items.select("cid").distinct(), "candidates")
+    texts = staged(texts.join(candidates, "cid", "left_semi").select("cid", "text"), "texts")
     tables = shuffle_partitions(items.sparkSession)
     links = items.select(F.col("cid").alias("a"), F.col("cid").alias("b")).where("false")
     refused = links

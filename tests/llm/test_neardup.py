@@ -193,3 +193,22 @@ def test_recall_at_the_threshold(documents):
     assert min(likeness) >= 0.80 and max(likeness) < 0.82
     got = {x.doc_id: x.component_id for x in neardup.near_groups(documents(*rows)).collect()}
     assert all(got[2 * k + 1] == 2 * k for k in range(90))
+
+
+def test_texts_are_read_once_for_all_rounds(spark):
+    like, read = shingles.likeness(4, 80), spark.sparkContext.accumulator(0)
+    texts = [" ".join(f"c{k}" for k in range(4 * i, 4 * i + 100)) for i in range(24)]  # each linked with the next ones only
+    sets = [like.elements(t) for t in texts]
+    classes = spark.createDataFrame([(i, len(s), shingles.bit_sketch(s)) for i, s in enumerate(sets)], "cid long, n long, sketch binary")
+    buckets = [(100 * i + j, c) for i in range(24) for j in range(i + 1, min(i + 4, 24)) for c in (i, j)]
+    items = spark.createDataFrame(buckets, "bucket long, cid long")
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "cid long, text string").mapInArrow(counted, "cid long, text string")
+    labels = linking.connect(items, classes, rows, like)
+    assert sorted(map(tuple, labels.collect())) == [(i, 0) for i in range(24)]
+    assert read.value == 24
