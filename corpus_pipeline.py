@@ -22,8 +22,10 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (shingles of five words, likeness 0.8)."""
-    ids = neardup.near_groups(docs, shingle=5).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    groups = neardup.near_groups(docs, shingle=5)
+    # ids of which no row is kept: far fewer than the others, so the texts are moved later or not at all
+    gone = groups.groupBy(F.col("doc_id").alias("_gone")).agg(F.max("kept").alias("kept")).where("NOT kept").select("_gone")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
 
 
 def fresh(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,3 +38,14 @@ def test_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(k.startswith(f"op{n}_") for k in names) for n in range(1, 11))
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_near_dedup_joins_the_ids_that_go(spark, documents):
+    text = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i}" for i in range(40))
+    docs = documents((1, text), (2, text + " end"), (3, other), (7, other), (7, "of its own, and the id is kept"), (None, text), (None, None), (9, None))
+    kept = corpus_pipeline.distinct(spark, docs, "")
+    assert "LeftAnti" in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted(
+        [(False, 1, text), (False, 3, other), (False, 7, other), (False, 7, "of its own, and the id is kept"), (True, 0, text), (True, 0, ""), (False, 9, "")]
+    )
