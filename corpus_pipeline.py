@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readtrail.llm import mixing, neardup, pieces, quality, repeats
+from readtrail.llm.common import staged
 from readtrail.llm.queries import PIECE_MODEL
 from readtrail.session import scratch_folder
 
@@ -25,6 +26,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = neardup.near_groups(docs, shingle=5)
     # ids of which no row is kept: far fewer than the others, so the texts are moved later or not at all
     gone = groups.groupBy(F.col("doc_id").alias("_gone")).agg(F.max("kept").alias("kept")).where("NOT kept").select("_gone")
+    gone = staged(gone, "gone")  # its size is known then, before a shuffle of the texts begins
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
 
 
