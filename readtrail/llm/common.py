@@ -21,6 +21,7 @@ from readtrail.session import remove_folder, scratch_folder
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 8 << 20
 LONGEST_KEY = 64
+MOST_BITS = 1 << 26  # of a table of bits that every executor gets: 8 MB
 
 Rows = Iterator[pa.RecordBatch]
 
@@ -64,6 +65,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def perhaps_among(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows of `df` whose `column` is in `ids` and a few others; `df` is not shuffled.
+
+    `ids` has long ids in the same column and is read twice.  Its hashes are marked in a table
+    of 16 to 32 bits an id, MOST_BITS at most, that is sent to the rows; beyond that, more of
+    the other rows pass.  Null is among no ids.
+    """
+    slots = min(MOST_BITS, 1 << max(15, (16 * ids.count()).bit_length()))
+    slot = F.pmod(F.xxhash64(column), F.lit(slots))
+    page, place = F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot)
+    pages = ids.groupBy(page.alias("_page")).agg(F.bitmap_construct_agg(place).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = byte.bitwiseAND(F.expr("shiftleft(1, int(_place % 8))")) != 0
+    asked = df.where(F.col(column).isNotNull()).withColumns({"_page": page, "_place": place})
+    return asked.join(F.broadcast(pages), "_page").where(marked).select(*df.columns)
+
+
 def bounded_batches(df: DataFrame) -> DataFrame:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readtrail.llm.common import map_rows, shuffle_partitions, staged
+from readtrail.llm.common import map_rows, perhaps_among, shuffle_partitions, staged
 from readtrail.llm.components import components
 
 WAVES = ((0,), (1, 2))  # eighths of the buckets
@@ -96,7 +96,9 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame
 
 def _judged(pairs: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     """Every pair (a, b) and whether its full sets reach the threshold (`linked`)."""
-    needed = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    needed = staged(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "needed")
+    # so that texts of other classes are not shuffled where the ids are too many to be sent to the texts
+    fetched = perhaps_among(texts, needed, "cid").join(needed, "cid", "left_semi").select("cid", "text")
 
     def sets(batches) -> Iterator[tuple]:
         for batch in batches:
@@ -105,8 +107,7 @@ def _judged(pairs: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
                 if found is not None:
                     yield cid, found.tobytes()
 
-    members = map_rows(texts.join(needed, "cid", "left_semi").select("cid", "text"), sets, "cid long, members binary")
-    members = staged(members, "sets")
+    members = staged(map_rows(fetched, sets, "cid long, members binary"), "sets")
     both = pairs.join(_side(members, "b", "members"), "b").join(_side(members, "a", "members"), "a")
 
     def rows(batches) -> Iterator[tuple]:
@@ -325,14 +326,15 @@ def pairs_to_ask(table: pa.Table, like: Likeness, mode: str = MERGING) -> list[t
 
 def _across(marked: DataFrame, classes: DataFrame, refused: DataFrame, like: Likeness, mode: str) -> DataFrame:
     """Fresh pairs (a, b) across components, of all open buckets."""
-    dealt = staged(_dealt(marked).join(classes, "cid"), "met")
-    spread = dealt.agg(F.sum(F.octet_length("sketch") + 64)).first()[0] or 0
-    groups = max(shuffle_partitions(dealt.sparkSession), -(-spread // GROUP_BYTES))
     no = (
         refused.select("a", "b").union(refused.select("b", "a")).groupBy(F.col("a").alias("cid"))
         .agg(F.collect_list("b").alias("refused"))
     )
-    items = dealt.join(no, "cid", "left").withColumn("part", F.pmod("meeting", F.lit(groups)))
+    # to the classes, which are fewer than the items
+    dealt = staged(_dealt(marked).join(classes.join(no, "cid", "left"), "cid"), "met")
+    spread = dealt.agg(F.sum(F.octet_length("sketch") + 64)).first()[0] or 0
+    groups = max(shuffle_partitions(dealt.sparkSession), -(-spread // GROUP_BYTES))
+    items = dealt.withColumn("part", F.pmod("meeting", F.lit(groups)))
 
     def compare(table: pa.Table) -> pa.Table:
         pairs = pairs_to_ask(table, like, mode)
@@ -359,9 +361,9 @@ def connect(items: DataFrame, classes: DataFrame, texts: DataFrame, like: Likene
     texts    cid, text; one text of every class, others may be there too
     """
     items = staged(_once(items), "items")
-    # the texts that may be asked for, once for all rounds; ids are staged, as small ones are then sent to the texts
+    # the texts that may be asked for, and a few others, once for all rounds and without a shuffle
     candidates = staged(items.select("cid").distinct(), "candidates")
-    texts = staged(texts.join(candidates, "cid", "left_semi").select("cid", "text"), "texts")
+    texts = staged(perhaps_among(texts.select("cid", "text"), candidates, "cid"), "texts")
     tables = shuffle_partitions(items.sparkSession)
     links = items.select(F.col("cid").alias("a"), F.col("cid").alias("b")).where("false")
     refused = links
